@@ -124,13 +124,14 @@ def product_embeddings(spark, d):
 
 
 def product_embedding_status(spark, d):
-    key = F.col("p_partkey")
-    return table(spark, d, "part").filter(key % 3 == 0).select(
+    """Parts of the smaller sizes were tried before."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").filter(size <= 20).select(
         F.concat(F.lit("s"), key).alias("id"), key.cast("string").alias("product_id"),
         F.element_at(F.array(F.lit("PENDING"), F.lit("RETRY"), F.lit("FAILED")),
-                     (key / 3 % 3 + 1).cast("int")).alias("status"),
-        F.when(key % 4 == 0, F.lit("2000-01-01 00:00:00").cast("timestamp"))
-        .when(key % 4 == 1, F.lit("2001-01-01 00:00:00").cast("timestamp")).alias("next_retry_at"))
+                     size % 3 + 1).alias("status"),
+        F.when(size % 4 == 0, F.lit("2000-01-01 00:00:00").cast("timestamp"))
+        .when(size % 4 == 1, F.lit("2001-01-01 00:00:00").cast("timestamp")).alias("next_retry_at"))
 
 
 def product_scrape_results(spark, d):

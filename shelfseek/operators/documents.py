@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfseek import schema
 from shelfseek.functions.text import fold
 from shelfseek.operators.joins import lookup_join
 
-DOCUMENT_COLUMNS = schema.struct_type("product_search_documents").fieldNames()
-
 
 def _latest(rows: DataFrame, order: list[Column]) -> DataFrame:
     w = Window.partitionBy("product_id").orderBy(*order, F.col("id").asc())

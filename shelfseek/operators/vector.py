@@ -53,7 +53,7 @@ class Probes:
         widths = {len(r[1]) for r in rows}
         if len(widths) > 1:
             raise ValueError(f"query vectors of different widths: {sorted(widths)}")
-        matrix = np.array([r[1] / np.linalg.norm(r[1]) for r in rows]).reshape(len(rows), -1)
+        matrix = np.array([r[1] / np.linalg.norm(r[1]) for r in rows])
         distinct = sorted({r[4] for r in rows}, key=repr)
         return Probes(
             [r[0] for r in rows], matrix, np.array([r[2] for r in rows], dtype=np.int64),

@@ -152,3 +152,7 @@ NOW_DEFAULTS = {
 
 def struct_type(table: str) -> T.StructType:
     return T.StructType.fromDDL(DDL[table])
+
+
+def columns(table: str) -> list[str]:
+    return [part.split()[0] for part in DDL[table].split(", ")]
