@@ -32,53 +32,45 @@ def rounded(score: Column) -> Column:
     return F.round(score, SCORE_DECIMALS)
 
 
-def final_score(exact: Column, lexical: Column, trigram: Column, semantic: Column) -> Column:
-    one = F.lit(1.0)
-    return rounded(
-        exact * SHARE_EXACT
-        + F.least(one, lexical * LEXICAL_GAIN) * SHARE_LEXICAL
-        + F.least(one, trigram) * SHARE_TRIGRAM
-        + F.least(one, F.greatest(F.lit(0.0), semantic)) * SHARE_SEMANTIC)
-
-
-def match_type(id_lower: Column, title_lower: Column, query: Column, threshold: Column) -> Column:
-    """Why a document was found; reads the four ``*_score`` columns."""
-    lexical, semantic = F.col("lexical_score") > 0, F.col("semantic_score") > 0
-    return (F.when(id_lower == query, "exact_id")
-            .when(title_lower == query, "exact_title")
-            .when(title_lower.startswith(query), "prefix_title")
-            .when(F.col("exact_score") > 0, "exact_attribute")
-            .when(lexical & semantic, "hybrid")
-            .when(semantic, "semantic")
-            .when(F.col("trigram_score") >= threshold, "fuzzy")
-            .when(lexical, "full_text")
-            .otherwise("related"))
-
-
-def highlight(query: Column) -> Column:
-    title = F.col("title")
-
-    def with_tail(tail):
-        return F.concat(title, F.lit(" | "), tail)
-
-    return (F.when(F.lower("product_id") == query, with_tail(F.col("product_id")))
-            .when(F.contains(F.lower("company"), query), with_tail(F.col("company")))
-            .when(F.contains(F.lower("category_title"), query), with_tail(F.col("category_title")))
-            .otherwise(title))
-
-
-def matched_fields(query: Column) -> Column:
+def final_score() -> Column:
+    return rounded(F.expr(f"""
+        exact_score * {SHARE_EXACT}D
+        + least(1D, lexical_score * {LEXICAL_GAIN}D) * {SHARE_LEXICAL}D
+        + least(1D, trigram_score) * {SHARE_TRIGRAM}D
+        + least(1D, greatest(0D, semantic_score)) * {SHARE_SEMANTIC}D"""))
+
+
+def match_type() -> Column:
+    """Why a document was found, from the scores, ``normalized`` and ``threshold``."""
+    return F.expr("""case
+        when lower(product_id) = normalized then 'exact_id'
+        when lower(title) = normalized then 'exact_title'
+        when startswith(lower(title), normalized) then 'prefix_title'
+        when exact_score > 0 then 'exact_attribute'
+        when lexical_score > 0 and semantic_score > 0 then 'hybrid'
+        when semantic_score > 0 then 'semantic'
+        when trigram_score >= threshold then 'fuzzy'
+        when lexical_score > 0 then 'full_text'
+        else 'related' end""")
+
+
+def highlight() -> Column:
+    return F.expr("""case
+        when lower(product_id) = normalized then concat(title, ' | ', product_id)
+        when contains(lower(company), normalized) then concat(title, ' | ', company)
+        when contains(lower(category_title), normalized) then concat(title, ' | ', category_title)
+        else title end""")
+
+
+def matched_fields() -> Column:
     """Names of the fields that hold the query; just the title where none does."""
-    def if_holds(column, name):
-        return F.when(F.contains(F.lower(F.coalesce(F.col(column), F.lit(""))), query), name)
-
-    fields = F.array_compact(F.array(
-        F.when(F.lower("product_id") == query, "id"),
-        if_holds("title", "title"),
-        if_holds("company", "company"),
-        if_holds("category_title", "category"),
-        F.when(F.col("semantic_score") > 0, "semantic")))
-    return F.when(F.size(fields) == 0, F.array(F.lit("title"))).otherwise(fields)
+    return F.expr("""transform(array(array_compact(array(
+        if(lower(product_id) = normalized, 'id', null),
+        if(contains(lower(title), normalized), 'title', null),
+        if(contains(lower(company), normalized), 'company', null),
+        if(contains(lower(category_title), normalized), 'category', null),
+        if(semantic_score > 0, 'semantic', null)))),
+        found -> if(size(found) = 0, array('title'), found))[0]""")
 
 
 def category_summary() -> Column:

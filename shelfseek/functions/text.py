@@ -6,7 +6,7 @@ import functools
 import sys
 import unicodedata
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Characters a raw query may keep, shortest token, and the
 # trigram thresholds by query length.
@@ -100,45 +100,34 @@ def lexemes(text: Column) -> Column:
         F.instr(w, "-") > 0, F.concat(F.array(w), F.split(w, "-"))).otherwise(F.array(w))))
 
 
-def web_query_groups(normalized: Column) -> Column:
-    """Web-style query text as OR groups of required and excluded terms.
+def with_query_groups(df: DataFrame, normalized: str = "normalized") -> DataFrame:
+    """Adds ``groups``: web-style query text as OR groups of required and excluded terms.
 
     Words are ANDed, ``or`` between two operands separates groups, a leading
     ``-`` negates. A hyphenated word stands for the compound only.
     """
-    operands = F.transform(
-        F.filter(F.split(F.lower(fold(normalized)), " "), lambda t: t != ""),
-        lambda t, i: F.struct(
-            t.alias("word"), i.alias("i"),
-            F.regexp_extract_all(t, F.lit(HYPHENATED_WORD), F.lit(0)).alias("terms"),
-            F.length(F.regexp_extract(t, "^(-*)", 1)).alias("dashes")))
-    last = F.size(operands) - 1
-    none = F.array().cast("array<string>")
-
-    def state(groups, required, excluded, negated, expecting):
-        return F.struct(groups.alias("groups"), required.alias("required"),
-                        excluded.alias("excluded"), negated.alias("negated"),
-                        expecting.alias("expecting"))
-
-    def closed(s):
-        group = F.struct(s["required"].alias("required"), s["excluded"].alias("excluded"))
-        return F.when(F.size(s["required"]) + F.size(s["excluded"]) > 0,
-                      F.concat(s["groups"], F.array(group))).otherwise(s["groups"])
-
-    def step(s, x):
-        separates = (x["word"] == "or") & ~s["expecting"] & (x["i"] < last)
-        negated = s["negated"] != (x["dashes"] % 2 == 1)
-        empty = F.size(x["terms"]) == 0
-        operand = state(
-            s["groups"],
-            F.when(negated, s["required"]).otherwise(F.array_union(s["required"], x["terms"])),
-            F.when(negated, F.array_union(s["excluded"], x["terms"])).otherwise(s["excluded"]),
-            negated & empty, empty & s["expecting"])
-        return F.when(separates, state(closed(s), none, none, F.lit(False), F.lit(True))
-                      ).otherwise(operand)
-
-    start = state(F.array().cast(QUERY_GROUPS), none, none, F.lit(False), F.lit(True))
-    return F.aggregate(operands, start, step, closed)
+    none = "cast(array() as array<string>)"
+    state = ("named_struct('groups', {}, 'required', {}, 'excluded', {}, 'negated', {}, "
+             "'expecting', {})")
+    closed = ("if(size(s.required) + size(s.excluded) > 0, concat(s.groups, array(named_struct("
+              "'required', s.required, 'excluded', s.excluded))), s.groups)")
+    negated = "(s.negated <> (x.dashes % 2 = 1))"
+    operand = state.format(
+        "s.groups",
+        f"if({negated}, s.required, array_union(s.required, x.terms))",
+        f"if({negated}, array_union(s.excluded, x.terms), s.excluded)",
+        f"{negated} and size(x.terms) = 0", "size(x.terms) = 0 and s.expecting")
+    separator = state.format(closed, none, none, "false", "true")
+    start = state.format(f"cast(array() as {QUERY_GROUPS})", none, none, "false", "true")
+    operands = f"""transform(filter(split(_folded, ' '), t -> t <> ''), (t, i) -> named_struct(
+        'word', t, 'i', i, 'terms', regexp_extract_all(t, r'{HYPHENATED_WORD}', 0),
+        'dashes', length(regexp_extract(t, '^(-*)', 1))))"""
+    groups = f"""aggregate(_operands, {start}, (s, x) -> if(
+        x.word = 'or' and not s.expecting and x.i < size(_operands) - 1, {separator}, {operand}),
+        s -> {closed})"""
+    return (df.withColumn("_folded", F.lower(fold(F.col(normalized))))
+            .withColumn("_operands", F.expr(operands))
+            .withColumn("groups", F.expr(groups)).drop("_folded", "_operands"))
 
 
 def trigrams(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfseek.functions.vectors import l2_normalize
 from shelfseek.operators.vector import MAX_QUERY_BLOCK, Probes, _unit_rows
+from shelfseek.session import ship_package
 
 # Number of lists, and how many rows train them at least.
 LISTS = 100
@@ -32,6 +33,7 @@ def train(embeddings: DataFrame, lists: int = LISTS, seed: int = 1, iterations:
 
 def assign(embeddings: DataFrame, centres: np.ndarray) -> DataFrame:
     """(product_id, embedding, list_no); vectors without a direction are left out."""
+    ship_package(embeddings.sparkSession)
     shipped = embeddings.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfseek.functions.text import fold
-from shelfseek.operators.joins import lookup_join
+from shelfseek.operators.joins import are_small, lookup_join
 
 
 def _latest(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -50,9 +50,9 @@ def build_documents(products: DataFrame, details: DataFrame, categories: DataFra
                                   F.col("leaf_category_slug").alias("own_leaf_slug"),
                                   F.col("slug").alias("plain_leaf_slug"))
     rows = products.join(latest, "id", "left")
-    rows = lookup_join(rows, category, ["category_id"], "left", ["id"])
-    rows = lookup_join(rows, sub, ["subcategory_id"], "left", ["id"])
-    rows = lookup_join(rows, leaf, ["leaf_category_id"], "left", ["id"])
+    levels = {"category_id": category, "subcategory_id": sub, "leaf_category_id": leaf}
+    for (key, level), small in zip(levels.items(), are_small(*levels.values())):
+        rows = lookup_join(rows, level, [key], "left", ["id"], small)
     searchable = F.concat_ws(
         " ", "id", "title", "product_title", "company", "supplier_name", "category_title",
         "category_slug", "subcategory_title", "subcategory_slug", "leaf_category_title",

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfseek.session import ship_package
+
 # HTTP answers worth another try, model name, vector width, request headers.
 RETRYABLE_STATUS = [408, 420, 425, 429, 500, 502, 503, 504]
 MODEL_VERSION = "clip-vit-base-patch32"
@@ -106,6 +108,7 @@ def _encode_all(items: Sequence, encode: Encoder) -> tuple[list, list]:
 
 def _embed(df: DataFrame, column: str, make_encoder: Callable[[], Encoder],
            refuse: Callable[[object], str | None]) -> DataFrame:
+    ship_package(df.sparkSession)
     schema = df.schema.simpleString()[len("struct<"):-1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,6 +142,7 @@ def embed_urls(df: DataFrame, fetch: Fetcher, make_encoder: Callable[[], Encoder
                timeout: float = FETCH_TIMEOUT_S) -> DataFrame:
     """Download and encode in the workers; adds embedding, error, http_status, retryable."""
     sent = FETCH_HEADERS if headers is None else headers
+    ship_package(df.sparkSession)
     schema = df.schema.simpleString()[len("struct<"):-1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -32,18 +32,15 @@ def exact_candidates(batch: QueryBatch, docs: DataFrame) -> DataFrame:
     lengths asked for; the offers meet the queries in one equi-join, and a
     document's offers are merged in the task that made them.
     """
-    def offer(value, score):
-        return F.struct(value.alias("value"), F.lit(score).alias("score"))
-
-    fields = [offer(F.col(name), score) for name, score in FIELD_SCORES]
-    lengths = F.array(*[F.lit(n) for n in batch.prefix_lengths]).cast("array<int>")
-    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("title_lower")),
-                           lambda n: offer(F.substring("title_lower", F.lit(1), n),
-                                           ladders.SCORE_TITLE_PREFIX))
-    offers = F.filter(F.concat(F.array(*fields), prefixes), lambda o: o["value"] != "")
-    terms = filtered_terms(docs, batch)
-    offered = terms.select("product_id", "updated_at", "sortable_price", "company_lower",
-                           "category_keys", F.inline(offers))
+    fields = ", ".join(f"named_struct('value', {name}, 'score', {score}D)"
+                       for name, score in FIELD_SCORES)
+    lengths = ", ".join(map(str, batch.prefix_lengths))
+    prefixes = (f"transform(filter(cast(array({lengths}) as array<int>), "
+                f"n -> n <= length(title_lower)), n -> named_struct("
+                f"'value', substring(title_lower, 1, n), 'score', {ladders.SCORE_TITLE_PREFIX}D))")
+    offers = f"inline(filter(concat(array({fields}), {prefixes}), o -> o.value <> ''))"
+    offered = filtered_terms(docs, batch).selectExpr(
+        "product_id", "updated_at", "sortable_price", "company_lower", "category_keys", offers)
     queries = batch.frame.select(F.col("normalized").alias("value"), "q_id", "depth", "f_category",
                                  "f_shop", "f_min", "f_max")
     hits = lookup_join(offered, queries, ["value"], "inner", ["product_id"], batch.small)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfseek.functions import text
-from shelfseek.operators.joins import localize, lookup_join
+from shelfseek.operators.joins import local_table, lookup_join
 
 # Page sizes and how deep each source looks.
 DEFAULT_SIZE, MAX_SIZE = 20, 60
@@ -51,65 +53,85 @@ def normalize_queries(queries: DataFrame, default_size: int = DEFAULT_SIZE,
 
 @dataclass
 class QueryBatch:
-    """Normalised queries that have something to search for.
+    """Normalised and parsed queries that have something to search for.
 
-    ``small`` says that the batch was measured and is held locally, so it may
-    be broadcast; larger batches are joined by shuffles.
+    ``table`` holds a batch that was measured and may be broadcast; larger
+    batches have none and are joined by shuffles. ``terms`` and ``grams`` are
+    the distinct search keys of a small batch, which prune the scans.
     """
     frame: DataFrame
-    small: bool
+    table: pa.Table | None
     max_depth: int
     max_vector_depth: int
     prefix_lengths: list[int]
-    filters: list[tuple]
+    any_negation: bool = True
+    any_pure_negation: bool = True
+    filters: list[tuple] = field(default_factory=list)
+    terms: list[str] = field(default_factory=list)
+    grams: list[str] = field(default_factory=list)
     fold_accents: bool = False
 
+    @property
+    def small(self) -> bool:
+        return self.table is not None
+
     @property
     def one_filter(self) -> tuple | None:
         return self.filters[0] if len(self.filters) == 1 else None
 
 
 def query_batch(normalized: DataFrame, fold_accents: bool = False) -> QueryBatch:
-    live = normalized.filter(~F.col("blank"))
-    local = localize(live)
-    frame = live if local is None else local
-    facts = frame.agg(
-        F.max("depth").alias("depth"), F.max("vector_depth").alias("vector_depth"),
-        F.collect_set(F.length("normalized")).alias("lengths")).first()
-    filters: list[tuple] = []
-    if local is not None:
-        filters = [tuple(r) for r in frame.select(*FILTERS).distinct().collect()]
-    return QueryBatch(frame, local is not None, facts["depth"] or 0, facts["vector_depth"] or 0,
-                      sorted(facts["lengths"]), filters, fold_accents)
+    """Parse the queries once and learn what the plans need to know about them."""
+    live = text.with_query_groups(normalized.filter(~F.col("blank")))
+    live = live.withColumn("terms", F.expr(
+        "array_distinct(flatten(transform(groups, g -> g.required)))")).withColumn(
+        "numbered", F.expr("transform(groups, g -> transform(g.required, "
+                           "t -> cast(array_position(terms, t) - 1 as int)))")).withColumn(
+        "grams", text.trigrams(F.col("normalized")))
+    table = local_table(live)
+    if table is None:
+        facts = live.agg(F.max("depth").alias("depth"), F.max("vector_depth").alias("vector_depth"),
+                         F.collect_set(F.length("normalized")).alias("lengths")).first()
+        return QueryBatch(live, None, facts["depth"] or 0, facts["vector_depth"] or 0,
+                          sorted(facts["lengths"]), fold_accents=fold_accents)
+    frame = live.sparkSession.createDataFrame(table, schema=live.schema)
+    rows = table.select(["groups", "terms", "grams", "normalized", *FILTERS]).to_pylist()
+    groups = [g for r in rows for g in r["groups"]]
+    return QueryBatch(
+        frame, table, pc.max(table["depth"]).as_py() or 0,
+        pc.max(table["vector_depth"]).as_py() or 0, sorted({len(r["normalized"]) for r in rows}),
+        any(g["excluded"] for g in groups), any(not g["required"] for g in groups),
+        sorted({tuple(r[f] for f in FILTERS) for r in rows}, key=repr),
+        sorted({t for g in groups for t in (*g["required"], *g["excluded"])}),
+        sorted({g for r in rows for g in r["grams"]}), fold_accents)
+
+
+FIELDS = {"id_lower": "product_id", "title_lower": "title", "company_lower": "company",
+          "category_id_lower": "category_id", "category_lower": "category_title",
+          "category_slug_lower": "category_slug", "subcategory_lower": "subcategory_title",
+          "subcategory_slug_lower": "subcategory_slug",
+          "leaf_category_lower": "leaf_category_title",
+          "leaf_category_slug_lower": "leaf_category_slug"}
 
 
 def document_terms(docs: DataFrame, fold_accents: bool = False) -> DataFrame:
     """The lower-cased fields that predicates read, next to the ordering columns."""
-    def low(column):
-        value = F.coalesce(F.col(column), F.lit(""))
-        return F.lower(text.fold(value) if fold_accents else value)
-
-    terms = docs.select(
-        "product_id", "updated_at", "sortable_price",
-        low("product_id").alias("id_lower"), low("title").alias("title_lower"),
-        low("company").alias("company_lower"), low("category_id").alias("category_id_lower"),
-        low("category_title").alias("category_lower"),
-        low("category_slug").alias("category_slug_lower"),
-        low("subcategory_title").alias("subcategory_lower"),
-        low("subcategory_slug").alias("subcategory_slug_lower"),
-        low("leaf_category_title").alias("leaf_category_lower"),
-        low("leaf_category_slug").alias("leaf_category_slug_lower"))
-    return terms.withColumn("category_keys", F.array(
-        "category_id_lower", "category_slug_lower", "category_lower", "subcategory_slug_lower",
-        "subcategory_lower", "leaf_category_slug_lower", "leaf_category_lower"))
+    terms = docs.selectExpr("product_id", "updated_at", "sortable_price", *[
+        f"lower(coalesce({column}, '')) as {name}" for name, column in FIELDS.items()])
+    if fold_accents:
+        terms = terms.withColumns({name: F.lower(text.fold(F.col(name))) for name in FIELDS})
+    return terms.selectExpr(
+        "*", "array(category_id_lower, category_slug_lower, category_lower, subcategory_slug_lower, "
+             "subcategory_lower, leaf_category_slug_lower, leaf_category_lower) as category_keys")
 
 
 def passes_filters() -> Column:
     """Whether a joined (query, document) row passes the query's filters."""
-    return ((F.col("f_category").isNull() | F.array_contains("category_keys", F.col("f_category")))
-            & (F.col("f_shop").isNull() | (F.col("company_lower") == F.col("f_shop")))
-            & (F.col("f_min").isNull() | (F.col("sortable_price") >= F.col("f_min")))
-            & (F.col("f_max").isNull() | (F.col("sortable_price") <= F.col("f_max"))))
+    return F.expr("""
+        (f_category is null or array_contains(category_keys, f_category))
+        and (f_shop is null or company_lower = f_shop)
+        and (f_min is null or sortable_price >= f_min)
+        and (f_max is null or sortable_price <= f_max)""")
 
 
 def filtered_terms(docs: DataFrame, batch: QueryBatch) -> DataFrame:

@@ -3,29 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_LOCAL_ROWS = 50_000
-MAX_LOCAL_BYTES = 64 << 20
+MAX_LOCAL_ROWS = 20_000
+MAX_ROW_CHARS = 16_000
 SALTS = 32
 # Above this k Spark no longer trims groups before the shuffle.
 GROUP_LIMIT_MAX = 1000
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS, max_bytes: int = MAX_LOCAL_BYTES) -> bool:
-    """Measure at most ``max_rows + 1`` rows to prove that a frame may be broadcast."""
-    size = F.length(F.to_json(F.struct("*")))
-    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
-    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
+def local_table(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS,
+                max_chars: int = MAX_ROW_CHARS) -> pa.Table | None:
+    """All rows of a frame if they are few and short, else None.
+
+    At most ``max_rows + 1`` rows are fetched, and the contents of longer
+    rows stay behind, so the driver's share is bounded whatever the frame is.
+    """
+    whole = F.struct(*df.columns)
+    short = F.when(F.length(F.to_json(whole)) <= max_chars, whole)
+    rows = df.limit(max_rows + 1).select(short.alias("row")).toArrow()
+    column = rows.column("row").combine_chunks()
+    if rows.num_rows > max_rows or column.null_count:
+        return None
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else column.chunk(0)
+    return pa.Table.from_arrays(column.flatten(), names=df.columns)
 
 
 def localize(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS,
-             max_bytes: int = MAX_LOCAL_BYTES) -> DataFrame | None:
+             max_chars: int = MAX_ROW_CHARS) -> DataFrame | None:
     """A proven-small frame computed once and held as a local relation, else None."""
-    if not is_small(df, max_rows, max_bytes):
-        return None
-    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+    table = local_table(df, max_rows, max_chars)
+    return None if table is None else df.sparkSession.createDataFrame(table, schema=df.schema)
+
+
+def are_small(*frames: DataFrame, max_rows: int = MAX_LOCAL_ROWS,
+              max_chars: int = MAX_ROW_CHARS) -> list[bool]:
+    """Measure at most ``max_rows + 1`` rows of each frame to prove that it may be broadcast."""
+    parts = [frame.limit(max_rows + 1).agg(
+        F.lit(i).alias("i"), F.count("*").alias("n"),
+        F.max(F.length(F.to_json(F.struct(*frame.columns)))).alias("longest"))
+        for i, frame in enumerate(frames)]
+    seen = reduce(DataFrame.unionByName, parts).collect()
+    fits = {r["i"]: r["n"] <= max_rows and (r["longest"] or 0) <= max_chars for r in seen}
+    return [fits[i] for i in range(len(frames))]
 
 
 def salted_join(big: DataFrame, other: DataFrame, on: Sequence[str], how: str,
@@ -43,7 +67,7 @@ def salted_join(big: DataFrame, other: DataFrame, on: Sequence[str], how: str,
 def lookup_join(big: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner",
                 spread: Sequence[str] = (), small: bool | None = None) -> DataFrame:
     """Join to a side that is usually small: broadcast if proven so, salted otherwise."""
-    if is_small(other) if small is None else small:
+    if are_small(other)[0] if small is None else small:
         return big.join(F.broadcast(other), list(on), how)
     return salted_join(big, other, on, how, spread or big.columns)
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfseek.functions import ladders
-from shelfseek.functions.text import lexemes, web_query_groups
+from shelfseek.functions.text import lexemes
 from shelfseek.operators.exact import candidate_order
 from shelfseek.operators.filters import (FILTERS, QueryBatch, filtered_terms, passes_filters,
                                          with_every_query)
@@ -36,21 +34,7 @@ def postings(docs: DataFrame) -> DataFrame:
                         (F.col("pos") + 1).alias("pos"), F.col("word.weight").alias("weight"))
 
 
-def parse_queries(frame: DataFrame) -> DataFrame:
-    """Queries with their OR groups, distinct required terms, and groups as term numbers."""
-    q = frame.withColumn("groups", web_query_groups(F.col("normalized")))
-    q = q.withColumn("terms", F.array_distinct(F.flatten(F.transform(
-        "groups", lambda g: g["required"]))))
-    return q.withColumn("numbered", F.transform("groups", lambda g: F.transform(
-        g["required"], lambda t: (F.array_position(F.col("terms"), t) - 1).cast("int"))))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def cover_density(hits: Column, groups: Column, n_terms: Column) -> Column:
+def cover_density(hits: str, groups: str, n_terms: str) -> Column:
     """Cover-density rank of one document, scaled to r / (r + 1).
 
     ``hits`` are the query's term hits ``(pos, o, inv)`` in position order and
@@ -59,96 +43,70 @@ def cover_density(hits: Column, groups: Column, n_terms: Column) -> Column:
     earliest last hit of a group, taken over the group that starts latest; a
     start that was seen before only gives a longer cover and is skipped.
     """
-    hit_type = "struct<pos:int,n:int,cinv:double,inv:double>"
-
-    def start_of(last):
-        def group_start(g):
-            at = F.transform(g, lambda k: F.get(last, k))
-            return F.when(F.forall(at, lambda x: x.isNotNull()), F.array_min(at))
-        return F.array_max(F.filter(F.transform(groups, group_start), lambda x: x.isNotNull()))
-
-    def value(start, here):
-        width = here["n"] - start["n"]
-        density = (width + 1) / (here["cinv"] - start["cinv"] + start["inv"])
-        return density / (1 + here["pos"] - start["pos"] - width)
-
-    def step(s, h):
-        here = F.struct(h["pos"].alias("pos"), (s["n"] + 1).alias("n"),
-                        (s["cinv"] + h["inv"]).alias("cinv"), h["inv"].alias("inv"))
-
-        def move(here):
-            last = F.transform(s["last"], lambda x, i: F.when(i == h["o"], here).otherwise(x))
-            return _let(last, lambda last: _let(start_of(last), lambda start: F.struct(
-                last.alias("last"), here["n"].alias("n"), here["cinv"].alias("cinv"),
-                F.coalesce(start["n"], s["seen"]).alias("seen"),
-                (s["rank"] + F.when(start["n"] != s["seen"], value(start, here)).otherwise(0.0)
-                 ).alias("rank"))))
-
-        return _let(here, move)
-
-    first = F.struct(
-        F.array_repeat(F.lit(None).cast(hit_type), n_terms).alias("last"),
-        F.lit(0).alias("n"), F.lit(0.0).alias("cinv"), F.lit(0).alias("seen"),
-        F.lit(0.0).alias("rank"))
-    return F.aggregate(hits, first, step, lambda s: s["rank"] / (s["rank"] + 1))
+    none = "cast(null as struct<pos:int,n:int,cinv:double,inv:double>)"
+    here = ("named_struct('pos', h.pos, 'n', s.n + 1, 'cinv', s.cinv + h.inv, 'inv', h.inv)")
+    last = f"transform(s.last, (x, i) -> if(i = h.o, {here}, x))"
+    start = f"""array_max(filter(transform({groups}, g -> if(forall(g, k -> last[k] is not null),
+        array_min(transform(g, k -> last[k])), null)), x -> x is not null))"""
+    cover = """(s.n + 1 - start.n + 1) / (s.cinv + h.inv - start.cinv + start.inv)
+        / (1 + h.pos - start.pos - (s.n + 1 - start.n))"""
+    # A one-element transform names a value that is used several times.
+    step = f"""transform(array({last}), last -> transform(array({start}), start -> named_struct(
+        'last', last, 'n', s.n + 1, 'cinv', s.cinv + h.inv, 'seen', coalesce(start.n, s.seen),
+        'rank', s.rank + if(start.n <> s.seen, {cover}, 0D)))[0])[0]"""
+    return F.expr(f"""aggregate({hits},
+        named_struct('last', array_repeat({none}, {n_terms}), 'n', 0, 'cinv', 0D, 'seen', 0,
+                     'rank', 0D),
+        (s, h) -> {step}, s -> s.rank / (s.rank + 1))""")
+
+
+def _matching(index: DataFrame, terms: DataFrame, batch: QueryBatch) -> DataFrame:
+    """Postings of the wanted terms; a short list of terms also prunes the scan."""
+    if batch.small and len(batch.terms) <= MAX_PUSHED_TERMS:
+        index = index.filter(F.col("term").isin(batch.terms))
+    return lookup_join(index, terms, ["term"], "inner", ["product_id", "pos"], batch.small)
 
 
-def _matching(index: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """Postings of the wanted terms; a short list of terms also prunes the scan."""
-    if small:
-        names = [r[0] for r in terms.select("term").distinct().limit(MAX_PUSHED_TERMS + 1).collect()]
-        if len(names) <= MAX_PUSHED_TERMS:
-            index = index.filter(F.col("term").isin(names))
-    return lookup_join(index, terms, ["term"], "inner", ["product_id", "pos"], small)
+ALLOWED_GROUPS = """filter(transform(numbered, (g, i) -> named_struct('g', g, 'i', i)),
+    x -> size(x.g) > 0 and not coalesce(array_contains(barred, x.i), false)
+         and forall(x.g, k -> array_contains(present, k)))"""
+FREE_GROUPS = """exists(transform(numbered, (g, i) -> named_struct('g', g, 'i', i)),
+    x -> size(x.g) = 0 and not coalesce(array_contains(barred, x.i), false))"""
 
 
 def lexical_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
     """(q_id, product_id, score) of all documents that match, before filters and limits."""
-    parsed = parse_queries(batch.frame)
-    small = batch.small
-    wanted = parsed.select("q_id", F.posexplode("terms").alias("o", "term"))
-    inverse = F.element_at(F.create_map(*[F.lit(x) for c, w in CLASS_WEIGHTS.items()
-                                          for x in (c, 1.0 / w)]), F.col("weight"))
-    hits = (_matching(index, wanted, small)
-            .groupBy("q_id", "product_id")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "o", inverse.alias("inv"))))
-                 .alias("hits")))
-    negated = F.exists("groups", lambda g: F.size(g["excluded"]) > 0)
-    with_not = parsed.filter(negated)
-    any_not = not with_not.isEmpty()
-    barred = None
-    if any_not:
-        unwanted = with_not.select("q_id", F.posexplode("groups").alias("g", "group")).select(
+    wanted = batch.frame.select("q_id", F.posexplode("terms").alias("o", "term"))
+    inverse = "case weight " + " ".join(
+        f"when '{c}' then {1 / w}D" for c, w in CLASS_WEIGHTS.items()) + " end"
+    hits = (_matching(index, wanted, batch).groupBy("q_id", "product_id").agg(F.expr(
+        f"sort_array(collect_list(named_struct('pos', pos, 'o', o, 'inv', {inverse})))"
+    ).alias("hits")))
+    if batch.any_negation:
+        unwanted = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
             "q_id", "g", F.explode("group.excluded").alias("term"))
-        barred = (_matching(index, unwanted, small).groupBy("q_id", "product_id")
+        barred = (_matching(index, unwanted, batch).groupBy("q_id", "product_id")
                   .agg(F.collect_set("g").alias("barred")))
         hits = hits.join(barred, ["q_id", "product_id"], "left")
     else:
         hits = hits.withColumn("barred", F.lit(None).cast("array<int>"))
-    about = parsed.select("q_id", "numbered", F.size("terms").alias("n_terms"))
-    hits = lookup_join(hits, about, ["q_id"], "inner", ["product_id"], small)
-    hits = hits.withColumn("present", F.array_distinct(F.transform("hits", lambda h: h["o"])))
-    allowed = F.filter(
-        F.transform("numbered", lambda g, i: F.struct(g.alias("g"), i.alias("i"))),
-        lambda x: (F.size(x["g"]) > 0)
-        & ~F.coalesce(F.array_contains("barred", x["i"]), F.lit(False))
-        & F.forall(x["g"], lambda k: F.array_contains("present", k)))
-    alive = hits.withColumn("alive", F.transform(allowed, lambda x: x["g"])).filter(
-        F.size("alive") > 0)
-    ranked = alive.select("q_id", "product_id", ladders.rounded(cover_density(
-        F.col("hits"), F.col("alive"), F.col("n_terms"))).alias("score"))
-    only_not = F.exists("groups", lambda g: F.size(g["required"]) == 0)
-    negative = parsed.filter(only_not) if any_not else None
-    if negative is None or negative.isEmpty():
+    about = batch.frame.selectExpr("q_id", "numbered", "size(terms) as n_terms")
+    alive = (lookup_join(hits, about, ["q_id"], "inner", ["product_id"], batch.small)
+             .withColumn("present", F.expr("array_distinct(hits.o)"))
+             .withColumn("alive", F.expr(f"transform({ALLOWED_GROUPS}, x -> x.g)"))
+             .filter("size(alive) > 0"))
+    ranked = alive.select("q_id", "product_id", ladders.rounded(
+        cover_density("hits", "alive", "n_terms")).alias("score"))
+    if not batch.any_pure_negation:
         return ranked
     # A group of exclusions alone matches every other document, with rank 0.
-    free = with_every_query(docs.select("product_id"), negative.select("q_id", "numbered"), small)
-    free = free.join(barred, ["q_id", "product_id"], "left").filter(F.exists(
-        F.transform("numbered", lambda g, i: F.struct(g.alias("g"), i.alias("i"))),
-        lambda x: (F.size(x["g"]) == 0)
-        & ~F.coalesce(F.array_contains("barred", x["i"]), F.lit(False))))
-    both = ranked.unionByName(free.select("q_id", "product_id", F.lit(0.0).alias("score")))
-    return both.groupBy("q_id", "product_id").agg(F.max("score").alias("score"))
+    negative = batch.frame.filter("exists(groups, g -> size(g.required) = 0)")
+    free = (with_every_query(docs.select("product_id"), negative.select("q_id", "numbered"),
+                             batch.small)
+            .join(barred, ["q_id", "product_id"], "left").filter(FREE_GROUPS)
+            .select("q_id", "product_id", F.lit(0.0).alias("score")))
+    return ranked.unionByName(free).groupBy("q_id", "product_id").agg(
+        F.max("score").alias("score"))
 
 
 def lexical_candidates(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:

@@ -17,10 +17,9 @@ WEIGHTS = ladders.TRIGRAM_WEIGHTS
 
 def _field_values():
     """One (field, value, value_key) per non-empty field of a document."""
-    fields = F.array(*[
-        F.struct(F.lit(name).alias("field"), F.col(f"{name}_lower").alias("value"),
-                 F.md5(f"{name}_lower").alias("value_key")) for name in WEIGHTS])
-    return F.inline(F.filter(fields, lambda f: f["value"] != ""))
+    fields = ", ".join(f"named_struct('field', '{name}', 'value', {name}_lower, "
+                       f"'value_key', md5({name}_lower))" for name in WEIGHTS)
+    return F.expr(f"inline(filter(array({fields}), f -> f.value <> ''))")
 
 
 def trigram_index(docs: DataFrame, fold_accents: bool = False) -> DataFrame:
@@ -41,15 +40,12 @@ def matching_values(batch: QueryBatch, index: DataFrame) -> DataFrame:
 
     Sizes bound the similarity from above, so hopeless pairs go before counting.
     """
-    grams = batch.frame.select("q_id", "threshold", trigrams(F.col("normalized")).alias("grams"))
-    asked = grams.select("q_id", "threshold", F.size("grams").alias("q_grams"),
-                         F.explode("grams").alias("gram"))
-    if batch.small:
-        names = [r[0] for r in asked.select("gram").distinct().limit(MAX_PUSHED_GRAMS + 1).collect()]
-        if len(names) <= MAX_PUSHED_GRAMS:
-            index = index.filter(F.col("gram").isin(names))
-    weight = F.element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]),
-                          F.col("field"))
+    asked = batch.frame.select("q_id", "threshold", F.size("grams").alias("q_grams"),
+                               F.explode("grams").alias("gram"))
+    if batch.small and len(batch.grams) <= MAX_PUSHED_GRAMS:
+        index = index.filter(F.col("gram").isin(batch.grams))
+    weight = F.expr("case field " + " ".join(
+        f"when '{name}' then {w}D" for name, w in WEIGHTS.items()) + " end")
     met = lookup_join(index, asked, ["gram"], "inner", ["value_key", "field"], batch.small)
     bound = F.least("n_grams", "q_grams") / F.greatest("n_grams", "q_grams") * weight
     shared = (met.filter(ladders.rounded(bound) >= F.col("threshold"))

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfseek.functions import ladders
 from shelfseek.operators.filters import FILTERS, QueryBatch, filtered_terms
-from shelfseek.operators.joins import SALTS, localize, lookup_join, top_k
+from shelfseek.operators.joins import SALTS, local_table, lookup_join, top_k
+from shelfseek.session import ship_package
 
 # Similarity threshold and page sizes of a similarity search.
 SIMILARITY_THRESHOLD = 0.5
@@ -216,20 +217,21 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     return vectors.select("product_id", "embedding", at.alias("updated_us"), *extra)
 
 
-def scan(vectors: DataFrame, queries: DataFrame, lists: dict[str, list[int]] | None = None
-         ) -> DataFrame:
+def scan(vectors: DataFrame, queries: DataFrame | pa.Table,
+         lists: dict[str, list[int]] | None = None) -> DataFrame:
     """Best rows and hit counts per query and task.
 
     ``queries`` has q_id, q_embedding, depth, threshold and maybe filters. A batch
     that fits one block is sent to every task; a larger one is cut into blocks
-    that meet cells of vectors on a grid.
+    that meet cells of vectors on a grid. A table is a batch known to fit.
     """
     spark = vectors.sparkSession
+    ship_package(spark)
     prepared = _prepared(vectors)
-    local = localize(queries, MAX_QUERY_BLOCK)
+    local = queries if isinstance(queries, pa.Table) else local_table(queries, MAX_QUERY_BLOCK)
     if local is None:
         return _scan_grid(prepared, queries)
-    probes = Probes.of(local.toArrow())
+    probes = Probes.of(local)
     if lists is not None:
         asked: dict[int, list[int]] = {}
         for number, q_id in enumerate(probes.ids):
@@ -296,16 +298,17 @@ def semantic_candidates(batch: QueryBatch, docs: DataFrame, embeddings: DataFram
 
     Queries without an embedding have no semantic candidates.
     """
-    terms = filtered_terms(docs, batch)
-    unset = [F.lit(None).cast(t).alias(f) for f, t in
-             zip(FILTERS, ("string", "string", "double", "double"))]
-    filters = unset if batch.one_filter else [F.col(f) for f in FILTERS]
     columns = [] if batch.one_filter else FILTERED_COLUMNS
-    seen = terms.select("product_id", "updated_at", *columns)
+    seen = filtered_terms(docs, batch).select("product_id", "updated_at", *columns)
     vectors = embeddings.select("product_id", "embedding").join(seen, "product_id")
-    asked = batch.frame.filter(F.col("q_embedding").isNotNull()).select(
-        "q_id", "q_embedding", F.col("vector_depth").alias("depth"),
-        F.lit(None).cast("double").alias("threshold"), *filters)
+    names = ["q_id", "q_embedding", "vector_depth", *([] if batch.one_filter else FILTERS)]
+    if batch.small and batch.table.num_rows <= MAX_QUERY_BLOCK:
+        asked = batch.table.select(names).rename_columns(
+            ["depth" if n == "vector_depth" else n for n in names]).append_column(
+            "threshold", pa.nulls(batch.table.num_rows, pa.float64()))
+    else:
+        asked = batch.frame.filter("q_embedding is not null").select(*names).withColumnRenamed(
+            "vector_depth", "depth").withColumn("threshold", F.lit(None).cast("double"))
     found = scan(vectors, asked).filter(F.col("product_id").isNotNull())
     best = top_k(found, ["q_id"], nearest_order(), batch.max_vector_depth, ["product_id"],
                  two_step=True)

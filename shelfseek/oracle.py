@@ -281,14 +281,14 @@ PARTS: dict[str, tuple[list[str], str]] = {
             FROM (SELECT q_id, {_grams('normalized')} AS a FROM queries WHERE NOT blank), value_grams)"""),
     "trigram": (["filtered", "similarities"], """
         SELECT q_id, product_id, score FROM (
-            SELECT f.q_id, f.product_id, f.updated_at, f.depth, f.threshold, round(greatest(
-                t.s * 1e0, o.s * 0.75e0, c.s * 0.7e0, u.s * 0.62e0, l.s * 0.6e0), 9) AS score
-            FROM filtered f
-            JOIN similarities t ON t.q_id = f.q_id AND t.value = f.title_lower
-            JOIN similarities o ON o.q_id = f.q_id AND o.value = f.company_lower
-            JOIN similarities c ON c.q_id = f.q_id AND c.value = f.category_lower
-            JOIN similarities u ON u.q_id = f.q_id AND u.value = f.subcategory_lower
-            JOIN similarities l ON l.q_id = f.q_id AND l.value = f.leaf_category_lower)
+            SELECT f.q_id, f.product_id, f.updated_at, f.depth, f.threshold,
+                   round(max(s.s * f.weight), 9) AS score
+            FROM (SELECT q_id, product_id, updated_at, depth, threshold,
+                         unnest([title_lower, company_lower, category_lower, subcategory_lower,
+                                 leaf_category_lower]) AS value,
+                         unnest([1e0, 0.75e0, 0.7e0, 0.62e0, 0.6e0]) AS weight FROM filtered) f
+            JOIN similarities s ON s.q_id = f.q_id AND s.value = f.value
+            GROUP BY ALL)
         WHERE score >= threshold
         QUALIFY row_number() OVER (PARTITION BY q_id
             ORDER BY score DESC, updated_at DESC NULLS LAST, product_id) <= depth"""),
@@ -348,16 +348,16 @@ PARTS: dict[str, tuple[list[str], str]] = {
                     final_score DESC, updated_at DESC NULLS LAST, product_id) AS rank
               FROM scored)
         WHERE rank > page * size AND rank <= page * size + size"""),
-    "similar": (["docs", "product_embeddings", "label_vectors"], """
+    "alike": (["docs", "product_embeddings", "label_vectors"], """
         SELECT CAST(label AS VARCHAR) AS q_id, product_id, similarity, updated_at FROM (
             SELECT l.label, d.product_id, d.updated_at, round(list_cosine_similarity(
                 CAST(v.embedding AS DOUBLE[]), CAST(l.q_embedding AS DOUBLE[])), 9) AS similarity
             FROM label_vectors l CROSS JOIN product_embeddings v
             JOIN docs d ON d.product_id = v.product_id WHERE d.image_url IS NOT NULL)
         WHERE similarity >= 0.2"""),
-    "similar_ranked": (["similar"], """
+    "similar_ranked": (["alike"], """
         SELECT *, count(*) OVER (PARTITION BY q_id) AS total, row_number() OVER (PARTITION BY q_id
-            ORDER BY similarity DESC, updated_at DESC NULLS LAST, product_id) AS rank FROM similar"""),
+            ORDER BY similarity DESC, updated_at DESC NULLS LAST, product_id) AS rank FROM alike"""),
     "offers": (["docs"], """
         SELECT DISTINCT suggestion, priority, key FROM (
             SELECT title AS suggestion, 1 AS priority, lower(title) AS key FROM docs UNION ALL
@@ -550,8 +550,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(l.label AS VARCHAR) AS q_id, count(s.q_id) AS total,
                    CAST(ceil(count(s.q_id) / 50.0) AS BIGINT) AS last_page, 1 AS page,
                    50 AS per_page
-            FROM label_vectors l LEFT JOIN similar s ON s.q_id = CAST(l.label AS VARCHAR)
-            GROUP BY l.label""", PARTS, "similar", "label_vectors"),
+            FROM label_vectors l LEFT JOIN alike s ON s.q_id = CAST(l.label AS VARCHAR)
+            GROUP BY l.label""", PARTS, "alike", "label_vectors"),
         "similar_all_pairs": assemble("""
             SELECT q_id, rank, product_id, floor(similarity * 10000 + 0.5) / 10000 AS similarity,
                    total

@@ -57,13 +57,9 @@ def score(batch: QueryBatch, merged: DataFrame, docs: DataFrame) -> DataFrame:
     rows = merged.join(docs, "product_id")
     about = batch.frame.select("q_id", "normalized", "threshold", "sort", "page", "size")
     rows = lookup_join(rows, about, ["q_id"], "inner", ["product_id"], batch.small)
-    query = F.col("normalized")
-    title = F.lower(F.coalesce("title", F.lit("")))
-    return (rows.withColumn("match_type", ladders.match_type(
-                F.lower("product_id"), title, query, F.col("threshold")))
-            .withColumn("final_score", ladders.final_score(*[F.col(s) for s in SCORES]))
-            .withColumn("highlight", ladders.highlight(query))
-            .withColumn("matched_fields", ladders.matched_fields(query)))
+    return rows.withColumns({
+        "match_type": ladders.match_type(), "final_score": ladders.final_score(),
+        "highlight": ladders.highlight(), "matched_fields": ladders.matched_fields()})
 
 
 def sort_order():

@@ -10,7 +10,6 @@ from shelfseek import fixtures as fx, schema
 from shelfseek.functions import ladders, text, vectors
 from shelfseek.operators import (clusters, conform, documents, embed, exact, filters, lexical,
                                  lookups, quality, suggest, trigram, vector)
-from shelfseek.operators.joins import localize
 from shelfseek.plans import hybrid, responses, similar
 from shelfseek.session import shared_dir
 from shelfseek.sources import images, tables

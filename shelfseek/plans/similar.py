@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from shelfseek.functions import ladders
 from shelfseek.operators import vector
-from shelfseek.operators.joins import lookup_join
+from shelfseek.operators.joins import local_table, lookup_join
 
 
 def paged(queries: DataFrame, threshold: float = vector.SIMILARITY_THRESHOLD) -> DataFrame:
@@ -36,11 +37,16 @@ def similar_products(queries: DataFrame, docs: DataFrame, embeddings: DataFrame,
     With ``lists`` only those clusters are probed, see ``operators.clusters``.
     """
     asked = paged(queries, threshold)
-    deepest = asked.agg(F.max("depth")).first()[0] or 0
-    found = vector.scan(_with_pictures(docs, embeddings), asked, lists)
+    table = local_table(asked, vector.MAX_QUERY_BLOCK)
+    if table is None:
+        deepest = asked.agg(F.max("depth")).first()[0] or 0
+    else:
+        deepest = pc.max(table["depth"]).as_py() or 0
+        asked = asked.sparkSession.createDataFrame(table, schema=asked.schema)
+    found = vector.scan(_with_pictures(docs, embeddings), asked if table is None else table, lists)
     ranked = vector.ranked_hits(found, deepest)
     rows = lookup_join(ranked, asked.select("q_id", "page", "per_page"), ["q_id"], "inner",
-                       ["product_id"])
+                       ["product_id"], table is not None)
     skipped = (F.col("page") - 1) * F.col("per_page")
     page = rows.filter((F.col("rank") > skipped) & (F.col("rank") <= skipped + F.col("per_page")))
     shown = docs.select("product_id", "title", "product_url", "image_url", "company",
