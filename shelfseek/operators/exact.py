@@ -29,24 +29,28 @@ def exact_candidates(batch: QueryBatch, docs: DataFrame) -> DataFrame:
     """(q_id, product_id, score): best exact hit per document, first ``depth`` per query.
 
     Every document offers its field values and the title prefixes of the
-    lengths asked for; the offers meet the queries in one equi-join, and a
-    document's offers are merged in the task that made them.
+    lengths asked for, best score first and each value once, so that it meets
+    a query at most once in the equi-join and no merge is needed after it.
     """
-    fields = ", ".join(f"named_struct('value', {name}, 'score', {score}D)"
-                       for name, score in FIELD_SCORES)
+    def offers(fields):
+        return "array(" + ", ".join(f"named_struct('value', {name}, 'score', {score}D)"
+                                    for name, score in fields) + ")"
+
     lengths = ", ".join(map(str, batch.prefix_lengths))
     prefixes = (f"transform(filter(cast(array({lengths}) as array<int>), "
                 f"n -> n <= length(title_lower)), n -> named_struct("
                 f"'value', substring(title_lower, 1, n), 'score', {ladders.SCORE_TITLE_PREFIX}D))")
-    offers = f"inline(filter(concat(array({fields}), {prefixes}), o -> o.value <> ''))"
-    offered = filtered_terms(docs, batch).selectExpr(
-        "product_id", "updated_at", "sortable_price", "company_lower", "category_keys", offers)
+    better = [f for f in FIELD_SCORES if f[1] > ladders.SCORE_TITLE_PREFIX]
+    lesser = [f for f in FIELD_SCORES if f[1] < ladders.SCORE_TITLE_PREFIX]
+    ordered = f"filter(concat({offers(better)}, {prefixes}, {offers(lesser)}), o -> o.value <> '')"
+    first = "filter(offers, (o, i) -> array_position(offers.value, o.value) = i + 1)"
+    offered = (filtered_terms(docs, batch).withColumn("offers", F.expr(ordered)).selectExpr(
+        "product_id", "updated_at", "sortable_price", "company_lower", "category_keys",
+        f"inline({first})"))
     queries = batch.frame.select(F.col("normalized").alias("value"), "q_id", "depth", "f_category",
                                  "f_shop", "f_min", "f_max")
     hits = lookup_join(offered, queries, ["value"], "inner", ["product_id"], batch.small)
-    best = (hits.filter(passes_filters())
-            .groupBy("q_id", "product_id", "updated_at", "depth")
-            .agg(F.max("score").alias("score")))
+    best = hits.filter(passes_filters()).select("q_id", "product_id", "updated_at", "depth", "score")
     return (top_k(best, ["q_id"], candidate_order(), batch.max_depth, ["product_id"])
             .filter(F.col("rank") <= F.col("depth"))
             .select("q_id", "product_id", "score"))

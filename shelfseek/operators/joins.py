@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_LOCAL_ROWS = 20_000
@@ -22,15 +23,12 @@ def local_table(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS,
     At most ``max_rows + 1`` rows are fetched, and the contents of longer
     rows stay behind, so the driver's share is bounded whatever the frame is.
     """
-    whole = F.struct(*df.columns)
-    short = F.when(F.length(F.to_json(whole)) <= max_chars, whole)
-    rows = df.limit(max_rows + 1).select(short.alias("row")).toArrow()
-    column = rows.column("row").combine_chunks()
-    if rows.num_rows > max_rows or column.null_count:
+    short = F.length(F.to_json(F.struct(*df.columns))) <= max_chars
+    rows = df.limit(max_rows + 1).select(
+        short.alias("_short"), *[F.when(short, F.col(c)).alias(c) for c in df.columns]).toArrow()
+    if rows.num_rows > max_rows or not pc.all(rows["_short"], min_count=0).as_py():
         return None
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else column.chunk(0)
-    return pa.Table.from_arrays(column.flatten(), names=df.columns)
+    return rows.drop_columns("_short")
 
 
 def localize(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS,

@@ -75,23 +75,27 @@ FREE_GROUPS = """exists(transform(numbered, (g, i) -> named_struct('g', g, 'i',
 
 
 def lexical_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q_id, product_id, score) of all documents that match, before filters and limits."""
-    wanted = batch.frame.select("q_id", F.posexplode("terms").alias("o", "term"))
-    inverse = "case weight " + " ".join(
-        f"when '{c}' then {1 / w}D" for c, w in CLASS_WEIGHTS.items()) + " end"
-    hits = (_matching(index, wanted, batch).groupBy("q_id", "product_id").agg(F.expr(
-        f"sort_array(collect_list(named_struct('pos', pos, 'o', o, 'inv', {inverse})))"
-    ).alias("hits")))
+    """(q_id, product_id, score) of all documents that match, before filters and limits.
+
+    Required and excluded terms are looked up in one pass and gathered per
+    document in one grouping, which needs no shuffle on postings that are
+    bucketed by product.
+    """
+    wanted = batch.frame.select("q_id", F.posexplode("terms").alias("o", "term")).withColumn(
+        "g", F.lit(None).cast("int"))
     if batch.any_negation:
         unwanted = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
-            "q_id", "g", F.explode("group.excluded").alias("term"))
-        barred = (_matching(index, unwanted, batch).groupBy("q_id", "product_id")
-                  .agg(F.collect_set("g").alias("barred")))
-        hits = hits.join(barred, ["q_id", "product_id"], "left")
-    else:
-        hits = hits.withColumn("barred", F.lit(None).cast("array<int>"))
+            "q_id", F.lit(None).cast("int").alias("o"),
+            F.explode("group.excluded").alias("term"), "g")
+        wanted = wanted.unionByName(unwanted)
+    inverse = "case weight " + " ".join(
+        f"when '{c}' then {1 / w}D" for c, w in CLASS_WEIGHTS.items()) + " end"
+    met = _matching(index, wanted, batch).groupBy("q_id", "product_id").agg(
+        F.expr(f"sort_array(collect_list(if(o is null, null, "
+               f"named_struct('pos', pos, 'o', o, 'inv', {inverse}))))").alias("hits"),
+        F.collect_set("g").alias("barred"))
     about = batch.frame.selectExpr("q_id", "numbered", "size(terms) as n_terms")
-    alive = (lookup_join(hits, about, ["q_id"], "inner", ["product_id"], batch.small)
+    alive = (lookup_join(met, about, ["q_id"], "inner", ["product_id"], batch.small)
              .withColumn("present", F.expr("array_distinct(hits.o)"))
              .withColumn("alive", F.expr(f"transform({ALLOWED_GROUPS}, x -> x.g)"))
              .filter("size(alive) > 0"))
@@ -103,7 +107,8 @@ def lexical_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> Dat
     negative = batch.frame.filter("exists(groups, g -> size(g.required) = 0)")
     free = (with_every_query(docs.select("product_id"), negative.select("q_id", "numbered"),
                              batch.small)
-            .join(barred, ["q_id", "product_id"], "left").filter(FREE_GROUPS)
+            .join(met.filter("size(barred) > 0").select("q_id", "product_id", "barred"),
+                  ["q_id", "product_id"], "left").filter(FREE_GROUPS)
             .select("q_id", "product_id", F.lit(0.0).alias("score")))
     return ranked.unionByName(free).groupBy("q_id", "product_id").agg(
         F.max("score").alias("score"))

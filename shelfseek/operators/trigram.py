@@ -9,7 +9,7 @@ from shelfseek.functions.text import trigrams
 from shelfseek.operators.exact import candidate_order
 from shelfseek.operators.filters import (FILTERS, QueryBatch, document_terms, filtered_terms,
                                          passes_filters)
-from shelfseek.operators.joins import localize, lookup_join, top_k
+from shelfseek.operators.joins import local_table, lookup_join, salted_join, top_k
 
 MAX_PUSHED_GRAMS = 2000
 WEIGHTS = ladders.TRIGRAM_WEIGHTS
@@ -64,19 +64,51 @@ def trigram_candidates(batch: QueryBatch, index: DataFrame, docs: DataFrame) ->
     values does; values are matched first and joined back to the documents.
     """
     matched = matching_values(batch, index)
-    local = localize(matched)
-    if local is not None:
-        matched = local
+    table = local_table(matched)
+    terms = filtered_terms(docs, batch)
+    if table is None:
+        hits = _hits_by_value(terms, matched)
+    else:
+        hits = _hits_by_row(terms, matched.sparkSession.createDataFrame(table, schema=matched.schema))
     about = batch.frame.select("q_id", "depth", *FILTERS)
-    matched = lookup_join(matched, about, ["q_id"], "inner", ["value_key"], batch.small)
-    fields = filtered_terms(docs, batch).select(
-        "product_id", "updated_at", "sortable_price", "company_lower", "category_keys",
-        _field_values()).drop("value")
-    hits = lookup_join(fields, matched, ["field", "value_key"], "inner", ["product_id"],
-                       local is not None)
-    best = (hits.filter(passes_filters())
-            .groupBy("q_id", "product_id", "updated_at", "depth")
-            .agg(F.max("score").alias("score")))
+    rows = lookup_join(hits, about, ["q_id"], "inner", ["product_id"], batch.small)
+    best = rows.filter(passes_filters()).select("q_id", "product_id", "updated_at", "depth", "score")
     return (top_k(best, ["q_id"], candidate_order(), batch.max_depth, ["product_id"])
             .filter(F.col("rank") <= F.col("depth"))
             .select("q_id", "product_id", "score"))
+
+
+HIT_COLUMNS = ["product_id", "updated_at", "sortable_price", "company_lower", "category_keys"]
+
+
+def _hits_by_row(terms: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row per (q_id, product_id), made within the document's row.
+
+    Each field looks its value up once; a value brings the scores of all
+    queries it matches, and the best one per query is kept in place. A value
+    held by a large part of the documents then causes no shuffle.
+    """
+    found = matched.groupBy("field", "value_key").agg(
+        F.collect_list(F.struct("q_id", "score")).alias("scores"))
+    rows = terms
+    for name in WEIGHTS:
+        one = found.filter(F.col("field") == name).select(
+            F.col("value_key").alias(f"{name}_key"), F.col("scores").alias(f"{name}_scores"))
+        rows = rows.withColumn(f"{name}_key", F.md5(f"{name}_lower")).join(
+            F.broadcast(one), f"{name}_key", "left")
+    every = ", ".join(f"coalesce({name}_scores, array())" for name in WEIGHTS)
+    ordered = f"""array_sort(concat({every}), (a, b) -> case when a.q_id < b.q_id then -1
+        when a.q_id > b.q_id then 1 when a.score > b.score then -1
+        when a.score < b.score then 1 else 0 end)"""
+    best = "filter(scores, (x, i) -> i = 0 or scores[i - 1].q_id <> x.q_id)"
+    any_match = " or ".join(f"{name}_scores is not null" for name in WEIGHTS)
+    return (rows.filter(any_match).withColumn("scores", F.expr(ordered))
+            .selectExpr(*HIT_COLUMNS, f"inline({best})"))
+
+
+def _hits_by_value(terms: DataFrame, matched: DataFrame) -> DataFrame:
+    """The same for more matched values than may be broadcast: join and merge by shuffle."""
+    fields = terms.select(*HIT_COLUMNS, _field_values()).drop("value")
+    hits = salted_join(fields, matched, ["field", "value_key"], "inner", ["product_id"])
+    best = hits.groupBy("q_id", "product_id").agg(F.max("score").alias("score"))
+    return best.join(terms.select(*HIT_COLUMNS), "product_id")

@@ -280,9 +280,9 @@ def ranked_hits(found: DataFrame, max_depth: int) -> DataFrame:
     A query's rows from all tasks are first trimmed in parts. Counts ride along:
     the first row of each part carries the part's count.
     """
-    part = F.pmod(F.xxhash64("product_id"), F.lit(SALTS))
-    within = Window.partitionBy("q_id", part)
-    trimmed = (found.withColumn("rn", F.row_number().over(within.orderBy(*nearest_order())))
+    parted = found.withColumn("part", F.pmod(F.xxhash64("product_id"), F.lit(SALTS)))
+    within = Window.partitionBy("q_id", "part")
+    trimmed = (parted.withColumn("rn", F.row_number().over(within.orderBy(*nearest_order())))
                .withColumn("hits", F.sum("hits").over(within))
                .filter(F.col("rn") <= max_depth)
                .withColumn("hits", F.when(F.col("rn") == 1, F.col("hits")).otherwise(0)))

@@ -13,6 +13,7 @@ from shelfseek.operators.joins import lookup_join
 from shelfseek.operators.lexical import lexical_candidates, postings
 from shelfseek.operators.trigram import trigram_candidates, trigram_index
 from shelfseek.operators.vector import semantic_candidates
+from shelfseek.sources.tables import write_bucketed, write_sorted
 
 SCORES = ["exact_score", "lexical_score", "trigram_score", "semantic_score"]
 RESULT_COLUMNS = ["q_id", "rank", "product_id", "title", "product_url", "image_url", "company",
@@ -36,6 +37,27 @@ class SearchIndex:
                            trigram_index(documents, fold_accents))
 
 
+def store_index(documents: DataFrame, embeddings: DataFrame, name: str, path: str, buckets: int,
+                fold_accents: bool = False) -> SearchIndex:
+    """Write the search tables and open them.
+
+    Documents, embeddings and postings are bucketed on the product id: lexical
+    hits are grouped, and vectors and hits meet their documents, where they
+    lie. Postings are sorted by term within a bucket, and trigrams by gram, so
+    that a search reads only the parts it asks for.
+    """
+    spark = documents.sparkSession
+    docs = write_bucketed(documents, f"{name}_documents", f"{path}/documents", "product_id", buckets)
+    vectors = write_bucketed(embeddings, f"{name}_embeddings", f"{path}/embeddings", "product_id",
+                             buckets)
+    index = write_bucketed(postings(docs), f"{name}_postings", f"{path}/postings", "product_id",
+                           buckets, "term", "product_id")
+    grams = trigram_index(docs, fold_accents)
+    write_sorted(grams, f"{path}/trigrams", "gram", "value_key")
+    return SearchIndex(docs, vectors, index,
+                       spark.read.schema(grams.schema).parquet(f"{path}/trigrams"))
+
+
 def candidates(batch: QueryBatch, index: SearchIndex) -> DataFrame:
     """Scores of all sources merged to one row per (q_id, product_id)."""
     sources = [

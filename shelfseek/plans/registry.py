@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,15 +19,18 @@ from shelfseek.streaming.sync import sync_stream
 _built: dict[tuple, hybrid.SearchIndex] = {}
 
 
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def search_index(spark: SparkSession, d: str) -> hybrid.SearchIndex:
     """The stored search tables of a data folder, built on first use in a session."""
     key = (spark.sparkContext.applicationId, d, "parts")
     if key not in _built:
-        docs = tables.stored(fx.documents(spark, d), "documents")
-        _built[key] = hybrid.SearchIndex(
-            docs, tables.stored(fx.product_embeddings(spark, d), "embeddings"),
-            _stored_sorted(lexical.postings(docs), "postings", "term", "product_id", "pos"),
-            _stored_sorted(trigram.trigram_index(docs), "trigrams", "gram", "value_key"))
+        name = f"parts_{uuid.uuid4().hex}"
+        _built[key] = hybrid.store_index(
+            fx.documents(spark, d), fx.product_embeddings(spark, d), name,
+            f"{shared_dir(spark)}/{name}", _buckets(spark))
     return _built[key]
 
 
@@ -34,20 +38,16 @@ def article_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents and postings of the long texts."""
     key = (spark.sparkContext.applicationId, d, "articles")
     if key not in _built:
-        docs = fx.articles(spark, d)
-        _built[key] = (docs, _stored_sorted(lexical.postings(docs), "article-postings", "term",
-                                            "product_id", "pos"))
+        name = f"articles_{uuid.uuid4().hex}"
+        docs = tables.write_bucketed(fx.articles(spark, d), f"{name}_documents",
+                                     f"{shared_dir(spark)}/{name}/documents", "product_id",
+                                     _buckets(spark))
+        _built[key] = (docs, tables.write_bucketed(
+            lexical.postings(docs), f"{name}_postings", f"{shared_dir(spark)}/{name}/postings",
+            "product_id", _buckets(spark), "term", "product_id"))
     return _built[key]
 
 
-def _stored_sorted(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    import uuid
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    tables.write_sorted(df, path, *keys)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _stamp(column: str):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
@@ -108,7 +108,6 @@ def sync_status(spark, d):
 
 
 def stream_sync(spark, d):
-    import uuid
     store = tables.BucketStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}",
                                schema.DDL["product_search_documents"], buckets=8)
     store.create(_outdated(search_index(spark, d).documents))

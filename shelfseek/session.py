@@ -38,11 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fresh = tempfile.mkdtemp(prefix="shelfseek-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="shelfseek-")
+        spark.sparkContext.setCheckpointDir(_local_dirs[app])
+    return _local_dirs[app]
 
 
+_local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 

@@ -13,6 +13,7 @@ def read_images(spark: SparkSession, path: str, max_bytes: int = MAX_IMAGE_BYTES
     """(path, length, content) of files that fit, and (path, length, error) of those that do not.
 
     The size filter reaches the file source, so large files are not loaded.
+    Files without any content are not listed by the source.
     """
     reader = spark.read.format("binaryFile")
     if pattern:

@@ -25,7 +25,7 @@ def canonical(value):
         return value
     if hasattr(value, "__float__"):
         number = float(value)
-        return "nan" if math.isnan(number) else round(number, 8)
+        return "nan" if math.isnan(number) else number
     return str(value)
 
 
