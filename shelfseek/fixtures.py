@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the cores where its files give fewer splits."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def categories(spark, d):
     return table(spark, d, "region").select(
         F.col("r_regionkey").cast("string").alias("uuid"),
@@ -169,7 +176,7 @@ def articles(spark, d):
     """Long accented texts in the shape of search documents, whole texts as titles."""
     text = F.col("text")
     none = F.lit(None)
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("product_id"), text.alias("title"),
         none.cast("string").alias("product_url"), none.cast("string").alias("image_url"),
         F.col("source").alias("company"),

@@ -66,6 +66,7 @@ class QueryBatch:
     prefix_lengths: list[int]
     any_negation: bool = True
     any_pure_negation: bool = True
+    any_compound: bool = True
     filters: list[tuple] = field(default_factory=list)
     terms: list[str] = field(default_factory=list)
     grams: list[str] = field(default_factory=list)
@@ -101,6 +102,7 @@ def query_batch(normalized: DataFrame, fold_accents: bool = False) -> QueryBatch
         frame, table, pc.max(table["depth"]).as_py() or 0,
         pc.max(table["vector_depth"]).as_py() or 0, sorted({len(r["normalized"]) for r in rows}),
         any(g["excluded"] for g in groups), any(not g["required"] for g in groups),
+        any(len(g["required"]) > 1 for g in groups),
         sorted({tuple(r[f] for f in FILTERS) for r in rows}, key=repr),
         sorted({t for g in groups for t in (*g["required"], *g["excluded"])}),
         sorted({g for r in rows for g in r["grams"]}), fold_accents)

@@ -9,7 +9,7 @@ from shelfseek.functions.text import lexemes
 from shelfseek.operators.exact import candidate_order
 from shelfseek.operators.filters import (FILTERS, QueryBatch, filtered_terms, passes_filters,
                                          with_every_query)
-from shelfseek.operators.joins import lookup_join, top_k
+from shelfseek.operators.joins import localize, lookup_join, top_k
 
 # The weight class of each field, and what a class is worth.
 FIELD_CLASSES = [("lexical_title", "A"), ("lexical_company", "B"), ("category_title", "B"),
@@ -60,11 +60,28 @@ def cover_density(hits: str, groups: str, n_terms: str) -> Column:
         (s, h) -> {step}, s -> s.rank / (s.rank + 1))""")
 
 
-def _matching(index: DataFrame, terms: DataFrame, batch: QueryBatch) -> DataFrame:
-    """Postings of the wanted terms; a short list of terms also prunes the scan."""
+def _pruned(index: DataFrame, batch: QueryBatch) -> DataFrame:
+    """Postings of the batch's terms, where these are few enough to name in the scan."""
     if batch.small and len(batch.terms) <= MAX_PUSHED_TERMS:
-        index = index.filter(F.col("term").isin(batch.terms))
-    return lookup_join(index, terms, ["term"], "inner", ["product_id", "pos"], batch.small)
+        return index.filter(F.col("term").isin(batch.terms))
+    return index
+
+
+def _leading_terms(batch: QueryBatch, index: DataFrame) -> DataFrame:
+    """(q_id, term): one required term per group, the one with the fewest postings.
+
+    A document of the group must hold it, so a frequent word next to a rare
+    one costs no more than the rare one.
+    """
+    required = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
+        "q_id", "g", F.explode("group.required").alias("term"))
+    if not batch.any_compound:
+        return required.select("q_id", "term").distinct()
+    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    counted = required.join(counts, "term", "left")
+    leading = counted.groupBy("q_id", "g").agg(
+        F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    return leading.select("q_id", "term").distinct()
 
 
 ALLOWED_GROUPS = """filter(transform(numbered, (g, i) -> named_struct('g', g, 'i', i)),
@@ -74,41 +91,66 @@ FREE_GROUPS = """exists(transform(numbered, (g, i) -> named_struct('g', g, 'i',
     x -> size(x.g) = 0 and not coalesce(array_contains(barred, x.i), false))"""
 
 
+def _small_or_lazy(df: DataFrame, batch: QueryBatch) -> DataFrame:
+    """An intermediate result computed now and broadcast if it is small, else left as it is."""
+    local = localize(df) if batch.small else None
+    return df if local is None else F.broadcast(local)
+
+
 def lexical_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
     """(q_id, product_id, score) of all documents that match, before filters and limits.
 
-    Required and excluded terms are looked up in one pass and gathered per
-    document in one grouping, which needs no shuffle on postings that are
-    bucketed by product.
+    Three narrowing passes: documents that hold a group's leading term; of
+    these, documents that hold all terms of a group and none it excludes; and
+    only for those the positions, gathered and ranked. On postings bucketed
+    by product none of them shuffles postings.
     """
-    wanted = batch.frame.select("q_id", F.posexplode("terms").alias("o", "term")).withColumn(
-        "g", F.lit(None).cast("int"))
-    if batch.any_negation:
-        unwanted = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
-            "q_id", F.lit(None).cast("int").alias("o"),
-            F.explode("group.excluded").alias("term"), "g")
-        wanted = wanted.unionByName(unwanted)
+    index = _pruned(index, batch)
+    leading = _small_or_lazy(_leading_terms(batch, index), batch)
+    able = lookup_join(index.select("product_id", "term"), leading, ["term"], "inner",
+                       ["product_id"], batch.small).select("q_id", "product_id").distinct()
+    wanted = batch.frame.select("q_id", F.posexplode("terms").alias("o", "term"))
+    barring = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
+        "q_id", "g", F.explode("group.excluded").alias("term"))
+    about = batch.frame.selectExpr("q_id", "numbered", "size(terms) as n_terms")
+    if batch.any_compound or batch.any_negation:
+        able = _small_or_lazy(able, batch)
+        checked = wanted.withColumn("g", F.lit(None).cast("int")).unionByName(
+            barring.withColumn("o", F.lit(None).cast("int")))
+        seen = lookup_join(
+            index.select("product_id", "term").join(able, "product_id"), checked, ["q_id", "term"],
+            "inner", ["product_id"], batch.small).select("q_id", "product_id", "o", "g").distinct()
+        held = seen.groupBy("q_id", "product_id").agg(
+            F.collect_set("o").alias("present"), F.collect_set("g").alias("barred"))
+        alive = (lookup_join(held, about, ["q_id"], "inner", ["product_id"], batch.small)
+                 .withColumn("alive", F.expr(f"transform({ALLOWED_GROUPS}, x -> x.g)"))
+                 .filter("size(alive) > 0").select("q_id", "product_id", "alive", "n_terms"))
+    else:
+        alive = lookup_join(able, about, ["q_id"], "inner", ["product_id"], batch.small
+                            ).withColumnRenamed("numbered", "alive")
+    alive = _small_or_lazy(alive, batch)
     inverse = "case weight " + " ".join(
         f"when '{c}' then {1 / w}D" for c, w in CLASS_WEIGHTS.items()) + " end"
-    met = _matching(index, wanted, batch).groupBy("q_id", "product_id").agg(
-        F.expr(f"sort_array(collect_list(if(o is null, null, "
-               f"named_struct('pos', pos, 'o', o, 'inv', {inverse}))))").alias("hits"),
-        F.collect_set("g").alias("barred"))
-    about = batch.frame.selectExpr("q_id", "numbered", "size(terms) as n_terms")
-    alive = (lookup_join(met, about, ["q_id"], "inner", ["product_id"], batch.small)
-             .withColumn("present", F.expr("array_distinct(hits.o)"))
-             .withColumn("alive", F.expr(f"transform({ALLOWED_GROUPS}, x -> x.g)"))
-             .filter("size(alive) > 0"))
-    ranked = alive.select("q_id", "product_id", ladders.rounded(
-        cover_density("hits", "alive", "n_terms")).alias("score"))
+    hits = lookup_join(index.join(alive, "product_id"), wanted, ["q_id", "term"], "inner",
+                       ["product_id", "pos"], batch.small)
+    ranked = hits.groupBy("q_id", "product_id").agg(
+        F.expr(f"sort_array(collect_list(named_struct('pos', pos, 'o', o, 'inv', {inverse})))"
+               ).alias("hits"),
+        F.first("alive").alias("alive"), F.first("n_terms").alias("n_terms")).select(
+        "q_id", "product_id",
+        ladders.rounded(cover_density("hits", "alive", "n_terms")).alias("score"))
     if not batch.any_pure_negation:
         return ranked
     # A group of exclusions alone matches every other document, with rank 0.
     negative = batch.frame.filter("exists(groups, g -> size(g.required) = 0)")
+    barred = lookup_join(
+        index.select("product_id", "term"),
+        barring.join(negative.select("q_id"), "q_id", "left_semi"), ["term"], "inner",
+        ["product_id"], batch.small).groupBy("q_id", "product_id").agg(
+        F.collect_set("g").alias("barred"))
     free = (with_every_query(docs.select("product_id"), negative.select("q_id", "numbered"),
                              batch.small)
-            .join(met.filter("size(barred) > 0").select("q_id", "product_id", "barred"),
-                  ["q_id", "product_id"], "left").filter(FREE_GROUPS)
+            .join(barred, ["q_id", "product_id"], "left").filter(FREE_GROUPS)
             .select("q_id", "product_id", F.lit(0.0).alias("score")))
     return ranked.unionByName(free).groupBy("q_id", "product_id").agg(
         F.max("score").alias("score"))

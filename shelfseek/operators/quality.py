@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from shelfseek import schema
-from shelfseek.operators.joins import lookup_join
+from shelfseek.operators.joins import are_small, lookup_join
 
 Tables = dict[str, DataFrame]
 
@@ -75,32 +75,34 @@ def delete_cascade(tables: Tables, table: str, keys: DataFrame) -> Tables:
     that other rows restrict are left to the orphan report.
     """
     out = dict(tables)
-    _delete(out, table, keys.select("key").distinct())
+    keys = keys.select("key").distinct()
+    _delete(out, table, keys, are_small(keys)[0])
     return out
 
 
-def _delete(out: Tables, table: str, keys: DataFrame) -> None:
-    own = PRIMARY_KEYS[table]
+def _delete(out: Tables, table: str, keys: DataFrame, small: bool) -> None:
+    """``small`` tells of keys that were measured; keys of children are not, and are salted,
+    as one parent may hold a large share of the child's rows."""
     before = dict(out)
-    out[table] = _drop(out[table], own, keys)
+    out[table] = _drop(out[table], PRIMARY_KEYS[table], keys, small)
     for child, column, parent, _, action in schema.REFERENCES:
         if parent != table or child not in before or column not in before[child].columns:
             continue
-        if action == "cascade":
-            if any(r[2] == child for r in schema.REFERENCES):
-                named = keys.withColumnRenamed("key", column)
-                gone = lookup_join(before[child], named, [column], "left_semi",
-                                   [PRIMARY_KEYS[child]])
-                _delete(out, child, gone.select(F.col(PRIMARY_KEYS[child]).alias("key")))
-            else:
-                out[child] = _drop(out[child], column, keys)
+        own = PRIMARY_KEYS[child]
+        if action == "cascade" and any(r[2] == child and r[0] in before for r in schema.REFERENCES):
+            named = keys.withColumnRenamed("key", column)
+            gone = lookup_join(before[child], named, [column], "left_semi", [own], small)
+            _delete(out, child, gone.select(F.col(own).alias("key")), False)
+        elif action == "cascade":
+            out[child] = _drop(out[child], column, keys, small)
         elif action == "set null":
             mark = keys.select(F.col("key").alias(column), F.lit(True).alias("_gone"))
-            rows = lookup_join(out[child], mark, [column], "left", [PRIMARY_KEYS[child]])
+            rows = lookup_join(out[child], mark, [column], "left", [own], small)
             out[child] = rows.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))
                                          ).select(*before[child].columns)
 
 
-def _drop(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+def _drop(rows: DataFrame, column: str, keys: DataFrame, small: bool) -> DataFrame:
     named = keys.withColumnRenamed("key", column)
-    return lookup_join(rows, named, [column], "left_anti", rows.columns[:4]).select(*rows.columns)
+    return lookup_join(rows, named, [column], "left_anti", rows.columns[:4], small
+                       ).select(*rows.columns)

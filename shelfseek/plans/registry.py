@@ -144,7 +144,7 @@ def vector_codec(spark, d):
 
 def normalize_queries(spark, d):
     """Every turn of every conversation taken as a raw query."""
-    turns = fx.table(spark, d, "conversations").select(
+    turns = fx.texts(spark, d, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("q_id"), F.col("text").alias("raw"),
         F.col("role").alias("category"), F.lit(None).cast("string").alias("shop"),
         F.lit(None).cast("double").alias("min_price"), F.lit(None).cast("double").alias("max_price"),
@@ -441,7 +441,7 @@ def insert_embeddings(spark, d):
 
 
 def embed_texts(spark, d):
-    rows = fx.table(spark, d, "documents").select("doc_id", "text")
+    rows = fx.texts(spark, d, "documents").select("doc_id", "text")
     done = embed.embed_texts(rows, embed.HashEncoder)
     return done.select("doc_id", F.size("embedding").alias("width"),
                        F.round(vectors.norm(F.col("embedding")), 3).alias("length"), "error")
