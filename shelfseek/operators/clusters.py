@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -19,12 +21,16 @@ TRAIN_PER_LIST, TRAIN_MIN = 50, 10_000
 
 def train(embeddings: DataFrame, lists: int = LISTS, seed: int = 1, iterations: int = 10
           ) -> np.ndarray:
-    """Unit cluster centres, trained on a bounded hash sample; every vector is assigned later."""
+    """Unit cluster centres, trained on a hash sample of about ``TRAIN_PER_LIST`` rows a list.
+
+    The sample only places the centres; every vector is assigned to one later.
+    """
     unit = embeddings.select("product_id", l2_normalize(F.col("embedding")).alias("v")).filter(
         F.col("v").isNotNull())
-    rows = max(TRAIN_PER_LIST * lists, TRAIN_MIN)
-    sample = unit.orderBy(F.xxhash64("product_id"), "product_id").limit(rows)
-    points = sample.select(array_to_vector("v").alias("features"))
+    share = max(TRAIN_PER_LIST * lists, TRAIN_MIN) / max(1, embeddings.count())
+    fine = 1 << 40
+    chosen = F.pmod(F.xxhash64("product_id"), F.lit(fine)) < math.ceil(share * fine)
+    points = unit.filter(chosen).select(array_to_vector("v").alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(points)
     centres = np.array(model.clusterCenters())
     length = np.linalg.norm(centres, axis=1, keepdims=True)

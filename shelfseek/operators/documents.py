@@ -78,10 +78,14 @@ def build_documents(products: DataFrame, details: DataFrame, categories: DataFra
 
 def documents_for(ids: DataFrame, products: DataFrame, details: DataFrame, *taxonomy: DataFrame
                   ) -> DataFrame:
-    """Documents of chosen products; both inputs shrink to the ids before the window."""
-    wanted = ids.select(F.col("product_id").alias("id")).distinct()
-    few = products.join(wanted, "id", "left_semi")
-    rows = details.join(wanted.withColumnRenamed("id", "product_id"), "product_id", "left_semi")
+    """Documents of chosen products; both inputs shrink to the ids before the window.
+
+    One product may own a large share of the details, so the ids are broadcast
+    if measured small and salted otherwise.
+    """
+    wanted = ids.select("product_id").distinct()
+    few = products.join(wanted.withColumnRenamed("product_id", "id"), "id", "left_semi")
+    rows = lookup_join(details, wanted, ["product_id"], "left_semi", ["id"])
     return build_documents(few, rows, *taxonomy)
 
 

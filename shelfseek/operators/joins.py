@@ -14,6 +14,7 @@ MAX_ROW_CHARS = 16_000
 SALTS = 32
 # Above this k Spark no longer trims groups before the shuffle.
 GROUP_LIMIT_MAX = 1000
+MANY_PARTITIONS = 200
 
 
 def local_table(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS,
@@ -70,28 +71,25 @@ def lookup_join(big: DataFrame, other: DataFrame, on: Sequence[str], how: str =
     return salted_join(big, other, on, how, spread or big.columns)
 
 
+def rank_parts(df: DataFrame) -> int:
+    """How many parts a group is ranked in before the parts are ranked together."""
+    return max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
-          spread: Sequence[str], rank: str = "rank", two_step: bool = False) -> DataFrame:
+          spread: Sequence[str], rank: str = "rank", two_step: bool | None = None) -> DataFrame:
     """The first ``k`` rows of each group, ranked from 1.
 
     For moderate ``k`` Spark trims each group in every task before the shuffle.
-    For larger ``k``, or rows that come trimmed from many tasks, groups are
-    first ranked in parts, then across parts.
+    For larger ``k``, and on clusters set up for many tasks, whose trimmed
+    rows add up, groups are first ranked in parts, then across parts.
     """
-    if two_step or k > GROUP_LIMIT_MAX:
-        part = F.pmod(F.xxhash64(*spread), F.lit(SALTS))
+    if two_step is None:
+        shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        two_step = k > GROUP_LIMIT_MAX or shuffles > MANY_PARTITIONS
+    if two_step:
+        part = F.pmod(F.xxhash64(*spread), F.lit(rank_parts(df)))
         inner = Window.partitionBy(*keys, part).orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= k).drop(rank)
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(rank) <= k)
-
-
-def with_prefixes(df: DataFrame, column: str, lengths: Sequence[int], name: str) -> DataFrame:
-    """One row per prefix of ``column`` whose length some query has.
-
-    Turns ``column LIKE query || '%'`` into an equi-join on the prefix.
-    """
-    wanted = F.array(*[F.lit(n) for n in sorted(set(lengths))]).cast("array<int>")
-    fitting = F.filter(wanted, lambda n: n <= F.length(F.col(column)))
-    return df.withColumn(name, F.explode(F.transform(
-        fitting, lambda n: F.col(column).substr(F.lit(1), n))))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfseek.functions import ladders
 from shelfseek.operators.filters import FILTERS, QueryBatch, filtered_terms
-from shelfseek.operators.joins import SALTS, local_table, lookup_join, top_k
+from shelfseek.operators.joins import local_table, lookup_join, rank_parts, top_k
 from shelfseek.session import ship_package
 
 # Similarity threshold and page sizes of a similarity search.
@@ -280,7 +280,7 @@ def ranked_hits(found: DataFrame, max_depth: int) -> DataFrame:
     A query's rows from all tasks are first trimmed in parts. Counts ride along:
     the first row of each part carries the part's count.
     """
-    parted = found.withColumn("part", F.pmod(F.xxhash64("product_id"), F.lit(SALTS)))
+    parted = found.withColumn("part", F.pmod(F.xxhash64("product_id"), F.lit(rank_parts(found))))
     within = Window.partitionBy("q_id", "part")
     trimmed = (parted.withColumn("rn", F.row_number().over(within.orderBy(*nearest_order())))
                .withColumn("hits", F.sum("hits").over(within))
@@ -310,8 +310,7 @@ def semantic_candidates(batch: QueryBatch, docs: DataFrame, embeddings: DataFram
         asked = batch.frame.filter("q_embedding is not null").select(*names).withColumnRenamed(
             "vector_depth", "depth").withColumn("threshold", F.lit(None).cast("double"))
     found = scan(vectors, asked).filter(F.col("product_id").isNotNull())
-    best = top_k(found, ["q_id"], nearest_order(), batch.max_vector_depth, ["product_id"],
-                 two_step=True)
+    best = top_k(found, ["q_id"], nearest_order(), batch.max_vector_depth, ["product_id"])
     depths = batch.frame.select("q_id", "vector_depth")
     return (lookup_join(best, depths, ["q_id"], "inner", ["product_id"], batch.small)
             .filter(F.col("rank") <= F.col("vector_depth"))

@@ -602,6 +602,12 @@ def oracle_sql() -> dict[str, str]:
         "embed_outcomes": assemble("SELECT * FROM outcomes", PARTS, "outcomes"),
         "embed_counts": assemble("SELECT status, count(*) AS n FROM outcomes GROUP BY status",
                                  PARTS, "outcomes"),
+        "index_newest": assemble("""
+            SELECT o.product_id, o.status, o.reason, o.retryable FROM outcomes o JOIN (
+                SELECT id FROM products
+                WHERE image_url <> '' AND id NOT IN (SELECT product_id FROM product_embeddings)
+                ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 100) n
+            ON n.id = o.product_id""", PARTS, "outcomes", "products", "product_embeddings"),
         "insert_embeddings": assemble("""
             SELECT product_id, id, model_version, len(embedding) AS width FROM product_embeddings
             UNION ALL

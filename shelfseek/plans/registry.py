@@ -11,7 +11,7 @@ from shelfseek import fixtures as fx, schema
 from shelfseek.functions import ladders, text, vectors
 from shelfseek.operators import (clusters, conform, documents, embed, exact, filters, lexical,
                                  lookups, quality, suggest, trigram, vector)
-from shelfseek.plans import hybrid, responses, similar
+from shelfseek.plans import hybrid, jobs, responses, similar
 from shelfseek.session import shared_dir
 from shelfseek.sources import images, tables
 from shelfseek.streaming.sync import sync_stream
@@ -428,6 +428,13 @@ def embed_counts(spark, d):
     return embed.outcome_counts(_outcomes(spark, d))
 
 
+def index_newest(spark, d):
+    """Outcomes of embedding the newest hundred pending products."""
+    return jobs.index_pending(fx.products(spark, d), fx.product_embeddings(spark, d), offline_fetch,
+                              embed.HashEncoder, limit=100).select(
+        "product_id", "status", "reason", "retryable")
+
+
 def insert_embeddings(spark, d):
     """Embeddings stored after an insert that gives way to what is stored already."""
     kept = fx.product_embeddings(spark, d)
@@ -560,7 +567,7 @@ QUERIES = {f.__name__: f for f in (
     semantic_candidates, hybrid_page2, hybrid_filtered, hybrid_no_embedding, hybrid_batch,
     similar_products, similar_page2, similar_all_pairs, similar_count, similarity_bands,
     ann_search, result_json, image_json, suggestions, suggestions_fallback, pending_embeddings,
-    pending_all, pending_retry, embed_outcomes, embed_counts, insert_embeddings, embed_texts,
+    pending_all, pending_retry, embed_outcomes, embed_counts, index_newest, insert_embeddings, embed_texts,
     image_files, catalogue_lookups, orphans, duplicate_keys, null_violations, cascade_delete,
     taxonomy_backfill, conform_schema, conform_details)}
 QUERIES |= {f"hybrid_{mode}": _sorted_search(mode)

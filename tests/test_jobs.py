@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfseek import fixtures as fx, schema
 from shelfseek.functions import ladders, vectors
 from shelfseek.operators import clusters, conform, documents, embed, quality, suggest
-from shelfseek.plans import registry, similar
+from shelfseek.plans import jobs, registry, similar
 from shelfseek.sources import images, tables
 from shelfseek.streaming.sync import sync_stream
 
@@ -217,6 +217,36 @@ def test_index_products(spark):
         "p0", "p1", "p2", "p3", "p4", "p5", "p7"}
 
 
+def test_jobs_store_what_they_did(spark, tmp_path):
+    t = catalogue(spark)
+    taxonomy = [t[n] for n in ("categories", "subcategories", "leaf_categories")]
+    store = tables.BucketStore(spark, str(tmp_path / "d"), schema.DDL["product_search_documents"],
+                               buckets=2)
+    assert jobs.rebuild_documents(store, t["products"], t["product_details"], *taxonomy) == 3
+    ids = spark.createDataFrame([("p1",), ("zz9",), ("?",)], "product_id string")
+    status = jobs.sync_documents(store, ids, t["products"], t["product_details"], *taxonomy,
+                                 pattern="^[a-z0-9]+$")
+    assert {r[0]: r[1] for r in status.collect()} == {"p1": "indexed", "zz9": "missing",
+                                                      "?": "rejected"}
+    assert store.read().count() == 3
+    urls = ["ok", "busy", "ok2"]
+    products = frame(spark, "products", [
+        dict(id=f"p{i}", image_url=u, updated_at=dt.datetime(2024, 1, 1 + i)) for i, u in enumerate(urls)])
+    none = frame(spark, "product_embeddings", [])
+    one = jobs.index_pending(products, none, fetch, picky, limit=1)
+    assert [(r["product_id"], r["status"]) for r in one.collect()] == [("p2", "indexed")]
+    paths = str(tmp_path / "e"), str(tmp_path / "s")
+    every = jobs.index_pending(products, none, fetch, picky)
+    assert jobs.store_outcomes(every, none, *paths, F.lit(DAY), F.lit(DAY)) == {
+        "indexed": 2, "failed": 1}
+    kept = tables.read_table(spark, paths[0], "product_embeddings")
+    assert {r["product_id"] for r in kept.collect()} == {"p0", "p2"}
+    again = jobs.index_pending(products, kept, fetch, picky)
+    assert [(r["product_id"], r["retryable"]) for r in again.collect()] == [("p1", True)]
+    waiting = tables.read_table(spark, paths[1], "product_embedding_status")
+    assert [r["status"] for r in waiting.collect()] == ["RETRY"]
+
+
 def test_texts_and_insert_if_absent(spark):
     texts = spark.createDataFrame([(1, "red ring"), (2, "  "), (3, None)], "i int, text string")
     rows = {r["i"]: r for r in embed.embed_texts(texts, picky).collect()}
