@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfseek.functions import ladders
@@ -9,7 +10,7 @@ from shelfseek.functions.text import lexemes
 from shelfseek.operators.exact import candidate_order
 from shelfseek.operators.filters import (FILTERS, QueryBatch, filtered_terms, passes_filters,
                                          with_every_query)
-from shelfseek.operators.joins import localize, lookup_join, top_k
+from shelfseek.operators.joins import local_table, localize, lookup_join, top_k
 
 # The weight class of each field, and what a class is worth.
 FIELD_CLASSES = [("lexical_title", "A"), ("lexical_company", "B"), ("category_title", "B"),
@@ -17,6 +18,8 @@ FIELD_CLASSES = [("lexical_title", "A"), ("lexical_company", "B"), ("category_ti
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
 MAX_PUSHED_TERMS = 1000
+# So many postings are read again without regret if their result is not small.
+CHEAP_POSTINGS = 1_000_000
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -68,20 +71,18 @@ def _pruned(index: DataFrame, batch: QueryBatch) -> DataFrame:
 
 
 def _leading_terms(batch: QueryBatch, index: DataFrame) -> DataFrame:
-    """(q_id, term): one required term per group, the one with the fewest postings.
+    """(q_id, term, n): one required term per group, the one with the fewest postings.
 
     A document of the group must hold it, so a frequent word next to a rare
     one costs no more than the rare one.
     """
     required = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
         "q_id", "g", F.explode("group.required").alias("term"))
-    if not batch.any_compound:
-        return required.select("q_id", "term").distinct()
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
-    counted = required.join(counts, "term", "left")
+    counted = required.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     leading = counted.groupBy("q_id", "g").agg(
-        F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
-    return leading.select("q_id", "term").distinct()
+        F.min(F.struct("n", "term")).alias("least")).select("q_id", "least.term", "least.n")
+    return leading.distinct()
 
 
 ALLOWED_GROUPS = """filter(transform(numbered, (g, i) -> named_struct('g', g, 'i', i)),
@@ -91,54 +92,70 @@ FREE_GROUPS = """exists(transform(numbered, (g, i) -> named_struct('g', g, 'i',
     x -> size(x.g) = 0 and not coalesce(array_contains(barred, x.i), false))"""
 
 
-def _small_or_lazy(df: DataFrame, batch: QueryBatch) -> DataFrame:
-    """An intermediate result computed now and broadcast if it is small, else left as it is."""
-    local = localize(df) if batch.small else None
-    return df if local is None else F.broadcast(local)
+def _matching_documents(batch: QueryBatch, index: DataFrame, about: DataFrame,
+                        wanted: DataFrame, barring: DataFrame) -> DataFrame:
+    """(q_id, product_id, alive, n_terms): documents with the groups they match.
+
+    Documents that hold a group's leading term are found first, and of these
+    the ones that hold all terms of a group and none it excludes. Where the
+    leading terms have few postings both steps are computed at once and
+    broadcast if they turn out small.
+    """
+    leading = _leading_terms(batch, index)
+    cheap = False
+    if batch.small:
+        table = local_table(leading)
+        cheap = table is not None and (pc.sum(table["n"]).as_py() or 0) <= CHEAP_POSTINGS
+        if table is not None:
+            leading = leading.sparkSession.createDataFrame(table, schema=leading.schema)
+
+    def settled(df):
+        local = localize(df) if cheap else None
+        return df if local is None else F.broadcast(local)
+
+    words = index.select("product_id", "term")
+    able = settled(lookup_join(words, leading.drop("n"), ["term"], "inner", ["product_id"],
+                               batch.small).select("q_id", "product_id").distinct())
+    checked = wanted.withColumn("g", F.lit(None).cast("int")).unionByName(
+        barring.withColumn("o", F.lit(None).cast("int")))
+    seen = lookup_join(words.join(able, "product_id"), checked, ["q_id", "term"], "inner",
+                       ["product_id"], batch.small).select("q_id", "product_id", "o", "g").distinct()
+    held = seen.groupBy("q_id", "product_id").agg(
+        F.collect_set("o").alias("present"), F.collect_set("g").alias("barred"))
+    return settled(lookup_join(held, about, ["q_id"], "inner", ["product_id"], batch.small)
+                   .withColumn("alive", F.expr(f"transform({ALLOWED_GROUPS}, x -> x.g)"))
+                   .filter("size(alive) > 0").select("q_id", "product_id", "alive", "n_terms"))
 
 
 def lexical_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
     """(q_id, product_id, score) of all documents that match, before filters and limits.
 
-    Three narrowing passes: documents that hold a group's leading term; of
-    these, documents that hold all terms of a group and none it excludes; and
-    only for those the positions, gathered and ranked. On postings bucketed
-    by product none of them shuffles postings.
+    Positions are read and ranked only for documents known to match; where
+    every term alone makes a match, that is all of them. On postings bucketed
+    by product no posting is shuffled.
     """
     index = _pruned(index, batch)
-    leading = _small_or_lazy(_leading_terms(batch, index), batch)
-    able = lookup_join(index.select("product_id", "term"), leading, ["term"], "inner",
-                       ["product_id"], batch.small).select("q_id", "product_id").distinct()
     wanted = batch.frame.select("q_id", F.posexplode("terms").alias("o", "term"))
     barring = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
         "q_id", "g", F.explode("group.excluded").alias("term"))
     about = batch.frame.selectExpr("q_id", "numbered", "size(terms) as n_terms")
-    if batch.any_compound or batch.any_negation:
-        able = _small_or_lazy(able, batch)
-        checked = wanted.withColumn("g", F.lit(None).cast("int")).unionByName(
-            barring.withColumn("o", F.lit(None).cast("int")))
-        seen = lookup_join(
-            index.select("product_id", "term").join(able, "product_id"), checked, ["q_id", "term"],
-            "inner", ["product_id"], batch.small).select("q_id", "product_id", "o", "g").distinct()
-        held = seen.groupBy("q_id", "product_id").agg(
-            F.collect_set("o").alias("present"), F.collect_set("g").alias("barred"))
-        alive = (lookup_join(held, about, ["q_id"], "inner", ["product_id"], batch.small)
-                 .withColumn("alive", F.expr(f"transform({ALLOWED_GROUPS}, x -> x.g)"))
-                 .filter("size(alive) > 0").select("q_id", "product_id", "alive", "n_terms"))
-    else:
-        alive = lookup_join(able, about, ["q_id"], "inner", ["product_id"], batch.small
-                            ).withColumnRenamed("numbered", "alive")
-    alive = _small_or_lazy(alive, batch)
     inverse = "case weight " + " ".join(
         f"when '{c}' then {1 / w}D" for c, w in CLASS_WEIGHTS.items()) + " end"
-    hits = lookup_join(index.join(alive, "product_id"), wanted, ["q_id", "term"], "inner",
-                       ["product_id", "pos"], batch.small)
-    ranked = hits.groupBy("q_id", "product_id").agg(
-        F.expr(f"sort_array(collect_list(named_struct('pos', pos, 'o', o, 'inv', {inverse})))"
-               ).alias("hits"),
-        F.first("alive").alias("alive"), F.first("n_terms").alias("n_terms")).select(
-        "q_id", "product_id",
-        ladders.rounded(cover_density("hits", "alive", "n_terms")).alias("score"))
+    gathered = F.expr(
+        f"sort_array(collect_list(named_struct('pos', pos, 'o', o, 'inv', {inverse})))").alias("hits")
+    if batch.any_compound or batch.any_negation:
+        alive = _matching_documents(batch, index, about, wanted, barring)
+        hits = lookup_join(index.join(alive, "product_id"), wanted, ["q_id", "term"], "inner",
+                           ["product_id", "pos"], batch.small)
+        matched = hits.groupBy("q_id", "product_id").agg(
+            gathered, F.first("alive").alias("alive"), F.first("n_terms").alias("n_terms"))
+    else:
+        hits = lookup_join(index, wanted, ["term"], "inner", ["product_id", "pos"], batch.small)
+        matched = lookup_join(hits.groupBy("q_id", "product_id").agg(gathered), about, ["q_id"],
+                              "inner", ["product_id"], batch.small
+                              ).withColumnRenamed("numbered", "alive")
+    ranked = matched.select("q_id", "product_id", ladders.rounded(
+        cover_density("hits", "alive", "n_terms")).alias("score"))
     if not batch.any_pure_negation:
         return ranked
     # A group of exclusions alone matches every other document, with rank 0.

@@ -66,6 +66,7 @@ def test_rank_equals_interval_search(spark, raw, groups):
              "company": rng.choice(words), "category_title": rng.choice(words)} for _ in range(60)]
     docs = documents(spark, rows)
     b = batch(spark, [raw])
+    assert not b.any_negation
     got = {r["product_id"]: r["score"] for r in
            lexical.lexical_matches(b, lexical.postings(docs), docs).collect()}
     used = set().union(*groups)
@@ -152,7 +153,7 @@ def test_trigrams_equal_all_pairs(spark):
 
 def large(monkeypatch):
     """Make every batch count as too large to broadcast."""
-    for module in (filters, trigram, vector):
+    for module in (filters, lexical, trigram, vector):
         monkeypatch.setattr(module, "local_table", lambda *a, **k: None)
     monkeypatch.setattr(joins, "are_small", lambda *frames, **k: [False] * len(frames))
 
