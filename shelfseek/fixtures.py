@@ -207,4 +207,4 @@ def queries(spark, d, embedded: bool = True):
     rows = spark.createDataFrame(QUERY_ROWS, ddl).withColumn("platform", F.lit(None).cast("string"))
     if not embedded:
         return rows.withColumn("q_embedding", F.lit(None).cast("array<float>")).drop("label")
-    return rows.join(F.broadcast(label_vectors(spark, d)), "label", "left").drop("label")
+    return rows.join(label_vectors(spark, d), "label", "left").drop("label")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -60,12 +61,16 @@ def store_index(documents: DataFrame, embeddings: DataFrame, name: str, path: st
 
 def candidates(batch: QueryBatch, index: SearchIndex) -> DataFrame:
     """Scores of all sources merged to one row per (q_id, product_id)."""
+    docs = index.documents
     sources = [
-        exact_candidates(batch, index.documents),
-        lexical_candidates(batch, index.postings, index.documents),
-        trigram_candidates(batch, index.trigrams, index.documents),
-        semantic_candidates(batch, index.documents, index.embeddings),
+        lambda: exact_candidates(batch, docs),
+        lambda: lexical_candidates(batch, index.postings, docs),
+        lambda: trigram_candidates(batch, index.trigrams, docs),
+        lambda: semantic_candidates(batch, docs, index.embeddings),
     ]
+    # Sources look at small intermediate results while they are planned; side by side.
+    with ThreadPoolExecutor(len(sources)) as pool:
+        sources = list(pool.map(lambda source: source(), sources))
     merged = None
     for name, rows in zip(SCORES, sources):
         filled = rows.select("q_id", "product_id", *[
