@@ -20,7 +20,9 @@ _built: dict[tuple, hybrid.SearchIndex] = {}
 
 
 def _buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """As many buckets as shuffles have partitions, but no more than two per core."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               2 * spark.sparkContext.defaultParallelism)
 
 
 def search_index(spark: SparkSession, d: str) -> hybrid.SearchIndex:
