@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfseek.llm import decontaminate, url_filter, warc
+from shelfseek.llm import decontaminate, quality_rules, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_read(spark, sf_dir, "pages"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(_read(spark, sf_dir, "pages"))
 
@@ -26,4 +30,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_warc_index, op6_url_rules, op9_decontaminate)}
+    f.__name__: f for f in (op3_warc_index, op4_quality_rules, op6_url_rules, op9_decontaminate)}
