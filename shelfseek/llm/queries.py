@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfseek.llm import decontaminate, quality_rules, url_filter, warc
+from shelfseek.llm import decontaminate, mixing, quality_rules, secrets, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_read(spark, sf_dir, "documents"))
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_read(spark, sf_dir, "pages"))
 
@@ -21,6 +25,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_read(spark, sf_dir, "documents"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(_read(spark, sf_dir, "pages"))
 
@@ -30,4 +38,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_warc_index, op4_quality_rules, op6_url_rules, op9_decontaminate)}
+    f.__name__: f for f in (op1_mix, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op9_decontaminate)}
