@@ -97,43 +97,71 @@ def _settle(a: list, b: list, rng: random.Random) -> None:
     gives[0] = 0.0 if empty >= to_empty else gives[0] - empty
 
 
+def _settle_group(items: list[list], rng: random.Random) -> None:
+    """Settle the residuals of a group, large ones first, each against all smaller ones together.
+
+    The smaller ones give or take words by how far each is from being whole,
+    so that what is left in the end is a small document's fraction.
+    """
+    items.sort(key=lambda x: -x[1])
+    for i, a in enumerate(items):
+        while _open(a) and (rest := [x for x in items[i + 1:] if _open(x)]):
+            slack = [min(x[0], x[1] - x[0]) for x in rest]
+            total = sum(slack)
+            up = min(a[1] - a[0], *(x[0] * total / s for x, s in zip(rest, slack)))
+            down = min(a[0], *((x[1] - x[0]) * total / s for x, s in zip(rest, slack)))
+            moved = up if rng.random() * (up + down) < down else -down
+            a[0] += moved
+            for x, s in zip(rest, slack):
+                x[0] -= moved * s / total
+            for x in (a, *rest):
+                if x[0] < 1e-9 * x[1]:
+                    x[0] = 0.0
+                elif x[0] > (1 - 1e-9) * x[1]:
+                    x[0] = x[1]
+
+
 def _open(item: list) -> bool:
     return 0.0 < item[0] < item[1]
 
 
 def _round_level(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
-    """Round within each source and bucket; at most one row per group stays between 0 and its size."""
-    def finished(carry):
+    """Round within each source and bucket; at most one row per group stays between 0 and its size.
+
+    The first level runs through a bucket in pairs and holds one open row; a
+    later one holds the residuals of a group, ``FAN_IN`` at most.
+    """
+    def finished(held, rng):
+        if level:
+            _settle_group(held, rng)
         if last:
-            carry[0] = carry[1] if 2 * carry[0] >= carry[1] else 0.0
-        return carry
+            for item in held:
+                item[0] = item[1] if 2 * item[0] >= item[1] else 0.0
+        return held
 
     def rounded(batches):
-        key, carry, rng = None, None, None
+        key, held, rng = None, [], None
         for batch in batches:
             done: list[list] = []
             for source, bucket, position, size, mass, *rest in zip(*(
                     c.to_pylist() for c in batch.columns)):
                 if (source, bucket) != key:
-                    if carry is not None:
-                        done.append(finished(carry))
-                    key, carry = (source, bucket), None
+                    done += finished(held, rng)
+                    key, held = (source, bucket), []
                     rng = random.Random(xxhash.xxh64_intdigest(repr((seed, level, source, bucket))))
                 item = [mass, float(size), source, bucket, position, size, *rest]
                 if not _open(item):
                     done.append(item)
-                elif carry is None:
-                    carry = item
-                else:
-                    _settle(carry, item, rng)
-                    for one in (carry, item):
-                        if not _open(one):
-                            done.append(one)
-                    carry = next((x for x in (carry, item) if _open(x)), None)
+                    continue
+                held.append(item)
+                if not level and len(held) == 2:
+                    _settle(*held, rng)
+                    done += [x for x in held if not _open(x)]
+                    held = [x for x in held if _open(x)]
             yield _batch(done, batch.schema)
             names = batch.schema
-        if carry is not None:
-            yield _batch([finished(carry)], names)
+        if held:
+            yield _batch(finished(held, rng), names)
 
     def _batch(items, schema):
         columns = list(zip(*[[x[2], x[3], x[4], x[5], x[0], *x[6:]] for x in items])) or [
