@@ -6,12 +6,12 @@ words and the excess is shared again by weight. Every document of a source
 then gets the same expected number of copies: a whole part, and a fraction
 that is rounded.
 
-Rounding pairs two documents of a source and moves words from one's fraction
-to the other's, in a random direction with the odds that leave both
-expectations unchanged, until one of them is whole. Each bucket of a source
-leaves at most one unfinished document; these meet in larger buckets, level by
-level, until one is left per source. It is rounded to the nearer side, so a
-source misses its target by at most half of one document.
+Rounding pairs a document of a source with smaller ones and moves words
+between its fraction and theirs, in a random direction with the odds that
+leave all expectations unchanged, until one of them is whole. Each bucket of a
+source leaves at most one unfinished document; these meet in larger buckets,
+level by level, until one is left per source. It is rounded to the nearer side,
+so a source misses its target by at most half of one document, mostly a small one.
 
 The random numbers depend on the seed, the source and the bucket only, and
 buckets on the document and the number of rows, so reruns agree on any cluster.
@@ -37,9 +37,8 @@ from shelfseek.sources.tables import stored
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-#: Rows of a bucket on the first level, and buckets that meet in one on the next.
-BUCKET_ROWS = 4096
-LEAST_BUCKETS = 256
+#: Rows of a bucket on the first level; documents settled at once, and buckets that meet on the next level.
+BUCKET_ROWS = 1024
 FAN_IN = 64
 
 
@@ -84,21 +83,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
                          F.least(cap, F.lit(float(level)) * F.col("weight")).alias("target"))
 
 
-def _settle(a: list, b: list, rng: random.Random) -> None:
-    """Move words between two fractions until one is 0 or whole; items are [mass, size, ...]."""
-    up, down = min(a[1] - a[0], b[0]), min(a[0], b[1] - b[0])
-    if rng.random() * (up + down) < down:
-        full, empty = (a, b), up
-    else:
-        full, empty = (b, a), down
-    gains, gives = full
-    to_full, to_empty = gains[1] - gains[0], gives[0]
-    gains[0] = gains[1] if empty >= to_full else gains[0] + empty
-    gives[0] = 0.0 if empty >= to_empty else gives[0] - empty
-
-
 def _settle_group(items: list[list], rng: random.Random) -> None:
-    """Settle the residuals of a group, large ones first, each against all smaller ones together.
+    """Settle documents, large ones first, each paired with all smaller ones of the group together.
 
     The smaller ones give or take words by how far each is from being whole,
     so that what is left in the end is a small document's fraction.
@@ -128,12 +114,10 @@ def _open(item: list) -> bool:
 def _round_level(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
     """Round within each source and bucket; at most one row per group stays between 0 and its size.
 
-    The first level runs through a bucket in pairs and holds one open row; a
-    later one holds the residuals of a group, ``FAN_IN`` at most.
+    Rows come by falling size; ``FAN_IN`` of them are held at a time.
     """
     def finished(held, rng):
-        if level:
-            _settle_group(held, rng)
+        _settle_group(held, rng)
         if last:
             for item in held:
                 item[0] = item[1] if 2 * item[0] >= item[1] else 0.0
@@ -154,8 +138,8 @@ def _round_level(rows: DataFrame, level: int, last: bool, seed: int) -> DataFram
                     done.append(item)
                     continue
                 held.append(item)
-                if not level and len(held) == 2:
-                    _settle(*held, rng)
+                if len(held) == FAN_IN:
+                    _settle_group(held, rng)
                     done += [x for x in held if not _open(x)]
                     held = [x for x in held if _open(x)]
             yield _batch(done, batch.schema)
@@ -198,7 +182,7 @@ def mixed_sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
     sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     targets = stored(source_targets(sized), "targets")
     rows = sized.count()
-    buckets = LEAST_BUCKETS
+    buckets = 1
     while buckets * BUCKET_ROWS < rows:
         buckets *= 2
     # Null is a source: join on a text that tells it from all others.
