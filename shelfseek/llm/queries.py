@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfseek.llm import decontaminate, mixing, quality_rules, secrets, url_filter, warc
+from shelfseek.llm import (decontaminate, mixing, near_dedup, quality_rules, secrets, url_filter,
+                           warc)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,14 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(_read(spark, sf_dir, "pages"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op9_decontaminate)}
+    f.__name__: f for f in (op1_mix, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op8_near_duplicates,
+                        op9_decontaminate)}
