@@ -152,17 +152,26 @@ def calibrate(model: Logistic, logits: np.ndarray, labels: np.ndarray) -> Logist
     if not pos or not neg:
         return model
     target = np.where(y, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    spread = float(np.abs(logits).max()) or 1.0
+    x = logits / spread
+
+    def loss(a, b):
+        z = a * x + b
+        return float((np.logaddexp(0, z) - target * z).sum()) + 5e-4 * a * a
+
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * logits + b)
-        g = np.array([np.dot(p - target, logits) + 1e-3 * (a - 1), (p - target).sum()])
-        h = p * (1 - p) + 1e-9
-        hess = np.array([[np.dot(h, logits * logits) + 1e-3, np.dot(h, logits)],
-                         [np.dot(h, logits), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+    for _ in range(100):
+        p = sigmoid(a * x + b)
+        g = np.array([np.dot(p - target, x) + 1e-3 * a, (p - target).sum()])
+        h = p * (1 - p)
+        hess = np.array([[np.dot(h, x * x) + 1e-3, np.dot(h, x)], [np.dot(h, x), h.sum() + 1e-6]])
+        step, size, now = np.linalg.solve(hess, g), 1.0, loss(a, b)
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(size * step).max() < 1e-7:
             break
+    a /= spread
     if a > 0:
         model.slope, model.shift = float(a), float(b)
     p = model.probability(logits)

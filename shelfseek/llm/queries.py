@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfseek.llm import (decontaminate, mixing, near_dedup, quality_rules, secrets, url_filter,
-                           warc)
+from shelfseek.llm import (cotraining, decontaminate, mixing, near_dedup, quality_rules, secrets,
+                           url_filter, warc)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op8_near_duplicates,
-                        op9_decontaminate)}
+                        op9_decontaminate, op10_cotraining)}
