@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfseek.llm import (cotraining, decontaminate, mixing, near_dedup, quality_rules, secrets,
+from shelfseek.llm import (cotraining, decontaminate, mixing, near_dedup, pii, quality_rules, secrets,
                            url_filter, warc)
 
 
@@ -18,6 +18,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_read(spark, sf_dir, "documents"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_read(spark, sf_dir, "documents"))
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_read(spark, sf_dir, "pages"))
 
@@ -47,5 +51,5 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op8_near_duplicates,
+    f.__name__: f for f in (op1_mix, op2_surrogates, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op8_near_duplicates,
                         op9_decontaminate, op10_cotraining)}
