@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from shelfseek.llm import linear, text as tx
 
@@ -84,9 +84,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int =
     """Labelled documents: of each class at most ``limit`` ids, by the smallest hash of the id."""
     clean = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
         F.min(F.col(label).cast("int")).alias("_label")).filter("_label in (0, 1)")
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = clean.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
-    picked = few.select("doc_id", "_label")
+    picked = None
+    for value in (0, 1):
+        part = clean.filter(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        picked = part if picked is None else picked.unionByName(part)
     # At most 2 * limit rows of two numbers.
     return docs.select(*columns).join(F.broadcast(picked), "doc_id")
 
