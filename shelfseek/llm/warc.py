@@ -296,8 +296,10 @@ def read_records(captures: DataFrame, kind: str = "bigint", payloads: bool = Tru
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
+    # A small row stands for much reading, so partitions are not merged by their bytes.
+    tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = captures.withColumn("_part", F.expr(f"offset div {READ_BYTES}")).repartition(
-        "archive", "_part").sortWithinPartitions("archive", "offset")
+        tasks, "archive", "_part").sortWithinPartitions("archive", "offset")
     return tx.mapped(dealt.drop("_part"), read, RECORD_DDL.format(kind=kind))
 
 
