@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfseek.llm import (cotraining, decontaminate, mixing, near_dedup, pii, quality_rules, secrets,
-                           url_filter, warc)
+                           suffix_dedup, url_filter, warc)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(_read(spark, sf_dir, "pages"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(_read(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_surrogates, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op8_near_duplicates,
+    f.__name__: f for f in (op1_mix, op2_surrogates, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op7_repeated_passages, op8_near_duplicates,
                         op9_decontaminate, op10_cotraining)}
