@@ -264,9 +264,9 @@ def report(docs: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def unique_documents(docs: DataFrame) -> DataFrame:
+def unique_documents(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """One document of each component, with its columns: the one with the least id."""
-    found = components(docs)
+    found = components(docs, width)
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
     single = found.filter("n > 0").groupBy("root").agg(F.min(key).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.lit(True).alias("_single"))
