@@ -26,22 +26,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).filter("a <> b")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is linked to one root alone, and roots to no smaller node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("below")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(1).alias("below")))
+    per_node = ends.groupBy("node").agg(F.sum("below").alias("below"), F.count("*").alias("n"))
+    return per_node.filter("below > 1 or (below = 1 and n > 1)").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) of every node in ``a``, ``b`` links.
 
-    Each round is written to the shared folder. It ends when a round changes
-    nothing: then every node is linked to its root alone. Rows are linked
-    through minima per node, so that no neighbourhood is gathered.
+    Each round is written to the shared folder. Rows are linked through minima
+    per node, so that no neighbourhood is gathered.
     """
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                    .filter("a <> b").distinct(), "links")
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-        edges = stored(_small_star(stored(_large_star(edges).distinct(), "star")).distinct(), "star")
+    while not _settled(edges):
+        edges = stored(_small_star(_large_star(edges)).distinct(), "star")
     roots = edges.select("a").distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
         roots.select(F.col("a").alias("node"), F.col("a").alias("root")))

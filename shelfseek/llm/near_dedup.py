@@ -10,14 +10,13 @@ start. Of the other sets:
    long lists can be similar through those alone, the others have left them.
 2. Pairs whose overlap can reach that of similar sets have the similarity
    of their union sketches estimated; clearly different ones drop out.
-3. The exact Jaccard similarity of the whole sets confirms a link. Each
-   set's most promising pair is confirmed first; then only pairs whose sets
-   are not yet in one component.
+3. The exact Jaccard similarity of the whole sets confirms a link.
 4. Members of long lists outside the list's largest component are paired with
    all others of the list, so that no link through a hub list is missed.
 
-A similar pair is missed only if fewer than ``LEAST_SHARED`` of its smallest
-``LISTED`` hashes are common, at most about one in ten million at the threshold.
+A similar pair is missed only if fewer than ``LEAST_SHARED`` of the ``LISTED``, or
+``LEAST_SKETCH`` of the ``SKETCH``, smallest hashes of its union are common: a chance
+below one in a million for a pair just at the threshold.
 
 Defined results. A null or empty text has no shingles, is linked with nothing
 and is kept. Repeated rows have equal sets. Documents without an id take part,
@@ -44,6 +43,8 @@ SKETCH = 64
 LISTED = 24
 LONG_LIST = 16
 LEAST_SHARED = 8
+#: The same for whole sketches.
+LEAST_SKETCH = 32
 #: Six standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = 0.5
 #: Sets compared with one set in one run.
@@ -97,32 +98,52 @@ def _needed(n):
     return F.least(F.lit(LEAST_SHARED), F.ceil(n * SIMILAR / 100))
 
 
+def crowded(sets: DataFrame) -> DataFrame:
+    """Lists (``value``, ``node``, ``n``) of the sets whose links may go through long lists alone.
+
+    Similar sets share at least ``LEAST_SKETCH`` of their sketches. So a set leaves
+    if fewer of its hashes occur twice among these sets, and is listed under its
+    rarest hashes only: one of them at least is among those that a similar set is
+    listed under.
+    """
+    lists = sets.select("node", "n", F.explode("sketch").alias("value"))
+    twice = lists.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    # At most SKETCH values of a set are gathered.
+    kept = lists.join(twice, "value").groupBy("node", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
+    spare = F.size("found") - F.least(F.lit(LEAST_SKETCH), F.ceil(F.col("n") * SIMILAR / 100)) + 1
+    return kept.withColumn("spare", spare.cast("int")).filter("spare > 0").select(
+        F.explode(F.slice("found", F.lit(1), F.col("spare"))).alias("e"), "node", "n").select(
+        "e.value", "node", "n")
+
+
 def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a``, ``b`` with ``weight``, and the members of long lists (``value``, ``node``, ``n``)."""
+    """Pairs ``a``, ``b``, and the members of long lists (``value``, ``node``, ``n``)."""
     lists = sets.select("node", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
-    shared = stored(lists.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("hub"))
-                    .filter("df > 1"), "list-sizes")
-    entries = stored(lists.join(shared, "value"), "lists")
+    shared = lists.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     long_list = F.col("df") > LONG_LIST
-    hot = entries.groupBy("node").agg(F.count_if(long_list).alias("hot"))
-    short = entries.filter(~long_list).select("value", "node", "n")
-    pairs = (short.select("value", F.col("node").alias("a"), F.col("n").alias("na"))
-             .join(short.select("value", F.col("node").alias("b"), F.col("n").alias("nb")), "value")
-             .filter((F.col("a") < F.col("b")) & _size_fits("na", "nb"))
-             .groupBy("a", "b").agg(F.count("*").alias("weight"), F.first("na").alias("na"),
-                                    F.first("nb").alias("nb")))
-    pairs = (pairs.join(hot.select(F.col("node").alias("a"), F.col("hot").alias("ha")), "a")
-             .join(hot.select(F.col("node").alias("b"), F.col("hot").alias("hb")), "b")
-             .filter(F.col("weight") + F.least("ha", "hb") >= _needed(F.greatest("na", "nb")))
-             .select("a", "b", "weight"))
-    crowd = stored(entries.filter(long_list).join(hot, "node")
-                   .filter(F.col("hot") >= _needed(F.col("n"))).select("value", "node", "n"), "crowd")
+    # At most LISTED values of a set are gathered.
+    entries = stored(lists.join(shared, "value").groupBy("node", "n").agg(
+        F.count_if(long_list).alias("hot"), F.collect_list(F.when(~long_list, F.col("value"))).alias("short")),
+        "lists")
+    short = entries.select("node", "n", "hot", F.explode("short").alias("value"))
+    side = lambda c: short.select("value", F.col("node").alias(c), F.col("n").alias(f"n{c}"),
+                                  F.col("hot").alias(f"h{c}"))
+    met = side("a").join(side("b"), "value").filter((F.col("a") < F.col("b")) & _size_fits("na", "nb"))
+    enough = F.col("hot") >= _needed(F.col("n"))
+    crowd = stored(crowded(entries.filter(enough).select("node").join(sets, "node")), "crowd")
     hubs = crowd.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"))
-    through = (crowd.join(hubs, "value").select(
-        F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("node").alias("b"),
+    through = crowd.join(hubs, "value").select(
+        F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"),
         F.col("n").alias("nb")).filter((F.col("a") < F.col("b")) & _size_fits("na", "nb"))
-        .groupBy("a", "b").agg(F.count("*").alias("weight")))
-    return pairs.unionByName(through).groupBy("a", "b").agg(F.sum("weight").alias("weight")), crowd
+    overlap = met.select("a", "b", F.least("ha", "hb").alias("more"), F.greatest("na", "nb").alias("n"),
+                         F.lit(False).alias("hub"))
+    pairs = overlap.unionByName(through.select(
+        "a", "b", F.lit(0).cast("long").alias("more"), F.greatest("na", "nb").alias("n"),
+        F.lit(True).alias("hub"))).groupBy("a", "b", "n").agg(
+            F.count_if(~F.col("hub")).alias("weight"), F.max("more").alias("more"), F.max("hub").alias("hub"))
+    return pairs.filter(F.col("hub") | (F.col("weight") + F.col("more") >= _needed(F.col("n")))).select(
+        "a", "b"), crowd
 
 
 def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,7 +173,7 @@ def full_sets(docs: DataFrame, owners: DataFrame, width: int = SHINGLE) -> DataF
                  pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())],
                 names=["node", "hashes"])
 
-    return tx.mapped(rows, make, "node binary, hashes binary").dropDuplicates(["node"])
+    return tx.mapped(rows, make, "node binary, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
@@ -192,59 +213,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> Data
     return tx.mapped(dealt, compare, "a binary, b binary")
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component."""
-    root = lambda c: parts.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
-    joined = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    return joined.filter(F.coalesce(F.col("_a") != F.col("_b"), F.lit(True))).select(*pairs.columns)
-
-
-def _outsiders(crowd: DataFrame, parts: DataFrame) -> DataFrame:
+def _outsiders(crowd: DataFrame, parts: DataFrame) -> DataFrame | None:
     """Pairs of each long list's members outside its largest component with all members elsewhere."""
     placed = crowd.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = placed.groupBy("value", "root").agg(F.count("*").alias("_n"))
     main = sizes.groupBy("value").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"),
                                       F.count("*").alias("_parts")).filter("_parts > 1")
     placed = stored(placed.join(main, "value"), "crowd-parts")
+    if placed.isEmpty():
+        return None
     out = placed.filter("root <> _main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"),
                                                 F.col("root").alias("rx"))
     met = out.join(placed.select("value", F.col("node").alias("y"), F.col("n").alias("ny"),
                                  F.col("root").alias("ry")), "value")
     met = met.filter((F.col("rx") != F.col("ry")) & _size_fits("nx", "ny"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(
-        F.count("*").alias("weight"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _links(docs: DataFrame, pairs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+    """The pairs that whole sets confirm."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    whole = stored(full_sets(docs, owners.join(ends, "node"), width), "whole-sets")
+    return stored(confirmed(pairs, whole), "links")
 
 
 def components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Per row ``doc_id``, ``text_hash``, ``n``, ``node``, ``root`` (null without shingles) and ``component_id``."""
     every = stored(sketches(docs, width), "sketches")
-    owner = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
-    owners = stored(every.filter("n > 0").groupBy("node").agg(owner.alias("o")).select(
-        "node", "o.doc_id", "o.text_hash"), "owners")
-    # One row of each class: the owner's, or the first of repeated ones.
-    sets = stored(every.filter("n > 0").join(
-        owners.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), "node")
-        .filter(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-        .select("node", "n", "sketch").dropDuplicates(["node"]), "sets")
-    pairs, crowd = candidates(sets)
-    pairs = stored(estimated(pairs, sets), "pairs")
-    best = _both(pairs).groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b")).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    whole = stored(full_sets(docs, owners.join(ends, "node"), width), "whole-sets")
-    links = stored(confirmed(best, whole), "links")
-    rest = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), connected(links))
-    links = links.unionByName(stored(confirmed(rest, whole), "links"))
-    parts = stored(connected(links), "parts")
+    # One row of each class: that of its least id, or the first of repeated ones.
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    owners = stored(every.filter("n > 0").groupBy("node", "n").agg(F.min_by(
+        F.struct("doc_id", "text_hash", "sketch"), key).alias("o")).select("node", "n", "o.*"), "classes")
+    pairs, crowd = candidates(owners)
+    pairs = stored(estimated(pairs, owners), "pairs")
+    parts = stored(connected(links := _links(docs, pairs, owners, width)), "parts")
     # What hubs may have missed; mostly nothing.
-    tried = pairs.select("a", "b")
-    missed = stored(estimated(_outsiders(crowd, parts).join(tried, ["a", "b"], "left_anti"), sets), "missed")
-    if not missed.isEmpty():
-        ends = missed.select(F.col("a").alias("node")).unionByName(
-            missed.select(F.col("b").alias("node"))).distinct()
-        more = full_sets(docs, owners.join(ends, "node"), width)
-        links = links.unionByName(stored(confirmed(missed.select("a", "b"), stored(more, "whole-sets")), "links"))
-        parts = stored(connected(links), "parts")
+    missed = _outsiders(crowd, parts)
+    if missed is not None:
+        missed = stored(estimated(missed.join(pairs, ["a", "b"], "left_anti"), owners), "missed")
+        if not missed.isEmpty():
+            links = links.unionByName(_links(docs, missed, owners, width))
+            parts = stored(connected(links), "parts")
     named = owners.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "root").select("node", "root", "component_id")
@@ -253,10 +262,6 @@ def components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         F.col("doc_id")))
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-
-
 def report(docs: DataFrame) -> DataFrame:
     """Set size, component and whether it stays, per document."""
     return components(docs).select(
