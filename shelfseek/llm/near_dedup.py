@@ -11,8 +11,9 @@ start. Of the other sets:
 2. Pairs whose overlap can reach that of similar sets have the similarity
    of their union sketches estimated; clearly different ones drop out.
 3. The exact Jaccard similarity of the whole sets confirms a link.
-4. Members of long lists outside the list's largest component are paired with
-   all others of the list, so that no link through a hub list is missed.
+4. Long lists hold families of sets of which many, but not all, are similar.
+   Members outside the largest component of a family are compared with all
+   others of it, block by block, so that no link through a long list is missed.
 
 A similar pair is missed only if fewer than ``LEAST_SHARED`` of the ``LISTED``, or
 ``LEAST_SKETCH`` of the ``SKETCH``, smallest hashes of its union are common: a chance
@@ -45,10 +46,13 @@ LONG_LIST = 16
 LEAST_SHARED = 8
 #: The same for whole sketches.
 LEAST_SKETCH = 32
+#: Smallest hashes under which a set is listed in long lists: the chance that similar sets share none
+#: of them is below one in a hundred million.
+CROWD_LISTED = 12
 #: Six standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = 0.5
-#: Sets compared with one set in one run.
-RUN = 64
+#: Sets compared with one set in one run; sets in a block of a family.
+RUN, BLOCK = 64, 512
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> list[np.ndarray]:
@@ -101,24 +105,22 @@ def _needed(n):
 def crowded(sets: DataFrame) -> DataFrame:
     """Lists (``value``, ``node``, ``n``) of the sets whose links may go through long lists alone.
 
-    Similar sets share at least ``LEAST_SKETCH`` of their sketches. So a set leaves
-    if fewer of its hashes occur twice among these sets, and is listed under its
-    rarest hashes only: one of them at least is among those that a similar set is
-    listed under.
+    Similar sets share at least ``LEAST_SKETCH`` of their sketches, so a set leaves
+    if fewer of its hashes occur twice among these sets. The least hash that two
+    similar sets share is among the ``CROWD_LISTED`` smallest of both, so that a set
+    is listed under those only.
     """
-    lists = sets.select("node", "n", F.explode("sketch").alias("value"))
+    lists = sets.select("node", "n", F.posexplode("sketch").alias("place", "value"))
     twice = lists.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    # At most SKETCH values of a set are gathered.
     kept = lists.join(twice, "value").groupBy("node", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
-    spare = F.size("found") - F.least(F.lit(LEAST_SKETCH), F.ceil(F.col("n") * SIMILAR / 100)) + 1
-    return kept.withColumn("spare", spare.cast("int")).filter("spare > 0").select(
-        F.explode(F.slice("found", F.lit(1), F.col("spare"))).alias("e"), "node", "n").select(
-        "e.value", "node", "n")
+        F.count("*").alias("found"),
+        F.collect_list(F.when(F.col("place") < CROWD_LISTED, F.col("value"))).alias("values"))
+    return kept.filter(F.col("found") >= F.least(F.lit(LEAST_SKETCH), F.ceil(F.col("n") * SIMILAR / 100))
+                       ).select(F.explode("values").alias("value"), "node", "n")
 
 
 def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a``, ``b``, and the members of long lists (``value``, ``node``, ``n``)."""
+    """Pairs ``a``, ``b``, and all (``hub``, ``node``, ``n``) of long lists."""
     lists = sets.select("node", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     shared = lists.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     long_list = F.col("df") > LONG_LIST
@@ -131,11 +133,14 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                                   F.col("hot").alias(f"h{c}"))
     met = side("a").join(side("b"), "value").filter((F.col("a") < F.col("b")) & _size_fits("na", "nb"))
     enough = F.col("hot") >= _needed(F.col("n"))
-    crowd = stored(crowded(entries.filter(enough).select("node").join(sets, "node")), "crowd")
-    hubs = crowd.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"))
-    through = crowd.join(hubs, "value").select(
-        F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"),
-        F.col("n").alias("nb")).filter((F.col("a") < F.col("b")) & _size_fits("na", "nb"))
+    crowd = crowded(entries.filter(enough).select("node").join(sets, "node"))
+    # Each list has another hub, so that a set meets several.
+    hubs = crowd.groupBy("value").agg(F.min_by(F.struct("node", "n"), F.xxhash64("value", "node")).alias("hub"))
+    around = stored(crowd.join(hubs, "value").groupBy("node", "n", F.col("hub.node").alias("hub"), F.col(
+        "hub.n").alias("hub_n")).agg(F.lit(1).alias("_")).drop("_"), "around-hubs")
+    through = around.filter((F.col("hub") != F.col("node")) & _size_fits("hub_n", "n")).select(
+        F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), F.col("hub_n").alias("na"),
+        F.col("n").alias("nb"))
     overlap = met.select("a", "b", F.least("ha", "hb").alias("more"), F.greatest("na", "nb").alias("n"),
                          F.lit(False).alias("hub"))
     pairs = overlap.unionByName(through.select(
@@ -143,7 +148,7 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(True).alias("hub"))).groupBy("a", "b", "n").agg(
             F.count_if(~F.col("hub")).alias("weight"), F.max("more").alias("more"), F.max("hub").alias("hub"))
     return pairs.filter(F.col("hub") | (F.col("weight") + F.col("more") >= _needed(F.col("n")))).select(
-        "a", "b"), crowd
+        "a", "b"), around
 
 
 def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -213,28 +218,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> Data
     return tx.mapped(dealt, compare, "a binary, b binary")
 
 
-def _outsiders(crowd: DataFrame, parts: DataFrame) -> DataFrame | None:
-    """Pairs of each long list's members outside its largest component with all members elsewhere."""
-    placed = crowd.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = placed.groupBy("value", "root").agg(F.count("*").alias("_n"))
-    main = sizes.groupBy("value").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"),
-                                      F.count("*").alias("_parts")).filter("_parts > 1")
-    placed = stored(placed.join(main, "value"), "crowd-parts")
-    if placed.isEmpty():
-        return None
-    out = placed.filter("root <> _main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"),
-                                                F.col("root").alias("rx"))
-    met = out.join(placed.select("value", F.col("node").alias("y"), F.col("n").alias("ny"),
-                                 F.col("root").alias("ry")), "value")
-    met = met.filter((F.col("rx") != F.col("ry")) & _size_fits("nx", "ny"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
+def outside_links(around: DataFrame, parts: DataFrame, whole: DataFrame, percent: int = SIMILAR
+                  ) -> DataFrame | None:
+    """Links that hubs have missed, or None if there is nothing left to compare.
 
-def _links(docs: DataFrame, pairs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
-    """The pairs that whole sets confirm."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    whole = stored(full_sets(docs, owners.join(ends, "node"), width), "whole-sets")
-    return stored(confirmed(pairs, whole), "links")
+    Components that share a long list form a family. Members outside the largest
+    component of their family meet all members of other components, in blocks
+    of similar sizes; each set travels once per block that it meets. Of the links of
+    a set to one component a block reports one.
+    """
+    root = lambda c, name: parts.select(F.col("node").alias(c), F.col("root").alias(name))
+    placed = stored(around.join(root("node", "_root"), "node", "left").join(root("hub", "_hub"), "hub", "left")
+                    .select("node", "n", F.coalesce("_root", "node").alias("root"),
+                            F.coalesce("_hub", "hub").alias("hub_root")), "around-roots")
+    meeting = placed.filter("root <> hub_root").select(F.col("root").alias("a"), F.col("hub_root").alias("b"))
+    if meeting.isEmpty():
+        return None
+    families = connected(meeting).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    members = placed.select("node", "n", "root").distinct().join(families, "root")
+    sizes = members.groupBy("family", "root").agg(F.count("*").alias("_n"))
+    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("_n", "root")).alias("main"),
+                                       F.sum("_n").alias("size"))
+    # Sets of similar sizes are in the same class or in neighbouring ones.
+    level = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    members = stored(members.join(main, "family").join(whole, "node").select(
+        "family", "node", "root", "hashes", level.alias("level"), (F.col("root") != F.col("main")).alias("outside"),
+        F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "families")
+    number = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = lambda top: F.explode(F.sequence(F.lit(0), top))
+    inner = members.withColumn("ours", number).withColumn("theirs", every(F.col("blocks") - 1)).withColumn(
+        "asks", F.lit(False))
+    outer = members.filter("outside").withColumn("theirs", number).withColumn(
+        "ours", every(F.col("blocks") - 1)).withColumn("asks", F.lit(True)).withColumn(
+        "level", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])))
+    keys = ["family", "level", "ours", "theirs"]
+    columns = [*keys, "node", "root", "hashes", "asks"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+        nodes, roots, asks = (table[c].to_pylist() for c in ("node", "root", "asks"))
+        here = [i for i, ask in enumerate(asks) if not ask]
+        found: dict[tuple, bytes] = {}
+        if here and len(here) < len(sets):
+            size = np.array([len(sets[i]) for i in here])
+            joined, starts = np.concatenate([sets[i] for i in here]), np.cumsum(size) - size
+            for i in (i for i, ask in enumerate(asks) if ask):
+                at = np.searchsorted(sets[i], joined)
+                at[at == len(sets[i])] = 0
+                common = np.add.reduceat((sets[i][at] == joined).astype(np.int64), starts)
+                for k in np.flatnonzero(100 * common >= percent * (size + len(sets[i]) - common)):
+                    if roots[here[k]] != roots[i]:
+                        found.setdefault((nodes[i], roots[here[k]]), nodes[here[k]])
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()),
+                         "b": pa.array(list(found.values()), pa.binary())})
+
+    met = inner.select(*columns).unionByName(outer.select(*columns))
+    return stored(met.groupBy(*keys).applyInArrow(compare, "a binary, b binary"), "outside-links")
 
 
 def components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -244,16 +283,18 @@ def components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     owners = stored(every.filter("n > 0").groupBy("node", "n").agg(F.min_by(
         F.struct("doc_id", "text_hash", "sketch"), key).alias("o")).select("node", "n", "o.*"), "classes")
-    pairs, crowd = candidates(owners)
+    pairs, around = candidates(owners)
     pairs = stored(estimated(pairs, owners), "pairs")
-    parts = stored(connected(links := _links(docs, pairs, owners, width)), "parts")
-    # What hubs may have missed; mostly nothing.
-    missed = _outsiders(crowd, parts)
-    if missed is not None:
-        missed = stored(estimated(missed.join(pairs, ["a", "b"], "left_anti"), owners), "missed")
-        if not missed.isEmpty():
-            links = links.unionByName(_links(docs, missed, owners, width))
-            parts = stored(connected(links), "parts")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(
+        around.select("node")).distinct()
+    whole = stored(full_sets(docs, owners.join(ends, "node"), width), "whole-sets")
+    links = stored(confirmed(pairs, whole), "links")
+    parts = stored(connected(links), "parts")
+    missed = outside_links(around, parts, whole)
+    if missed is not None and not missed.isEmpty():
+        # A component is a star already, so its links need not be followed again.
+        stars = parts.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        parts = stored(connected(stars.unionByName(missed)), "parts")
     named = owners.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "root").select("node", "root", "component_id")
