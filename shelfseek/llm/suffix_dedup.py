@@ -285,7 +285,7 @@ class Part:
 
     def cut(self, masks: np.ndarray) -> list[tuple[int, int, int, bytes]]:
         """Per text: bytes, removed bytes, removed runs, remaining bytes; in the order of ``texts``."""
-        cover = np.zeros(len(self.buf) + 1, np.int64)
+        cover = np.zeros(len(self.buf) + 1, np.int32)
         ids = self.ids[self.row]
         for o in range(REACH + 1):
             unit = np.where(self.hot, self.string_unit[:, o], self.unit)
@@ -298,7 +298,7 @@ class Part:
             start = self.pos[gone] - o
             np.add.at(cover, start, 1)
             np.add.at(cover, start + GRAM, -1)
-        removed = np.cumsum(cover[:-1]) > 0
+        removed = np.cumsum(cover[:-1], dtype=np.int32) > 0
         out = []
         for a, b in zip(self.offsets[:-1], self.offsets[1:]):
             here = removed[a:b]
