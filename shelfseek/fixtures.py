@@ -138,7 +138,32 @@ def product_embedding_status(spark, d):
         F.element_at(F.array(F.lit("PENDING"), F.lit("RETRY"), F.lit("FAILED")),
                      size % 3 + 1).alias("status"),
         F.when(size % 4 == 0, F.lit("2000-01-01 00:00:00").cast("timestamp"))
-        .when(size % 4 == 1, F.lit("2001-01-01 00:00:00").cast("timestamp")).alias("next_retry_at"))
+        .when(size % 4 == 1, F.lit("2001-01-01 00:00:00").cast("timestamp")).alias("next_retry_at"),
+        F.lit(None).cast("timestamp").alias("attempted_at"))
+
+
+def product_embedding_attempts(spark, d):
+    """Every event as an attempt at embedding its product; most products have several."""
+    kind, number = F.col("event_type"), F.col("event_id")
+    n_parts = table(spark, d, "part").count()
+    return table(spark, d, "events").select(
+        number.cast("string").alias("id"), (number % n_parts).cast("string").alias("product_id"), F.when(kind.isin("error", "signup"), "RETRY").when(
+            kind == "view", "PENDING").otherwise("FAILED").alias("status"),
+        F.when(kind == "error", F.lit("2001-01-01").cast("timestamp")).alias("next_retry_at"),
+        F.col("ts").cast("timestamp").alias("attempted_at"))
+
+
+def product_detail_variants(spark, d):
+    """Line items as variants; those of the seventh line hang on a detail that is not there."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
+    return table(spark, d, "lineitem").select(
+        F.concat(F.lit("v"), key).alias("uuid"), F.col("l_partkey").cast("string").alias("product_id"),
+        F.when(F.col("l_linenumber") == 7, F.concat(F.lit("gone-"), F.col("l_partkey") % 50))
+        .otherwise(key).alias("product_detail_id"),
+        F.col("l_linenumber").cast("int").alias("variant_index"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_shipdate").cast("timestamp")).alias("created_at"),
+        F.col("l_shipdate").cast("timestamp").alias("updated_at"))
 
 
 def product_scrape_results(spark, d):
@@ -159,6 +184,8 @@ def scrape_runs(spark, d):
         F.col("o_orderpriority").alias("keyword"),
         F.when(F.col("o_orderstatus") != "P", (F.col("o_custkey") % 6).cast("string"))
         .alias("category_id"),
+        F.lit(None).cast("string").alias("subcategory_id"),
+        F.lit(None).cast("string").alias("leaf_category_id"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderdate").cast("timestamp").alias("started_at"))
 

@@ -1,40 +1,34 @@
-"""Approximate vector search: cluster lists, probing, and recall against the exact answer."""
+"""Approximate vector search: a stored index of cluster lists, probing, and recall."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfseek.functions.vectors import l2_normalize
-from shelfseek.operators.vector import MAX_QUERY_BLOCK, Probes, _unit_rows
+from shelfseek.operators.vector import _unit_rows
 from shelfseek.session import ship_package
 
-# Number of lists, and how many rows train them at least.
+# Fixed value: number of lists.
 LISTS = 100
-TRAIN_PER_LIST, TRAIN_MIN = 50, 10_000
+FILE_BYTES = 128 << 20
+
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length > 0, length, 1)
 
 
 def train(embeddings: DataFrame, lists: int = LISTS, seed: int = 1, iterations: int = 10
           ) -> np.ndarray:
-    """Unit cluster centres, trained on a hash sample of about ``TRAIN_PER_LIST`` rows a list.
-
-    The sample only places the centres; every vector is assigned to one later.
-    """
-    unit = embeddings.select("product_id", l2_normalize(F.col("embedding")).alias("v")).filter(
-        F.col("v").isNotNull())
-    share = max(TRAIN_PER_LIST * lists, TRAIN_MIN) / max(1, embeddings.count())
-    fine = 1 << 40
-    chosen = F.pmod(F.xxhash64("product_id"), F.lit(fine)) < math.ceil(share * fine)
-    points = unit.filter(chosen).select(array_to_vector("v").alias("features"))
+    """Unit cluster centres, trained on all vectors that have a direction."""
+    points = embeddings.select(l2_normalize(F.col("embedding")).alias("v")).filter(
+        F.col("v").isNotNull()).select(array_to_vector("v").alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(points)
-    centres = np.array(model.clusterCenters())
-    length = np.linalg.norm(centres, axis=1, keepdims=True)
-    return centres / np.where(length > 0, length, 1)
+    return unit_rows(np.array(model.clusterCenters()))
 
 
 def assign(embeddings: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -54,17 +48,49 @@ def assign(embeddings: DataFrame, centres: np.ndarray) -> DataFrame:
         run, "product_id string, embedding array<float>, list_no int")
 
 
-def nearest_lists(queries: DataFrame, centres: np.ndarray, probes: int) -> dict[str, list[int]]:
-    """The ``probes`` nearest lists of each query; queries of one block only."""
-    rows = queries.select("q_id", "q_embedding", F.lit(1).alias("depth"),
-                          F.lit(None).cast("double").alias("threshold")).limit(MAX_QUERY_BLOCK + 1)
-    asked = Probes.of(rows.toArrow())
-    if len(asked.ids) > MAX_QUERY_BLOCK:
-        raise ValueError("too many queries to probe at once; search them exactly")
-    if not asked.ids:
-        return {}
-    order = np.argsort(-(asked.matrix @ centres.T), axis=1, kind="stable")[:, :probes]
-    return {q: [int(n) for n in order[i]] for i, q in enumerate(asked.ids)}
+def store_lists(embeddings: DataFrame, centres: np.ndarray, path: str) -> DataFrame:
+    """Write the vectors in one folder per list, so that a probe reads the lists it asks for.
+
+    Lists are cut into files by size; one that holds a large share of all
+    vectors is written by many tasks.
+    """
+    numbered = assign(embeddings, centres)
+    # One row per list.
+    files = F.ceil(F.count("*") * (4 * centres.shape[1] + 32) / FILE_BYTES).alias("_files")
+    sizes = numbered.groupBy("list_no").agg(files)
+    (numbered.join(F.broadcast(sizes), "list_no")
+     .withColumn("_file", F.pmod(F.xxhash64("product_id"), F.col("_files")))
+     .repartition("list_no", "_file").drop("_file", "_files")
+     .write.mode("errorifexists").partitionBy("list_no").parquet(path))
+    return open_lists(embeddings.sparkSession, path)
+
+
+def open_lists(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("product_id string, embedding array<float>, list_no int").parquet(path)
+
+
+def nearest_lists(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """(q_id, list_no): the ``probes`` nearest lists of each query with a direction."""
+    ship_package(queries.sparkSession)
+    shipped = queries.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column("q_embedding").is_valid())
+            unit = _unit_rows(batch.column("q_embedding"), shipped.value.shape[1])
+            known = np.flatnonzero(~np.isnan(unit[:, 0])) if len(unit) else np.array([], dtype=int)
+            order = np.argsort(-(unit[known] @ shipped.value.T), axis=1, kind="stable")[:, :probes]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("q_id").take(pa.array(np.repeat(known, order.shape[1]))),
+                 pa.array(order.reshape(-1).astype("int32"))], names=["q_id", "list_no"])
+
+    return queries.select("q_id", "q_embedding").mapInArrow(run, "q_id string, list_no int")
+
+
+def scanned(probed: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(q_id, scanned): how many vectors the lists of each query hold."""
+    sizes = vectors.groupBy("list_no").agg(F.count("*").alias("n"))
+    return probed.join(sizes, "list_no").groupBy("q_id").agg(F.sum("n").alias("scanned"))
 
 
 def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,11 @@ FETCH_HEADERS = {
     "Accept-Language": "en-US,en;q=0.9",
 }
 
+# Fixed value: the largest picture taken.
+MAX_IMAGE_BYTES = 10 << 20
+#: Rows encoded at once, and downloads of a task that run side by side.
+ENCODE_ROWS, FETCH_THREADS = 64, 16
+
 Encoder = Callable[[list], np.ndarray]
 Fetcher = Callable[[str, dict, float], bytes]
 
@@ -66,16 +72,23 @@ def newest(products: DataFrame, n: int) -> DataFrame:
                             F.col("created_at").desc_nulls_last(), F.col("id")).limit(n)
 
 
-def pending_retry(products: DataFrame, embeddings: DataFrame, status: DataFrame, now) -> DataFrame:
-    """Ids without embedding that were never tried, or wait for a retry that is due."""
-    tried = status.select(F.col("product_id").alias("id"), F.col("id").alias("status_id"),
-                          "status", "next_retry_at")
-    return (products.filter(F.col("image_url").isNotNull()).select("id")
+def pending_retry(products: DataFrame, embeddings: DataFrame, status: DataFrame, now,
+                  limit: int | None = None) -> DataFrame:
+    """Ids without embedding that were never tried, or wait for a retry that is due.
+
+    Of several attempts at a product the latest counts. The first ``limit`` ids, or all.
+    """
+    latest = status.groupBy("product_id").agg(F.max_by(
+        F.struct(F.col("id").alias("status_id"), "status", "next_retry_at"),
+        F.struct("attempted_at", "id")).alias("s"))
+    tried = latest.select(F.col("product_id").alias("id"), "s.*")
+    due = (products.filter(F.col("image_url").isNotNull()).select("id")
             .join(embeddings.select(F.col("product_id").alias("id")), "id", "left_anti")
             .join(tried, "id", "left")
             .filter(F.col("status_id").isNull() | F.col("status").isin("PENDING", "RETRY"))
             .filter(F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))
             .select("id"))
+    return due if limit is None else due.orderBy("id").limit(limit)
 
 
 def is_retryable(status: Column) -> Column:
@@ -113,7 +126,7 @@ def _embed(df: DataFrame, column: str, make_encoder: Callable[[], Encoder],
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_encoder()
-        for frame in frames:
+        for frame in _slices(frames):
             errors = [refuse(v) for v in frame[column]]
             good = [i for i, e in enumerate(errors) if e is None]
             vectors: list = [None] * len(frame)
@@ -125,6 +138,12 @@ def _embed(df: DataFrame, column: str, make_encoder: Callable[[], Encoder],
     return df.mapInPandas(run, f"{schema},embedding:array<float>,error:string")
 
 
+def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for start in range(0, len(frame), ENCODE_ROWS):
+            yield frame.iloc[start:start + ENCODE_ROWS].reset_index(drop=True)
+
+
 def embed_texts(df: DataFrame, make_encoder: Callable[[], Encoder], column: str = "text"
                 ) -> DataFrame:
     """``df`` with ``embedding`` and ``error``; blank text is an error."""
@@ -140,23 +159,33 @@ def embed_images(df: DataFrame, make_encoder: Callable[[], Encoder], column: str
 def embed_urls(df: DataFrame, fetch: Fetcher, make_encoder: Callable[[], Encoder],
                column: str = "image_url", headers: dict | None = None,
                timeout: float = FETCH_TIMEOUT_S) -> DataFrame:
-    """Download and encode in the workers; adds embedding, error, http_status, retryable."""
+    """Download and encode in the workers; adds embedding, error, http_status, retryable.
+
+    A task holds the pictures of ``ENCODE_ROWS`` rows at a time, none of them
+    larger than ``MAX_IMAGE_BYTES``.
+    """
     sent = FETCH_HEADERS if headers is None else headers
     ship_package(df.sparkSession)
     schema = df.schema.simpleString()[len("struct<"):-1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(url):
+            try:
+                body = fetch(url, {**sent, "Referer": url}, timeout)
+            except FetchFailed as failure:
+                return None, str(failure), failure.status
+            except Exception as failure:  # noqa: BLE001 - reported per row
+                return None, str(failure) or type(failure).__name__, None
+            if len(body) > MAX_IMAGE_BYTES:
+                return None, f"image is larger than {MAX_IMAGE_BYTES} bytes", 413
+            return body, None, None
+
         encode = make_encoder()
-        for frame in frames:
-            n = len(frame)
-            vectors, errors, codes, bodies = [None] * n, [None] * n, [None] * n, {}
-            for i, url in enumerate(frame[column]):
-                try:
-                    bodies[i] = fetch(url, {**sent, "Referer": url}, timeout)
-                except FetchFailed as failure:
-                    errors[i], codes[i] = str(failure), failure.status
-                except Exception as failure:  # noqa: BLE001 - reported per row
-                    errors[i] = str(failure) or type(failure).__name__
+        for frame in _slices(frames):
+            with ThreadPoolExecutor(FETCH_THREADS) as pool:
+                got = list(pool.map(one, frame[column]))
+            bodies = {i: body for i, (body, _, _) in enumerate(got) if body is not None}
+            vectors, errors, codes = [None] * len(got), [e for _, e, _ in got], [c for *_, c in got]
             done, failed = _encode_all(list(bodies.values()), encode)
             for i, vector, failure in zip(bodies, done, failed):
                 vectors[i], errors[i] = vector, failure
@@ -198,8 +227,10 @@ def index_products(ids: DataFrame, products: DataFrame, embeddings: DataFrame, f
     it into new embeddings, errors and counts.
     """
     rows = classify(ids, products, embeddings)
-    tried = embed_urls(rows.filter("status = 'pending'").select("product_id", "image_url"),
-                       fetch, make_encoder)
+    waiting = rows.filter("status = 'pending'").select("product_id", "image_url")
+    # Rows are tiny and their work is not, so tasks are not merged by bytes.
+    tasks = int(waiting.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tried = embed_urls(waiting.repartition(tasks, "product_id"), fetch, make_encoder)
     done = tried.select(
         "product_id", "image_url",
         F.when(F.col("error").isNull(), "indexed").otherwise("failed").alias("status"),
@@ -216,13 +247,13 @@ def new_embeddings(outcomes: DataFrame, now, model_version: str = MODEL_VERSION,
         now.alias("created_at"))
 
 
-def retry_rows(outcomes: DataFrame, next_retry_at) -> DataFrame:
+def retry_rows(outcomes: DataFrame, next_retry_at, now) -> DataFrame:
     """Failed downloads as status rows, which ``pending_retry`` reads."""
     return outcomes.filter("status = 'failed' and embedding is null and reason <> 'product not found'"
                            ).select(
         F.col("product_id").alias("id"), "product_id",
         F.when(F.col("retryable"), "RETRY").otherwise("FAILED").alias("status"),
-        F.when(F.col("retryable"), next_retry_at).alias("next_retry_at"))
+        F.when(F.col("retryable"), next_retry_at).alias("next_retry_at"), now.alias("attempted_at"))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 MAX_LOCAL_ROWS = 20_000
 MAX_ROW_CHARS = 16_000
 SALTS = 32
-# Above this k Spark no longer trims groups before the shuffle.
-GROUP_LIMIT_MAX = 1000
-MANY_PARTITIONS = 200
 
 
 def local_table(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS,
@@ -77,19 +74,14 @@ def rank_parts(df: DataFrame) -> int:
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
-          spread: Sequence[str], rank: str = "rank", two_step: bool | None = None) -> DataFrame:
+          spread: Sequence[str], rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group, ranked from 1.
 
-    For moderate ``k`` Spark trims each group in every task before the shuffle.
-    For larger ``k``, and on clusters set up for many tasks, whose trimmed
-    rows add up, groups are first ranked in parts, then across parts.
+    Groups are first ranked in parts, then across parts: what the tasks of a
+    large scan have left of one group never meets in one task.
     """
-    if two_step is None:
-        shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        two_step = k > GROUP_LIMIT_MAX or shuffles > MANY_PARTITIONS
-    if two_step:
-        part = F.pmod(F.xxhash64(*spread), F.lit(rank_parts(df)))
-        inner = Window.partitionBy(*keys, part).orderBy(*order)
-        df = df.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= k).drop(rank)
+    part = F.pmod(F.xxhash64(*spread), F.lit(rank_parts(df)))
+    inner = Window.partitionBy(*keys, part).orderBy(*order)
+    df = df.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= k).drop(rank)
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(rank) <= k)

@@ -127,8 +127,8 @@ def _matching_documents(batch: QueryBatch, index: DataFrame, about: DataFrame,
                    .filter("size(alive) > 0").select("q_id", "product_id", "alive", "n_terms"))
 
 
-def lexical_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q_id, product_id, score) of all documents that match, before filters and limits.
+def ranked_matches(batch: QueryBatch, index: DataFrame) -> DataFrame:
+    """(q_id, product_id, score) of the documents that hold what a query requires.
 
     Positions are read and ranked only for documents known to match; where
     every term alone makes a match, that is all of them. On postings bucketed
@@ -154,32 +154,62 @@ def lexical_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> Dat
         matched = lookup_join(hits.groupBy("q_id", "product_id").agg(gathered), about, ["q_id"],
                               "inner", ["product_id"], batch.small
                               ).withColumnRenamed("numbered", "alive")
-    ranked = matched.select("q_id", "product_id", ladders.rounded(
+    return matched.select("q_id", "product_id", ladders.rounded(
         cover_density("hits", "alive", "n_terms")).alias("score"))
-    if not batch.any_pure_negation:
-        return ranked
-    # A group of exclusions alone matches every other document, with rank 0.
+
+
+def free_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
+    """(q_id, product_id, score): a group of exclusions alone matches every other document, with rank 0.
+
+    What bars a document is put next to it by product, where postings and
+    documents lie together, so that no document moves.
+    """
+    index = _pruned(index, batch)
+    barring = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
+        "q_id", "g", F.explode("group.excluded").alias("term"))
     negative = batch.frame.filter("exists(groups, g -> size(g.required) = 0)")
     barred = lookup_join(
         index.select("product_id", "term"),
         barring.join(negative.select("q_id"), "q_id", "left_semi"), ["term"], "inner",
         ["product_id"], batch.small).groupBy("q_id", "product_id").agg(
-        F.collect_set("g").alias("barred"))
-    free = (with_every_query(docs.select("product_id"), negative.select("q_id", "numbered"),
-                             batch.small)
-            .join(barred, ["q_id", "product_id"], "left").filter(FREE_GROUPS)
+        F.collect_set("g").alias("barred")).groupBy("product_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("q_id", "barred"))).alias("by_query"))
+    about = docs.select("product_id").join(barred, "product_id", "left")
+    return (with_every_query(about, negative.select("q_id", "numbered"), batch.small)
+            .withColumn("barred", F.element_at("by_query", F.col("q_id"))).filter(FREE_GROUPS)
             .select("q_id", "product_id", F.lit(0.0).alias("score")))
-    return ranked.unionByName(free).groupBy("q_id", "product_id").agg(
+
+
+def lexical_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
+    """(q_id, product_id, score) of all documents that match, before filters and limits."""
+    ranked = ranked_matches(batch, index)
+    if not batch.any_pure_negation:
+        return ranked
+    return ranked.unionByName(free_matches(batch, index, docs)).groupBy("q_id", "product_id").agg(
         F.max("score").alias("score"))
 
 
 def lexical_candidates(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q_id, product_id, score): the best ranked matches that pass the query's filters."""
+    """(q_id, product_id, score): the best ranked matches that pass the query's filters.
+
+    Documents that a query merely does not exclude are trimmed by task before
+    they meet the ranked ones: as many as the query wants are enough, whichever
+    of them turn out to be ranked.
+    """
     terms = filtered_terms(docs, batch).select(
         "product_id", "updated_at", "sortable_price", "company_lower", "category_keys")
-    matches = lexical_matches(batch, index, docs).join(terms, "product_id")
     about = batch.frame.select("q_id", "depth", *FILTERS)
-    rows = lookup_join(matches, about, ["q_id"], "inner", ["product_id"], batch.small)
-    best = top_k(rows.filter(passes_filters()), ["q_id"], candidate_order(), batch.max_depth,
-                 ["product_id"])
+
+    def trimmed(matches):
+        rows = lookup_join(matches.join(terms, "product_id"), about, ["q_id"], "inner", ["product_id"],
+                           batch.small)
+        return top_k(rows.filter(passes_filters()).select(
+            "q_id", "product_id", "updated_at", "depth", "score"), ["q_id"], candidate_order(),
+            batch.max_depth, ["product_id"])
+
+    best = trimmed(ranked_matches(batch, index))
+    if batch.any_pure_negation:
+        both = best.unionByName(trimmed(free_matches(batch, index, docs))).groupBy(
+            "q_id", "product_id", "updated_at", "depth").agg(F.max("score").alias("score"))
+        best = top_k(both, ["q_id"], candidate_order(), batch.max_depth, ["product_id"])
     return best.filter(F.col("rank") <= F.col("depth")).select("q_id", "product_id", "score")

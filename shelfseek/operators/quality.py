@@ -16,16 +16,26 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _whole(tables: Tables, keys: bool = True) -> None:
+    """Refuse a catalogue without a table, or a table without its key columns."""
+    lost = sorted(set(schema.REQUIRED) - set(tables))
+    if keys and not lost:
+        wanted = [(t, c) for t, c, *_ in schema.REFERENCES] + [
+            (t, c) for t, columns in schema.UNIQUE_KEYS for c in columns]
+        lost = sorted({f"{t}.{c}" for t, c in wanted if c not in tables[t].columns})
+    if lost:
+        raise ValueError(f"the catalogue lacks {', '.join(lost)}")
+
+
 def orphans(tables: Tables) -> DataFrame:
     """(table_name, column_name, missing_key, n_rows) for keys that refer to nothing.
 
     Keys are counted before they are looked up, so a key shared by many rows
     travels once.
     """
+    _whole(tables)
     parts = []
     for table, column, parent, key, _ in schema.REFERENCES:
-        if table not in tables or parent not in tables or column not in tables[table].columns:
-            continue
         used = (tables[table].filter(F.col(column).isNotNull())
                 .groupBy(F.col(column).alias("missing_key")).agg(F.count("*").alias("n_rows")))
         known = tables[parent].select(F.col(key).alias("missing_key"))
@@ -37,10 +47,9 @@ def orphans(tables: Tables) -> DataFrame:
 
 def duplicate_keys(tables: Tables) -> DataFrame:
     """(table_name, key_columns, key_value, n_rows) for unique keys held by several rows."""
+    _whole(tables)
     parts = []
     for table, columns in schema.UNIQUE_KEYS:
-        if table not in tables or not set(columns) <= set(tables[table].columns):
-            continue
         rows = tables[table].dropna(subset=columns).groupBy(*columns).agg(
             F.count("*").alias("n_rows")).filter("n_rows > 1")
         parts.append(rows.select(
@@ -51,16 +60,19 @@ def duplicate_keys(tables: Tables) -> DataFrame:
 
 
 def null_violations(tables: Tables) -> DataFrame:
-    """(table_name, column_name, n_rows) for required columns, one pass per table."""
+    """(table_name, column_name, n_rows) for required columns, one pass per table.
+
+    A column that is not there is NULL in every row.
+    """
+    _whole(tables, keys=False)
     parts = []
     for table, columns in schema.REQUIRED.items():
-        if table not in tables:
-            continue
-        present = [c for c in columns if c in tables[table].columns]
-        counts = tables[table].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in present])
+        have = tables[table].columns
+        counts = tables[table].agg(*[
+            (F.count_if(F.col(c).isNull()) if c in have else F.count("*")).alias(c) for c in columns])
         parts.append(counts.select(F.inline(F.array(*[
             F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
-                     F.col(c).alias("n_rows")) for c in present]))).filter("n_rows > 0"))
+                     F.col(c).alias("n_rows")) for c in columns]))).filter("n_rows > 0"))
     return _union(parts)
 
 

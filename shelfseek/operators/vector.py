@@ -218,25 +218,28 @@ def _prepared(vectors: DataFrame) -> DataFrame:
 
 
 def scan(vectors: DataFrame, queries: DataFrame | pa.Table,
-         lists: dict[str, list[int]] | None = None) -> DataFrame:
+         lists: DataFrame | None = None) -> DataFrame:
     """Best rows and hit counts per query and task.
 
     ``queries`` has q_id, q_embedding, depth, threshold and maybe filters. A batch
     that fits one block is sent to every task; a larger one is cut into blocks
     that meet cells of vectors on a grid. A table is a batch known to fit.
+    With ``lists`` (q_id, list_no) a query meets only the vectors of its lists.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     prepared = _prepared(vectors)
     local = queries if isinstance(queries, pa.Table) else local_table(queries, MAX_QUERY_BLOCK)
     if local is None:
-        return _scan_grid(prepared, queries)
+        return _scan_grid(prepared, queries, lists)
     probes = Probes.of(local)
     if lists is not None:
         asked: dict[int, list[int]] = {}
-        for number, q_id in enumerate(probes.ids):
-            for no in lists.get(q_id, ()):
-                asked.setdefault(no, []).append(number)
+        numbers = {q_id: number for number, q_id in enumerate(probes.ids)}
+        # The lists of one block of queries.
+        for row in lists.collect():
+            if row["q_id"] in numbers:
+                asked.setdefault(row["list_no"], []).append(numbers[row["q_id"]])
         probes.lists = {no: np.array(numbers) for no, numbers in asked.items()}
         prepared = prepared.filter(F.col("list_no").isin(sorted(asked)))
     shipped = spark.sparkContext.broadcast(probes)
@@ -247,10 +250,21 @@ def scan(vectors: DataFrame, queries: DataFrame | pa.Table,
     return prepared.mapInArrow(run, FOUND_DDL)
 
 
-def _scan_grid(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query block meets every cell of vectors once, each meeting in its own group."""
+def _scan_grid(vectors: DataFrame, queries: DataFrame, lists: DataFrame | None = None
+               ) -> DataFrame:
+    """Every query block meets every cell of vectors once, each meeting in its own group.
+
+    With ``lists`` there is a grid in every list.
+    """
+    keys = ["block", "cell"]
     blocks = max(1, math.ceil(queries.count() / MAX_QUERY_BLOCK))
-    cells = max(1, math.ceil(vectors.count() / CELL_VECTORS))
+    if lists is None:
+        cells = max(1, math.ceil(vectors.count() / CELL_VECTORS))
+    else:
+        keys = ["list_no", *keys]
+        largest = vectors.groupBy("list_no").count().agg(F.max("count")).first()[0] or 0
+        cells = max(1, math.ceil(largest / CELL_VECTORS))
+        queries = queries.join(lists, "q_id")
 
     def number(key, n):
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -265,7 +279,7 @@ def _scan_grid(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     def meet(vector_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         return scan_batches([vector_rows], Probes.of(query_rows)).table()
 
-    return (left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell"))
+    return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
             .applyInArrow(meet, FOUND_DDL))
 
 

@@ -120,6 +120,23 @@ PARTS: dict[str, tuple[list[str], str]] = {
                CASE p_size % 4 WHEN 0 THEN TIMESTAMP '2000-01-01' WHEN 1 THEN TIMESTAMP '2001-01-01'
                    END AS next_retry_at
         FROM part WHERE p_size <= 20"""),
+    "product_embedding_attempts": ([], """
+        SELECT CAST(event_id AS VARCHAR) AS id,
+               CAST(event_id % (SELECT count(*) FROM part) AS VARCHAR) AS product_id,
+               CASE WHEN event_type IN ('error', 'signup') THEN 'RETRY' WHEN event_type = 'view'
+                   THEN 'PENDING' ELSE 'FAILED' END AS status,
+               CASE WHEN event_type = 'error' THEN TIMESTAMP '2001-01-01' END AS next_retry_at, ts
+        FROM events"""),
+    "product_detail_variants": ([], f"""
+        SELECT 'v' || key AS uuid, product_id,
+               CASE WHEN variant_index = 7 THEN 'gone-' || CAST(part % 50 AS VARCHAR) ELSE key END
+                   AS product_detail_id, variant_index, created_at
+        FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {MONEY}) AS key,
+                     CAST(l_partkey AS VARCHAR) AS product_id, l_partkey AS part,
+                     l_linenumber AS variant_index,
+                     CASE WHEN l_returnflag <> 'R' THEN l_shipdate END AS created_at
+              FROM lineitem)"""),
+    "product_search_documents": (["docs"], "SELECT * FROM docs"),
     "product_scrape_results": ([], """
         SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS scrape_run_id,
                CAST(event_id % (SELECT count(*) FROM part) AS VARCHAR) AS product_id,
@@ -128,6 +145,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "scrape_runs": ([], """
         SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS keyword,
                CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey % 6 AS VARCHAR) END AS category_id,
+               NULL::VARCHAR AS subcategory_id, NULL::VARCHAR AS leaf_category_id,
                o_orderstatus AS status FROM orders"""),
     "docs": (["products", "latest_details", "categories", "subcategories", "leaf_categories"], f"""
         SELECT p.id AS product_id, coalesce(nullif(p.title, ''), d.product_title) AS title,
@@ -358,6 +376,23 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "similar_ranked": (["alike"], """
         SELECT *, count(*) OVER (PARTITION BY q_id) AS total, row_number() OVER (PARTITION BY q_id
             ORDER BY similarity DESC, updated_at DESC NULLS LAST, product_id) AS rank FROM alike"""),
+    "centres": (["label_vectors"], """
+        SELECT row_number() OVER (ORDER BY label) - 1 AS list_no,
+               CAST(q_embedding AS DOUBLE[]) AS centre FROM label_vectors"""),
+    "near_lists": (["product_embeddings", "label_vectors", "centres"], """
+        SELECT product_id, list_no, row_number() OVER (PARTITION BY product_id ORDER BY
+            list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre) DESC, list_no) AS place
+        FROM product_embeddings CROSS JOIN centres"""),
+    "near_all": (["docs", "product_embeddings", "near_lists"], """
+        SELECT q.product_id AS q_id, d.product_id, d.updated_at, round(list_cosine_similarity(
+                   CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS similarity,
+               p.list_no IS NOT NULL AS probed
+        FROM product_embeddings q CROSS JOIN product_embeddings v
+        JOIN docs d ON d.product_id = v.product_id
+        JOIN near_lists o ON o.product_id = v.product_id AND o.place = 1
+        LEFT JOIN near_lists p ON p.product_id = q.product_id AND p.place <= 4
+            AND p.list_no = o.list_no
+        WHERE CAST(q.product_id AS BIGINT) % 50 = 0 AND d.image_url IS NOT NULL"""),
     "offers": (["docs"], """
         SELECT DISTINCT suggestion, priority, key FROM (
             SELECT title AS suggestion, 1 AS priority, lower(title) AS key FROM docs UNION ALL
@@ -437,26 +472,37 @@ def _search(source="asked", embedded=True, select="SELECT * FROM page", roots=("
 
 
 def _orphans() -> str:
-    have = {"categories", "subcategories", "leaf_categories", "scrape_runs", "products",
-            "product_scrape_results", "product_details", "product_embeddings"}
-    absent = {("scrape_runs", "subcategory_id"), ("scrape_runs", "leaf_category_id")}
     checks = []
     for table, column, parent, key, _ in schema.REFERENCES:
-        if table in have and parent in have and (table, column) not in absent:
-            checks.append(
-                f"SELECT '{table}' AS table_name, '{column}' AS column_name, "
-                f"{column} AS missing_key, count(*) AS n_rows FROM {table} "
-                f"WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent}) "
-                f"GROUP BY {column}")
-    return assemble(" UNION ALL ".join(checks), PARTS, *sorted(have))
+        checks.append(
+            f"SELECT '{table}' AS table_name, '{column}' AS column_name, "
+            f"{column} AS missing_key, count(*) AS n_rows FROM {table} "
+            f"WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent}) "
+            f"GROUP BY {column}")
+    return assemble(" UNION ALL ".join(checks), PARTS, *schema.REQUIRED)
+
+
+# Required columns that the test catalogue has no values for.
+ABSENT = {
+    "product_scrape_results": ["badges"],
+    "product_details": ["quantity_price_tiers", "discount_rules", "pricing", "availability",
+                        "variants", "attributes", "media", "meta"],
+}
+
+
+def _null_violations() -> str:
+    checks = [f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS n_rows FROM {table}"
+              for table, columns in ABSENT.items() for column in columns]
+    checks += [f"SELECT '{table}', '{column}', count(*) FROM {table} WHERE {column} IS NULL"
+               for table, column in (("leaf_categories", "leaf_category_slug"),
+                                     ("product_detail_variants", "created_at"))]
+    return assemble(f"SELECT * FROM ({' UNION ALL '.join(checks)}) WHERE n_rows > 0", PARTS,
+                    *ABSENT, "leaf_categories", "product_detail_variants")
 
 
 def _duplicates() -> str:
-    skip = {"product_detail_variants", "product_search_documents"}
     checks, tables = [], []
     for table, columns in schema.UNIQUE_KEYS:
-        if table in skip:
-            continue
         tables.append(table)
         names = ", ".join(columns)
         known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
@@ -599,6 +645,30 @@ def oracle_sql() -> dict[str, str]:
               AND (s.next_retry_at IS NULL OR s.next_retry_at <= TIMESTAMP '2000-06-01')""",
                                   PARTS, "products", "product_embeddings",
                                   "product_embedding_status"),
+        "pending_attempts": assemble("""
+            SELECT p.id FROM products p
+            LEFT JOIN product_embeddings e ON e.product_id = p.id
+            LEFT JOIN (SELECT * FROM product_embedding_attempts QUALIFY row_number() OVER (
+                PARTITION BY product_id ORDER BY ts DESC NULLS LAST, id DESC) = 1) s
+                ON s.product_id = p.id
+            WHERE p.image_url IS NOT NULL AND e.id IS NULL
+              AND (s.id IS NULL OR s.status IN ('PENDING', 'RETRY'))
+              AND (s.next_retry_at IS NULL OR s.next_retry_at <= TIMESTAMP '2000-06-01')""",
+                                     PARTS, "products", "product_embeddings",
+                                     "product_embedding_attempts"),
+        "ann_search": assemble("""
+            SELECT q_id, count(*) FILTER (all_rank <= 10) AS wanted,
+                   count(*) FILTER (all_rank <= 10 AND probed AND list_rank <= 10) AS hit,
+                   count(*) FILTER (all_rank <= 10 AND probed AND list_rank <= 10)
+                       / CAST(count(*) FILTER (all_rank <= 10) AS DOUBLE) AS recall, any_value(n) AS scanned
+            FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC,
+                          updated_at DESC NULLS LAST, product_id) AS all_rank,
+                      row_number() OVER (PARTITION BY q_id, probed ORDER BY similarity DESC,
+                          updated_at DESC NULLS LAST, product_id) AS list_rank FROM near_all)
+            JOIN (SELECT p.product_id AS q_id, count(*) AS n FROM near_lists p JOIN near_lists o
+                  ON o.list_no = p.list_no AND o.place = 1 WHERE p.place <= 4
+                  GROUP BY p.product_id) USING (q_id)
+            GROUP BY q_id""", PARTS, "near_all", "near_lists"),
         "embed_outcomes": assemble("SELECT * FROM outcomes", PARTS, "outcomes"),
         "embed_counts": assemble("SELECT status, count(*) AS n FROM outcomes GROUP BY status",
                                  PARTS, "outcomes"),
@@ -632,10 +702,7 @@ def oracle_sql() -> dict[str, str]:
                                       PARTS, "products", "product_details", "categories"),
         "orphans": _orphans(),
         "duplicate_keys": _duplicates(),
-        "null_violations": assemble("""
-            SELECT 'leaf_categories' AS table_name, 'leaf_category_slug' AS column_name,
-                   count(*) AS n_rows FROM leaf_categories WHERE leaf_category_slug IS NULL
-            HAVING count(*) > 0""", PARTS, "leaf_categories"),
+        "null_violations": _null_violations(),
         "cascade_delete": assemble("""
             SELECT 'categories' AS table_name, count(*) AS n_rows, 0 AS n_with_run FROM categories
             UNION ALL SELECT 'subcategories', count(*), 0 FROM subcategories
@@ -650,8 +717,14 @@ def oracle_sql() -> dict[str, str]:
                 (SELECT id FROM scrape_runs WHERE status = 'F'))
                 FROM product_details WHERE product_id NOT IN (SELECT product_id FROM changed)
             UNION ALL SELECT 'product_embeddings', count(*), 0 FROM product_embeddings
-                WHERE product_id NOT IN (SELECT product_id FROM changed)""",
-                                   PARTS, "categories", "subcategories", "leaf_categories",
+                WHERE product_id NOT IN (SELECT product_id FROM changed)
+            UNION ALL SELECT 'product_search_documents', count(*), 0 FROM docs
+                WHERE product_id NOT IN (SELECT product_id FROM changed)
+            UNION ALL SELECT 'product_detail_variants', count(*), 0 FROM product_detail_variants
+                WHERE product_id NOT IN (SELECT product_id FROM changed)
+                AND product_detail_id NOT IN (SELECT id FROM product_details
+                    WHERE product_id IN (SELECT product_id FROM changed))""",
+                                   PARTS, "product_search_documents", "product_detail_variants", "categories", "subcategories", "leaf_categories",
                                    "scrape_runs", "products", "product_scrape_results",
                                    "product_details", "product_embeddings", "changed"),
         "taxonomy_backfill": assemble(f"""
@@ -673,6 +746,15 @@ def oracle_sql() -> dict[str, str]:
                    sum(original_cents) / 100.0 AS total, 0 AS n_coupon FROM product_details""",
                                     PARTS, "product_details"),
     }
+    renamed = ([*PARTS["products"][0], "product_scrape_results"], f"""
+        SELECT * REPLACE (CASE WHEN title <> '' AND id IN (SELECT product_id FROM product_scrape_results
+            WHERE scrape_status = 'signup') THEN 'new ' || title ELSE title END AS title)
+        FROM ({PARTS["products"][1]})""")
+    left = ([*PARTS["docs"][0], "changed"], f"""
+        SELECT * FROM ({PARTS["docs"][1]}) WHERE product_id NOT IN (SELECT product_id FROM changed)""")
+    sql["hybrid_updated"] = assemble("SELECT * FROM page", {
+        **PARTS, "products": renamed, "docs": left,
+        "queries": _queries_part("asked", True, sort="relevance", page=0)}, "page")
     for mode in ("relevance", "price_asc", "price_desc", "title", "newest"):
         sql[f"hybrid_{mode}"] = _search(sort=mode, page=0)
     articles = {
@@ -696,6 +778,37 @@ def oracle_sql() -> dict[str, str]:
     sql["lexical_passages"] = assemble("SELECT q_id, product_id, score FROM lexical",
                                        {**PARTS, **articles}, "lexical")
     sql["suggestions_fallback"] = _fallback_sql()
+    listed = """string_agg({0}.product_id, '|' ORDER BY {0}.rank) AS ids,
+        string_agg(coalesce({0}.title, '-'), '|' ORDER BY {0}.rank) AS titles,
+        string_agg(coalesce(d.category_slug, '-'), '|' ORDER BY {0}.rank) AS slugs,
+        round(sum(CAST(coalesce(d.original_price, 0) AS DOUBLE)), 2) AS prices"""
+    sql["result_json"] = _search(select=f"""
+        SELECT q.q_id, a.raw AS query, CASE WHEN q.blank THEN '' ELSE q.normalized END AS normalized,
+               q.page, q.size, coalesce(r.total, 0) AS total, coalesce(r.has_more, false) AS has_more,
+               coalesce(t.suggestions, '') AS suggestions, coalesce(r.ids, '') AS ids,
+               coalesce(r.titles, '') AS titles, coalesce(r.slugs, '') AS slugs,
+               coalesce(r.prices, 0e0) AS prices
+        FROM queries q JOIN asked a ON a.q_id = q.q_id
+        LEFT JOIN (SELECT p.q_id, max(p.total) AS total, bool_or(p.has_more) AS has_more,
+                       {listed.format('p')}
+                   FROM page p JOIN docs d ON d.product_id = p.product_id GROUP BY p.q_id) r
+            ON r.q_id = q.q_id
+        LEFT JOIN (SELECT q_id, string_agg(suggestion, '|' ORDER BY rank) AS suggestions FROM (
+                SELECT q_id, suggestion, row_number() OVER (PARTITION BY q_id
+                    ORDER BY priority, length(suggestion), suggestion) AS rank FROM (
+                    SELECT DISTINCT q.q_id, suggestion, priority FROM queries q
+                    JOIN offers ON starts_with(key, q.normalized)
+                    WHERE NOT q.blank AND q.q_id NOT IN (SELECT q_id FROM page)))
+            WHERE rank <= 8 GROUP BY q_id) t ON t.q_id = q.q_id""", roots=("page", "offers", "asked"))
+    sql["image_json"] = assemble(f"""
+        SELECT CAST(l.label AS VARCHAR) AS q_id, true AS success, 200 AS code,
+               coalesce(max(s.total), 0) AS total, 1 AS page, 5 AS per_page,
+               CAST(ceil(coalesce(max(s.total), 0) / 5.0) AS BIGINT) AS last_page,
+               {listed.format('s')}
+        FROM label_vectors l LEFT JOIN (SELECT r.*, d.title FROM similar_ranked r
+            JOIN docs d USING (product_id) WHERE rank <= 5) s ON s.q_id = CAST(l.label AS VARCHAR)
+        LEFT JOIN docs d ON d.product_id = s.product_id GROUP BY l.label""", PARTS, "similar_ranked",
+                                 "label_vectors")
     return sql
 
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfseek.functions import ladders
 from shelfseek.operators.exact import exact_candidates
 from shelfseek.operators.filters import QueryBatch, normalize_queries, query_batch
-from shelfseek.operators.joins import lookup_join
+from shelfseek.operators.joins import are_small, lookup_join
 from shelfseek.operators.lexical import lexical_candidates, postings
+from shelfseek.operators.suggest import suggestion_offers
 from shelfseek.operators.trigram import trigram_candidates, trigram_index
 from shelfseek.operators.vector import semantic_candidates
-from shelfseek.sources.tables import write_bucketed, write_sorted
+from shelfseek.sources.tables import open_bucketed, stored, write_bucketed, write_sorted
 
 SCORES = ["exact_score", "lexical_score", "trigram_score", "semantic_score"]
 RESULT_COLUMNS = ["q_id", "rank", "product_id", "title", "product_url", "image_url", "company",
@@ -25,17 +26,18 @@ RESULT_COLUMNS = ["q_id", "rank", "product_id", "title", "product_url", "image_u
 
 @dataclass
 class SearchIndex:
-    """The tables a search reads. Postings and trigrams may be stored or cut on the fly."""
+    """The tables a search reads. All but the first two may be stored or cut on the fly."""
     documents: DataFrame
     embeddings: DataFrame
     postings: DataFrame
     trigrams: DataFrame
+    offers: DataFrame
 
     @staticmethod
     def over(documents: DataFrame, embeddings: DataFrame, fold_accents: bool = False
              ) -> SearchIndex:
         return SearchIndex(documents, embeddings, postings(documents),
-                           trigram_index(documents, fold_accents))
+                           trigram_index(documents, fold_accents), suggestion_offers(documents))
 
 
 def store_index(documents: DataFrame, embeddings: DataFrame, name: str, path: str, buckets: int,
@@ -55,8 +57,61 @@ def store_index(documents: DataFrame, embeddings: DataFrame, name: str, path: st
                            buckets, "term", "product_id")
     grams = trigram_index(docs, fold_accents)
     write_sorted(grams, f"{path}/trigrams", "gram", "value_key")
+    write_sorted(suggestion_offers(docs), f"{path}/offers", "key", "suggestion")
     return SearchIndex(docs, vectors, index,
-                       spark.read.schema(grams.schema).parquet(f"{path}/trigrams"))
+                       spark.read.schema(grams.schema).parquet(f"{path}/trigrams"),
+                       spark.read.parquet(f"{path}/offers"))
+
+
+def open_index(spark: SparkSession, name: str, path: str, buckets: int) -> SearchIndex:
+    """Open a stored index under ``name``, also in a session that did not write it."""
+    tables = [open_bucketed(spark, f"{name}_{kind}", f"{path}/{kind}", "product_id", buckets, *order)
+              for kind, order in (("documents", ()), ("embeddings", ()),
+                                  ("postings", ("term", "product_id")))]
+    return SearchIndex(*tables, spark.read.parquet(f"{path}/trigrams"),
+                       spark.read.parquet(f"{path}/offers"))
+
+
+def update_index(index: SearchIndex, name: str, path: str, buckets: int, *,
+                 documents: DataFrame | None = None, embeddings: DataFrame | None = None,
+                 deleted: DataFrame | None = None, fold_accents: bool = False) -> SearchIndex:
+    """Write a new snapshot of an index with changed documents and embeddings, without deleted ids.
+
+    The old snapshot stays as it is and serves until the caller switches;
+    nothing is overwritten. Unchanged rows are copied, only changed documents
+    are cut into postings and trigrams again. Trigrams of values that no document
+    holds any more match no document.
+    """
+    ids = lambda rows: rows.select("product_id").distinct()
+    gone = ids(index.documents.limit(0) if deleted is None else deleted)
+    documents = index.documents.limit(0) if documents is None else documents
+    documents = stored(documents.join(gone, "product_id", "left_anti"), "changed")
+    changed = stored(ids(documents.select("product_id").unionByName(gone)), "changed-ids")
+    small = are_small(changed)[0]
+
+    def kept(rows, keys, small=False):
+        return rows.join(F.broadcast(keys) if small else keys, "product_id", "left_anti").select(*rows.columns)
+
+    new = None if embeddings is None else stored(kept(embeddings, gone), "changed-vectors")
+    old_vectors = kept(index.embeddings, gone)
+    vectors = old_vectors if new is None else kept(old_vectors, ids(new)).unionByName(
+        new.select(*old_vectors.columns))
+    tables = [
+        write_bucketed(kept(index.documents, changed, small).unionByName(
+            documents.select(*index.documents.columns)), f"{name}_documents", f"{path}/documents",
+            "product_id", buckets),
+        write_bucketed(vectors, f"{name}_embeddings", f"{path}/embeddings", "product_id", buckets),
+        write_bucketed(kept(index.postings, changed, small).unionByName(
+            postings(documents).select(*index.postings.columns)), f"{name}_postings",
+            f"{path}/postings", "product_id", buckets, "term", "product_id")]
+    grams = trigram_index(documents, fold_accents).select(*index.trigrams.columns)
+    known = index.trigrams.select("field", "value_key").distinct()
+    grams = grams.join(known, ["field", "value_key"], "left_anti").select(*index.trigrams.columns)
+    write_sorted(index.trigrams.unionByName(grams), f"{path}/trigrams", "gram", "value_key")
+    # An offer may have lost its last document, so offers are gathered anew from the narrow columns.
+    write_sorted(suggestion_offers(tables[0]), f"{path}/offers", "key", "suggestion")
+    read = documents.sparkSession.read
+    return SearchIndex(*tables, read.parquet(f"{path}/trigrams"), read.parquet(f"{path}/offers"))
 
 
 def candidates(batch: QueryBatch, index: SearchIndex) -> DataFrame:

@@ -49,5 +49,5 @@ def store_outcomes(outcomes: DataFrame, embeddings: DataFrame, embeddings_path:
     """
     fresh = embed.new_embeddings(outcomes, now)
     documents.inserted_if_absent(embeddings, fresh).write.mode("append").parquet(embeddings_path)
-    embed.retry_rows(outcomes, next_retry_at).write.mode("append").parquet(status_path)
+    embed.retry_rows(outcomes, next_retry_at, now).write.mode("append").parquet(status_path)
     return {r["status"]: r["n"] for r in embed.outcome_counts(outcomes).collect()}

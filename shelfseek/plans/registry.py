@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+import math
 import uuid
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfseek import fixtures as fx, schema
@@ -19,10 +22,13 @@ from shelfseek.streaming.sync import sync_stream
 _built: dict[tuple, hybrid.SearchIndex] = {}
 
 
-def _buckets(spark: SparkSession) -> int:
-    """As many buckets as shuffles have partitions, but no more than two per core."""
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-               2 * spark.sparkContext.defaultParallelism)
+# What a product and its rows in the search tables take, and how much a bucket should hold.
+PRODUCT_BYTES, BUCKET_BYTES, MIN_BUCKETS = 8_000, 128 << 20, 8
+
+
+def _buckets(n_products: int, row_bytes: float = PRODUCT_BYTES) -> int:
+    """Buckets by the size of what they hold."""
+    return max(MIN_BUCKETS, math.ceil(n_products * row_bytes / BUCKET_BYTES))
 
 
 def search_index(spark: SparkSession, d: str) -> hybrid.SearchIndex:
@@ -32,7 +38,7 @@ def search_index(spark: SparkSession, d: str) -> hybrid.SearchIndex:
         name = f"parts_{uuid.uuid4().hex}"
         _built[key] = hybrid.store_index(
             fx.documents(spark, d), fx.product_embeddings(spark, d), name,
-            f"{shared_dir(spark)}/{name}", _buckets(spark))
+            f"{shared_dir(spark)}/{name}", _buckets(fx.table(spark, d, "part").count()))
     return _built[key]
 
 
@@ -41,12 +47,14 @@ def article_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, d, "articles")
     if key not in _built:
         name = f"articles_{uuid.uuid4().hex}"
+        texts = fx.table(spark, d, "documents").agg(
+            F.count("*"), F.avg(F.octet_length("text"))).first()
+        buckets = _buckets(texts[0], 4 * (texts[1] or 0))
         docs = tables.write_bucketed(fx.articles(spark, d), f"{name}_documents",
-                                     f"{shared_dir(spark)}/{name}/documents", "product_id",
-                                     _buckets(spark))
+                                     f"{shared_dir(spark)}/{name}/documents", "product_id", buckets)
         _built[key] = (docs, tables.write_bucketed(
             lexical.postings(docs), f"{name}_postings", f"{shared_dir(spark)}/{name}/postings",
-            "product_id", _buckets(spark), "term", "product_id"))
+            "product_id", buckets, "term", "product_id"))
     return _built[key]
 
 
@@ -270,6 +278,25 @@ def name_queries(spark, d):
         none.cast("array<float>").alias("q_embedding"))
 
 
+def hybrid_updated(spark, d):
+    """Search after an update: purchased products deleted, signed-up ones renamed and synced."""
+    key = (spark.sparkContext.applicationId, d, "updated")
+    if key not in _built:
+        products = fx.products(spark, d)
+        events = fx.product_scrape_results(spark, d)
+        renamed = events.filter("scrape_status = 'signup'").select("product_id").distinct()
+        title = F.when(F.col("title") != "", F.concat(F.lit("new "), "title")).otherwise(F.col("title"))
+        fresh = documents.documents_for(renamed, products.withColumn("title", title),
+                                        fx.product_details(spark, d), *fx.taxonomy(spark, d))
+        name = f"updated_{uuid.uuid4().hex}"
+        path, buckets = f"{shared_dir(spark)}/{name}", _buckets(products.count())
+        hybrid.update_index(search_index(spark, d), f"{name}_w", path, buckets, documents=fresh,
+                            deleted=_changed_ids(spark, d))
+        # Read as another session would.
+        _built[key] = hybrid.open_index(spark, name, path, buckets)
+    return _hits(hybrid.hybrid_search(_with(fx.queries(spark, d), sort="relevance", page=0), _built[key]))
+
+
 def hybrid_batch(spark, d):
     return _search(spark, d, name_queries(spark, d))
 
@@ -327,28 +354,63 @@ def similarity_bands(spark, d):
                        .alias("percent"))
 
 
+def cluster_index(spark: SparkSession, d: str) -> tuple[np.ndarray, DataFrame]:
+    """Centres, one per label, and the vectors stored by list; built on first use in a session."""
+    key = (spark.sparkContext.applicationId, d, "lists")
+    if key not in _built:
+        # One row per label.
+        means = fx.label_vectors(spark, d).orderBy("label").collect()
+        centres = clusters.unit_rows(np.array([r["q_embedding"] for r in means], dtype=np.float64))
+        _built[key] = (centres, clusters.store_lists(
+            search_index(spark, d).embeddings, centres,
+            f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"))
+    return _built[key]
+
+
 def ann_search(spark, d):
-    """Nearest neighbours of the label vectors by clusters, with recall against exact search."""
+    """Every fiftieth vector searched in its four nearest lists: recall, and vectors looked at."""
     index = search_index(spark, d)
-    asked = _image_queries(spark, d, threshold=-1.0, per_page=10)
-    centres = clusters.train(index.embeddings, lists=16)
-    numbered = clusters.assign(index.embeddings, centres)
-    probed = clusters.nearest_lists(asked, centres, 6)
-    found = similar.similar_products(asked, index.documents, numbered, probed)
+    centres, vectors = cluster_index(spark, d)
+    asked = index.embeddings.filter(F.col("product_id").cast("long") % 50 == 0).select(
+        F.col("product_id").alias("q_id"), F.col("embedding").alias("q_embedding"),
+        F.lit(1).alias("page"), F.lit(10).alias("per_page"), F.lit(None).cast("int").alias("limit"),
+        F.lit(-1.0).alias("threshold"))
+    probed = tables.stored(clusters.nearest_lists(asked, centres, 4), "probed")
+    found = similar.similar_products(asked, index.documents, vectors, probed)
     right = similar.similar_products(asked, index.documents, index.embeddings)
-    return clusters.recall(right, found, 10)
+    return clusters.recall(right, found, 10).join(clusters.scanned(probed, vectors), "q_id")
 
 
-def result_json(spark, d):
+def result_bodies(spark, d):
     queries = fx.queries(spark, d)
     normalized = filters.normalize_queries(queries)
     index = search_index(spark, d)
     rows = tables.stored(hybrid.hybrid_search(queries, index), "page")
-    tips = suggest.fallback_suggestions(normalized, rows, index.documents)
+    tips = suggest.fallback_suggestions(normalized, rows, index.offers)
     return responses.text_response(normalized, rows, tips)
 
 
-def image_json(spark, d):
+def result_json(spark, d):
+    """The JSON pages, read back: what a client finds in them."""
+    ddl = ("query string, normalizedQuery string, page int, size int, totalResults long, hasMore boolean, "
+           "suggestions array<string>, results array<struct<id: string, title: string, company: string, "
+           "originalPrice: double, category: struct<id: string, title: string, slug: string>>>")
+    rows = result_bodies(spark, d).select("q_id", F.from_json("body", ddl).alias("b"))
+    return rows.select(
+        "q_id", "b.query", F.col("b.normalizedQuery").alias("normalized"), "b.page", "b.size",
+        F.col("b.totalResults").alias("total"), F.col("b.hasMore").alias("has_more"),
+        F.array_join("b.suggestions", "|").alias("suggestions"), *_listed("b.results"))
+
+
+def _listed(results: str):
+    """The ids, titles and category slugs of a page in order, and the sum of its prices."""
+    joined = lambda field: F.array_join(F.transform(results, lambda r: F.coalesce(field(r), F.lit("-"))), "|")
+    prices = F.aggregate(results, F.lit(0.0), lambda s, r: s + F.coalesce(r["originalPrice"], F.lit(0.0)))
+    return (joined(lambda r: r["id"]).alias("ids"), joined(lambda r: r["title"]).alias("titles"),
+            joined(lambda r: r["category"]["slug"]).alias("slugs"), F.round(prices, 2).alias("prices"))
+
+
+def image_bodies(spark, d):
     index = search_index(spark, d)
     asked = _image_queries(spark, d, page=1, per_page=5)
     totals = similar.similar_totals(asked, index.documents, index.embeddings)
@@ -356,6 +418,18 @@ def image_json(spark, d):
     return responses.image_response(asked, totals, rows)
 
 
+def image_json(spark, d):
+    """The JSON pages of the image search, read back."""
+    ddl = ("success boolean, code int, payload struct<total: long, currentPage: int, perPage: int, lastPage: long, "
+           "data: array<struct<id: string, title: string, originalPrice: double, similarity: double, "
+           "category: struct<slug: string>>>>")
+    rows = image_bodies(spark, d).select("q_id", F.from_json("body", ddl).alias("b")).select("q_id", "b.*")
+    return rows.select(
+        "q_id", "success", "code", "payload.total", F.col("payload.currentPage").alias("page"),
+        F.col("payload.perPage").alias("per_page"), F.col("payload.lastPage").alias("last_page"),
+        *_listed("payload.data"))
+
+
 # --- suggestions ----------------------------------------------------------------------------------
 
 def _prefixes(spark, d):
@@ -368,14 +442,14 @@ def _prefixes(spark, d):
 
 
 def suggestions(spark, d):
-    return suggest.suggest(_prefixes(spark, d), search_index(spark, d).documents)
+    return suggest.suggest(_prefixes(spark, d), search_index(spark, d).offers)
 
 
 def suggestions_fallback(spark, d):
     normalized = filters.normalize_queries(_prefixed_queries(spark, d))
     index = search_index(spark, d)
     found = exact.exact_candidates(filters.query_batch(normalized), index.documents)
-    return suggest.fallback_suggestions(normalized, found, index.documents)
+    return suggest.fallback_suggestions(normalized, found, index.offers)
 
 
 def _prefixed_queries(spark, d):
@@ -401,6 +475,13 @@ def pending_retry(spark, d):
         fx.product_embedding_status(spark, d), F.lit(fx.NOW).cast("timestamp"))
 
 
+def pending_attempts(spark, d):
+    """Products due for another try, by the latest of several attempts at each."""
+    return embed.pending_retry(
+        fx.products(spark, d), fx.product_embeddings(spark, d),
+        fx.product_embedding_attempts(spark, d), F.lit(fx.NOW).cast("timestamp"))
+
+
 def offline_fetch(url: str, headers: dict, timeout: float) -> bytes:
     """Answers by the number in the address: some fail with a status, some without."""
     number = int(url.rsplit("/", 1)[1].split(".")[0])
@@ -491,6 +572,8 @@ def _catalogue(spark, d):
         "product_scrape_results": fx.product_scrape_results(spark, d),
         "product_details": fx.product_details(spark, d),
         "product_embeddings": fx.product_embeddings(spark, d),
+        "product_detail_variants": fx.product_detail_variants(spark, d),
+        "product_search_documents": fx.documents(spark, d),
     }
 
 
@@ -566,10 +649,10 @@ QUERIES = {f.__name__: f for f in (
     latest_detail, latest_scrape, build_documents, sync_documents, sync_status, stream_sync,
     delete_documents, vector_codec, normalize_queries, filter_documents, exact_candidates,
     postings, article_postings, lexical_candidates, lexical_passages, trigram_candidates,
-    semantic_candidates, hybrid_page2, hybrid_filtered, hybrid_no_embedding, hybrid_batch,
+    semantic_candidates, hybrid_page2, hybrid_filtered, hybrid_no_embedding, hybrid_updated, hybrid_batch,
     similar_products, similar_page2, similar_all_pairs, similar_count, similarity_bands,
     ann_search, result_json, image_json, suggestions, suggestions_fallback, pending_embeddings,
-    pending_all, pending_retry, embed_outcomes, embed_counts, index_newest, insert_embeddings, embed_texts,
+    pending_all, pending_retry, pending_attempts, embed_outcomes, embed_counts, index_newest, insert_embeddings, embed_texts,
     image_files, catalogue_lookups, orphans, duplicate_keys, null_violations, cascade_delete,
     taxonomy_backfill, conform_schema, conform_details)}
 QUERIES |= {f"hybrid_{mode}": _sorted_search(mode)

@@ -29,12 +29,12 @@ def _with_pictures(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def similar_products(queries: DataFrame, docs: DataFrame, embeddings: DataFrame,
-                     lists: dict[str, list[int]] | None = None,
+                     lists: DataFrame | None = None,
                      threshold: float = vector.SIMILARITY_THRESHOLD) -> DataFrame:
     """The asked page of products at least ``threshold`` similar, nearest first.
 
     One pass over the vectors gives both the page and the total of all hits.
-    With ``lists`` only those clusters are probed, see ``operators.clusters``.
+    With ``lists`` (q_id, list_no) only those clusters are probed, see ``operators.clusters``.
     """
     asked = paged(queries, threshold)
     table = local_table(asked, vector.MAX_QUERY_BLOCK)

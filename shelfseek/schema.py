@@ -46,7 +46,7 @@ DDL = {
     "product_embeddings": "id string, product_id string, embedding array<float>, "
                           "source_image_url string, model_version string, created_at timestamp",
     "product_embedding_status": "id string, product_id string, status string, "
-                                "next_retry_at timestamp",
+                                "next_retry_at timestamp, attempted_at timestamp",
     # The last two columns are the texts that the postings are cut from.
     "product_search_documents": "product_id string, title string, product_url string, "
                                 "image_url string, company string, category_id string, "

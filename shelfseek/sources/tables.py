@@ -47,6 +47,17 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int,
     return df.sparkSession.table(table)
 
 
+def open_bucketed(spark: SparkSession, table: str, path: str, key: str, buckets: int,
+                  *order: str) -> DataFrame:
+    """A table written by ``write_bucketed``, entered in this session's catalogue with its layout."""
+    layout = spark.read.parquet(path).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+              f"CLUSTERED BY ({key}) SORTED BY ({', '.join(order or (key,))}) INTO {buckets} BUCKETS "
+              f"LOCATION '{path}'")
+    return spark.table(table)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to a fresh folder of the shared working place and read back."""
     spark = df.sparkSession

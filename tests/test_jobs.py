@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfseek import fixtures as fx, schema
 from shelfseek.functions import ladders, vectors
-from shelfseek.operators import clusters, conform, documents, embed, quality, suggest
+from shelfseek.operators import clusters, conform, documents, embed, quality, suggest, vector
 from shelfseek.plans import jobs, registry, similar
 from shelfseek.sources import images, tables
 from shelfseek.streaming.sync import sync_stream
@@ -57,6 +57,8 @@ def catalogue(spark):
             dict(id="x2", scrape_run_id="r1", product_id="p1")]),
         "product_embeddings": frame(spark, "product_embeddings", [
             dict(id="e1", product_id="p1", embedding=[1.0, 0.0])]),
+        "product_search_documents": frame(spark, "product_search_documents", [
+            dict(product_id="p1"), dict(product_id="p3")]),
     }
 
 
@@ -128,6 +130,30 @@ def test_stream_sync_is_idempotent(spark, tmp_path):
     assert titles == {"p1": "New", "p2": "stale", "p3": None} and seen == [1, 2]
 
 
+def test_latest_attempt_counts(spark):
+    products = frame(spark, "products", [dict(id=i, image_url="u") for i in ("a", "b", "c")])
+    none = frame(spark, "product_embeddings", [])
+    tries = [("1", "a", "RETRY", 1), ("2", "a", "FAILED", 2), ("3", "a", "RETRY", 3), ("4", "b", "RETRY", 1),
+             ("5", "b", "FAILED", 2)]
+    status = frame(spark, "product_embedding_status", [
+        dict(id=i, product_id=p, status=s, attempted_at=dt.datetime(2024, 1, n)) for i, p, s, n in tries])
+    due = embed.pending_retry(products, none, status, F.lit(DAY))
+    assert sorted(r["id"] for r in due.collect()) == ["a", "c"]
+    assert [r["id"] for r in embed.pending_retry(products, none, status, F.lit(DAY), 1).collect()] == ["a"]
+
+
+def test_missing_columns_are_reported(spark):
+    t = catalogue(spark)
+    t["products"] = t["products"].drop("created_at")
+    empty = {(r["table_name"], r["column_name"]): r["n_rows"] for r in quality.null_violations(t).collect()}
+    assert empty[("products", "created_at")] == t["products"].count()
+    t["products"] = t["products"].drop("product_url")
+    with pytest.raises(ValueError, match="products.product_url"):
+        quality.duplicate_keys(t)
+    with pytest.raises(ValueError, match="categories"):
+        quality.orphans({n: df for n, df in t.items() if n != "categories"})
+
+
 def test_orphans_duplicates_nulls(spark):
     t = catalogue(spark)
     lost = {(r["table_name"], r["column_name"], r["missing_key"]) for r in quality.orphans(t).collect()}
@@ -208,7 +234,7 @@ def test_index_products(spark):
     assert np.linalg.norm(rows["p0"]["embedding"]) == pytest.approx(1, abs=1e-6)
     fresh = embed.new_embeddings(out, F.lit(DAY)).collect()
     assert {r["product_id"] for r in fresh} == {"p0", "p5"} and all(r["id"] for r in fresh)
-    waiting = embed.retry_rows(out, F.lit(DAY))
+    waiting = embed.retry_rows(out, F.lit(DAY), F.lit(DAY))
     assert {(r["product_id"], r["status"]) for r in waiting.collect()} == {
         ("p1", "RETRY"), ("p2", "FAILED"), ("p3", "RETRY"), ("p4", "FAILED")}
     due = embed.pending_retry(products, stored, waiting, F.lit(DAY))
@@ -299,10 +325,10 @@ def test_image_paging(spark):
                    "d": (2, 50, 0.5, 100)}
 
 
-def test_clusters_with_all_lists_are_exact(spark, sf, index):
+def test_clusters_with_all_lists_are_exact(spark, sf, index, tmp_path):
     asked = registry._image_queries(spark, sf, threshold=-1.0, per_page=20)
     centres = clusters.train(index.embeddings, lists=8)
-    numbered = clusters.assign(index.embeddings, centres)
+    numbered = clusters.store_lists(index.embeddings, centres, str(tmp_path / "lists"))
     assert numbered.count() == index.embeddings.count()
     right = similar.similar_products(asked, index.documents, index.embeddings)
     every = similar.similar_products(asked, index.documents, numbered,
@@ -314,18 +340,48 @@ def test_clusters_with_all_lists_are_exact(spark, sf, index):
     assert sum(share) / len(share) > 0.6
 
 
+def test_wide_or_many_queries_probe_their_lists(spark, monkeypatch):
+    """Beyond one block of queries the grid looks at the same lists."""
+    vectors = spark.createDataFrame([(str(i), [float(i % 2), 1.0, float(i)], i % 2) for i in range(40)],
+                                    "product_id string, embedding array<float>, list_no int")
+    asked = spark.createDataFrame([(f"q{i}", [1.0, 0.0, float(i)], 100, -1.0) for i in range(9)],
+                                  "q_id string, q_embedding array<float>, depth int, threshold double")
+    lists = spark.createDataFrame([(f"q{i}", i % 2) for i in range(9)], "q_id string, list_no int")
+
+    def found():
+        rows = vector.scan(vectors, asked, lists).collect()
+        return sorted((r["q_id"], r["product_id"], r["similarity"]) for r in rows if r["product_id"])
+
+    one = found()
+    assert {int(q[1:]) % 2 == int(p) % 2 for q, p, _ in one} == {True} and len(one) == 9 * 20
+    monkeypatch.setattr(vector, "MAX_QUERY_BLOCK", 4)
+    monkeypatch.setattr(vector, "CELL_VECTORS", 7)
+    assert found() == one
+
+
+def test_probing_reads_only_its_lists(spark, index, tmp_path):
+    centres = clusters.train(index.embeddings, lists=8)
+    clusters.store_lists(index.embeddings, centres, str(tmp_path / "lists"))
+    vectors = clusters.open_lists(spark, str(tmp_path / "lists"))
+    asked = index.embeddings.limit(1).select(F.col("product_id").alias("q_id"), F.col("embedding").alias(
+        "q_embedding"), F.lit(5).alias("depth"), F.lit(-1.0).alias("threshold"))
+    asked = tables.stored(asked, "asked")
+    plan = vector.scan(vectors, asked, clusters.nearest_lists(asked, centres, 1))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list_no" in plan
+
+
 def test_suggestions(spark, sf, index):
     asked = spark.createDataFrame([("a", "RE", 3), ("b", "r", None), ("c", None, None),
                                    ("d", "nation-1", 99)], "q_id string, raw string, limit int")
     got = {}
-    for r in suggest.suggest(asked, index.documents).orderBy("q_id", "rank").collect():
+    for r in suggest.suggest(asked, index.offers).orderBy("q_id", "rank").collect():
         got.setdefault(r["q_id"], []).append(r["suggestion"])
     assert set(got) == {"a", "d"} and len(got["a"]) == 3 and len(got["d"]) == 8
     assert all(s.startswith("red") for s in got["a"]) and got["d"][0] == "NATION_1"
 
 
 def test_json_bodies(spark, sf):
-    bodies = {r["q_id"]: json.loads(r["body"]) for r in registry.result_json(spark, sf).collect()}
+    bodies = {r["q_id"]: json.loads(r["body"]) for r in registry.result_bodies(spark, sf).collect()}
     assert bodies["q12"] == {"query": None, "normalizedQuery": "", "page": 0, "size": 20,
                              "totalResults": 0, "hasMore": False, "suggestions": [], "results": []}
     assert bodies["q10"]["page"] == 3 and bodies["q10"]["normalizedQuery"] == ""
@@ -333,7 +389,7 @@ def test_json_bodies(spark, sf):
     assert first["title"] == "red widget" and "similarity" not in first
     assert set(first["category"]) == {"id", "title", "slug"}
     assert all(None not in r.values() for b in bodies.values() for r in b["results"])
-    image = json.loads(registry.image_json(spark, sf).first()["body"])
+    image = json.loads(registry.image_bodies(spark, sf).first()["body"])
     assert image["success"] and image["error"] is None and image["code"] == 200
     assert image["payload"]["perPage"] == 5 and len(image["payload"]["data"]) <= 5
     assert image["payload"]["lastPage"] == -(-image["payload"]["total"] // 5)
