@@ -68,5 +68,55 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS shingle
+  FROM (SELECT *, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, w FROM d WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM k LEFT JOIN n USING (doc_id)
+"""
+
+REPEATED = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS gram
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+o AS (SELECT gram, min(doc_id) AS owner FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, i FROM g JOIN o ON g.gram = o.gram AND owner < doc_id),
+mark AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS begins
+  FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+run AS (
+  SELECT doc_id, min(i) AS first, max(i) + 50 AS after
+  FROM (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mark)
+  GROUP BY doc_id, k),
+piece AS (
+  SELECT doc_id, first, coalesce(lag(after) OVER w, 0) AS low, first AS high
+  FROM run WINDOW w AS (PARTITION BY doc_id ORDER BY first)
+  UNION ALL SELECT doc_id, max(first) + 1, max(after), 1000000000 FROM run GROUP BY doc_id),
+rest AS (
+  SELECT doc_id, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' ORDER BY first) AS h
+  FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(after - first) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_index": WARC, "op6_url_rules": URL_RULES, "op9_decontaminate": DECONTAMINATE}
+    return {"op3_warc_index": WARC, "op6_url_rules": URL_RULES, "op7_repeated_passages": REPEATED,
+            "op8_near_duplicates": NEAR_DUPLICATES, "op9_decontaminate": DECONTAMINATE}
