@@ -119,17 +119,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int
     """
     y = labels.astype(np.float64)
     lengths = np.array([len(a) for a, _ in rows])
-    at = np.concatenate([a for a, _ in rows]) if len(rows) else np.zeros(0, np.int32)
-    value = np.concatenate([v for _, v in rows]).astype(np.float64) if len(rows) else np.zeros(0)
-    used, at = np.unique(at, return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), lengths)
+    at = np.concatenate([np.zeros(0, np.int32), *(a for a, _ in rows)])
+    value = np.concatenate([np.zeros(0, np.float32), *(v for _, v in rows)])
+    present = np.bincount(at, minlength=size) > 0
+    used = np.flatnonzero(present)
+    at = (np.cumsum(present, dtype=np.int32) - 1)[at]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, steps + 1):
-        score = np.bincount(row, w[at] * value, len(rows)) + b
+        score = np.bincount(row, w.astype(np.float32)[at] * value, len(rows)) + b
         error = (sigmoid(score) - y) * share
-        g = np.bincount(at, error[row] * value, len(used)) + decay * w
+        g = np.bincount(at, error.astype(np.float32)[row] * value, len(used)) + decay * w
         gb = float(error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
