@@ -3,9 +3,10 @@
 The patterns give the base spans. The novelty part looks at strings behind
 words such as ``key`` or ``auth``. Such a string is compressed with a
 dictionary of the code around it and of common identifiers; the bytes that it
-adds tell how much of it is new. Strings that stay almost as long as they
-are, and mix letters with digits, are reported as ``novel`` unless a base span
-covers any of them.
+adds tell how much of it is new. Copies of it in that code are left out of the
+dictionary, as else a key that occurs twice would explain itself. Strings that
+stay almost as long as they are, and mix letters with digits, are reported as
+``novel`` unless a base span covers any of them.
 
 Spans are in code points, with exclusive end. Defined results. A null or
 empty text has no spans. Repeated rows are scanned one by one. Empty tables
@@ -41,6 +42,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 48
 AROUND = 1024
 NOVELTY = 0.8
+#: Strings around a candidate that share so many characters with it, a digit among them, are copies.
+COPY = 12
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % COPY)
 
 IDENTIFIERS = " ".join(sorted({*keyword.kwlist, *dir(builtins), *dir(str), *dir(dict), *CONTEXT_WORDS})).encode()
 
@@ -65,6 +69,24 @@ def marginal_bytes(candidate: bytes, dictionary: bytes) -> int:
     return len(packer.compress(candidate)) - len(packer.compress(b""))
 
 
+def without_copies(around: str, value: str) -> str:
+    """``around`` with the strings blanked that share ``COPY`` characters with ``value``."""
+    parts = lambda s: (s[i:i + COPY] for i in range(len(s) - COPY + 1))
+    near = {p for run in RUN.findall(around) for p in parts(run) if re.search("[0-9]", p)}
+    shared = near and near.intersection(parts(value))
+    return RUN.sub(lambda m: " " if any(p in shared for p in parts(m[0])) else m[0], around) if shared else around
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether neither the code around a string nor identifiers explain it."""
+    value = text[start:end]
+    if not (re.search("[A-Za-z]", value) and re.search("[0-9]", value)):
+        return False
+    dictionary = IDENTIFIERS + b"".join(without_copies(part, value).encode() for part in (
+        text[max(0, start - AROUND):start], text[end:end + AROUND]))
+    return marginal_bytes(value.encode(), dictionary) >= NOVELTY * len(value)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Start, kind number and end of incompressible strings in sensitive context."""
     folded = text.lower()
@@ -77,13 +99,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             continue
         start = candidate.start()
         end = CANDIDATE.match(text, start).end()
-        value = text[start:end]
-        if any(s < end and start < e for s, _, e in taken) or not (
-                re.search("[A-Za-z]", value) and re.search("[0-9]", value)):
-            continue
-        dictionary = IDENTIFIERS + text[max(0, start - AROUND):start].encode() + text[
-            end:end + AROUND].encode()
-        if marginal_bytes(value.encode(), dictionary) >= NOVELTY * len(value):
+        if not any(s < end and start < e for s, _, e in taken) and is_novel(text, start, end):
             found[start] = end
     return [(s, 3, e) for s, e in sorted(found.items())]
 

@@ -273,6 +273,18 @@ def test_redaction_keeps_columns(docs_of, odd_docs, no_docs):
     assert secrets.redact(odd_docs).count() == 9 and secrets.report(no_docs).count() == 0
 
 
+def test_secrets_that_occur_twice(docs_of):
+    value = "x9Kq2LmZ81vTbWp4Rn7cY3sHd6Fg0JaQe5Uu+iOo"
+    lines = [f"private_key = {value}\n" * 2, f"auth: {value}\nsome(code)\nuse {value} here\n",
+             f"auth={value} then the key is '{value}'", f"private_key = {value}\n{'word ' * 200}{value}\n"]
+    for text in lines:
+        assert secrets.scan_text(text)[0][2] == text.index(value) + len(value), text
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(lines)).collect()}
+    assert value not in out[0] and value not in out[2]
+    code = "key = load_configuration_of_the_service_2; token = load_configuration_of_the_service_3\n"
+    assert secrets.without_copies(code, "load_configuration_of_the_service_4") == code
+
+
 # ---- URL rules
 
 def test_url_rules(spark):
