@@ -1,12 +1,13 @@
 """Secret scan: fixed patterns, and strings that zstandard cannot explain from what surrounds them.
 
 The patterns give the base spans. The novelty part looks at strings behind
-words such as ``key`` or ``auth``. Such a string is compressed with a
-dictionary of the code around it and of common identifiers; the bytes that it
-adds tell how much of it is new. Copies of it in that code are left out of the
-dictionary, as else a key that occurs twice would explain itself. Strings that
-stay almost as long as they are, and mix letters with digits, are reported as
-``novel`` unless a base span covers any of them.
+words such as ``key`` or ``auth``: at every one that begins within ``REACH``. Such
+a string is compressed with a dictionary of the code around it and of common
+identifiers; the bytes that it adds tell how much of it is new. Copies of it in
+that code are left out of the dictionary, as else a key that occurs twice would
+explain itself. Strings that stay almost as long as they are, or as long as
+random letters of their alphabet would, and mix letters with digits, are reported
+as ``novel`` unless a base span covers any of them.
 
 Spans are in code points, with exclusive end. Defined results. A null or
 empty text has no spans. Repeated rows are scanned one by one. Empty tables
@@ -18,7 +19,9 @@ from __future__ import annotations
 import builtins
 import hashlib
 import keyword
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -45,6 +48,12 @@ NOVELTY = 0.8
 #: Strings around a candidate that share so many characters with it, a digit among them, are copies.
 COPY = 12
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % COPY)
+#: Alphabets of keys by size, and the share of a candidate's characters that its alphabet has.
+ALPHABETS = [frozenset(a) for a in (
+    "0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")]
+COVERED = 7 / 8
 
 IDENTIFIERS = " ".join(sorted({*keyword.kwlist, *dir(builtins), *dir(str), *dir(dict), *CONTEXT_WORDS})).encode()
 
@@ -69,6 +78,15 @@ def marginal_bytes(candidate: bytes, dictionary: bytes) -> int:
     return len(packer.compress(candidate)) - len(packer.compress(b""))
 
 
+def entropy_bytes(value: str) -> float:
+    """Bytes that random letters of the value's alphabet hold: the least one that has most of its characters."""
+    counts = Counter(value)
+    for alphabet in ALPHABETS:
+        if sum(n for c, n in counts.items() if c in alphabet) >= COVERED * len(value):
+            return len(value) * math.log2(len(alphabet)) / 8
+    return len(value) * 6 / 8
+
+
 def without_copies(around: str, value: str) -> str:
     """``around`` with the strings blanked that share ``COPY`` characters with ``value``."""
     parts = lambda s: (s[i:i + COPY] for i in range(len(s) - COPY + 1))
@@ -84,7 +102,7 @@ def is_novel(text: str, start: int, end: int) -> bool:
         return False
     dictionary = IDENTIFIERS + b"".join(without_copies(part, value).encode() for part in (
         text[max(0, start - AROUND):start], text[end:end + AROUND]))
-    return marginal_bytes(value.encode(), dictionary) >= NOVELTY * len(value)
+    return marginal_bytes(value.encode(), dictionary) >= min(NOVELTY * len(value), entropy_bytes(value))
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -92,16 +110,17 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     folded = text.lower()
     if not any(w in folded for w in CONTEXT_WORDS):
         return []
-    found: dict[int, int] = {}
+    found: dict[int, tuple[int, bool]] = {}
     for context in CONTEXT.finditer(text):
-        candidate = CANDIDATE.search(text, context.end(), min(len(text), context.end() + REACH + 16))
-        if candidate is None or candidate.start() in found or candidate.start() > context.end() + REACH:
-            continue
-        start = candidate.start()
-        end = CANDIDATE.match(text, start).end()
-        if not any(s < end and start < e for s, _, e in taken) and is_novel(text, start, end):
-            found[start] = end
-    return [(s, 3, e) for s, e in sorted(found.items())]
+        at, last = context.end(), context.end() + REACH
+        while at <= last and (candidate := CANDIDATE.search(text, at, min(len(text), last + 16))):
+            start = candidate.start()
+            if start not in found:
+                end = CANDIDATE.match(text, start).end()
+                free = not any(s < end and start < e for s, _, e in taken)
+                found[start] = end, free and is_novel(text, start, end)
+            at = found[start][0]
+    return [(s, 3, e) for s, (e, novel) in sorted(found.items()) if novel]
 
 
 def scan_text(text: str) -> list[tuple[int, int, int]]:

@@ -1,6 +1,7 @@
 """The operators against brute force, and on odd rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -285,6 +286,19 @@ def test_secrets_that_occur_twice(docs_of):
     assert secrets.without_copies(code, "load_configuration_of_the_service_4") == code
 
 
+def test_secrets_of_any_alphabet_length_and_place():
+    rng = random.Random(3)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789",
+                 "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    for alphabet in alphabets:
+        for size in (40, 64, 128, 256, 1000):
+            value = "A2" + "".join(rng.choice(alphabet) for _ in range(size - 2))
+            for text in (f"private_key = '{value}'", f"private_key_for_service_account_id: '{value}'"):
+                assert secrets.scan_text(text) == [(text.index(value), 3, len(text) - 1)], text
+    for text in ("key = " + "some_long_name_of_a_thing_2_" * 12, "auth: " + "abcdefgh1" * 40):
+        assert secrets.scan_text(text) == [], text
+
+
 # ---- URL rules
 
 def test_url_rules(spark):
