@@ -2,15 +2,19 @@
 
 The text view sees hashed word and character n-grams; the metadata view sees
 language, source, recorded length and how the page is laid out, but no words.
-Both start from labelled rows. In each round they score all documents, and the
-documents without label of which one view is most certain join the training
-rows of the other with that label. In the end both are calibrated on labelled
+Both start from labelled rows. In each round they score all documents, and
+documents without label of which one view is certain join the training rows of
+the other with that label. Each distinct text counts once, and neither texts of
+labelled documents nor earlier picks of the view count. Picks go round the levels
+of certainty from the highest down, and within a level round its distinct scores,
+so that no crowd of equal rows takes all places. In the end both are calibrated on labelled
 rows that neither has seen, their log odds are added, and the sum is calibrated
 again; that scores every document.
 
 Fits use bounded samples: ``MAX_LABELLED`` labelled rows of each class, and in
-each round at most ``PICKS`` pseudo-labelled rows of each class and view. The
-search for those, and the scores, cover all documents.
+each round at most ``PICKS`` pseudo-labelled rows of each class and view, as
+co-training adds a fixed number in each round. The search for those, and the
+scores, cover all documents.
 
 Defined results. A null or empty text is scored by what is left of it. Null
 metadata is a value of its own. Without labels of both classes the scores are
@@ -23,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfseek.llm import linear, quality_rules as rules, text as tx
 from shelfseek.sources.tables import stored
@@ -151,13 +155,29 @@ def _score(docs: DataFrame, models: Models, carry: list[str]) -> DataFrame:
     return tx.mapped(out, judge, schema)
 
 
+def _text_hash() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def _best(view: str) -> Column:
+    """Of a group of rows the one of which a view is most certain."""
+    return F.max(F.struct(F.abs(F.col(view) - 0.5), F.xxhash64("doc_id"), "doc_id", F.col(view).alias("p"))).alias(view)
+
+
 def _picks(scores: DataFrame, view: str, limit: int) -> DataFrame:
-    """The documents of which a view is most certain, at most ``limit`` of each class."""
-    order = F.xxhash64("doc_id")
-    good = scores.filter(F.col(view) >= CONFIDENT).orderBy(F.desc(view), order, "doc_id").limit(limit)
-    bad = scores.filter(F.col(view) <= 1 - CONFIDENT).orderBy(F.col(view), order, "doc_id").limit(limit)
-    return good.select("doc_id", F.lit(1).alias("_label")).unionByName(
-        bad.select("doc_id", F.lit(0).alias("_label")))
+    """Documents of which a view is certain, at most ``limit`` of each class; ``scores`` has a row of each text."""
+    p = F.col("p")
+    sure = scores.select("_hash", f"{view}.doc_id", f"{view}.p").filter(
+        (p >= CONFIDENT) | (p <= 1 - CONFIDENT)).select(
+        "_hash", "doc_id", p, (p > 0.5).cast("int").alias("_label"),
+        F.floor(-F.log(F.greatest(F.least(p, 1 - p), F.lit(1e-9)))).alias("level"))
+    order = F.xxhash64("_hash")
+    for group, rank, by in (("p", "a", [order, "_hash"]), ("level", "b", ["a", order, "_hash"])):
+        sure = sure.withColumn(rank, F.row_number().over(Window.partitionBy("_label", group).orderBy(*by))).filter(
+            F.col(rank) <= limit)
+    last = Window.partitionBy("_label").orderBy("b", F.desc("level"))
+    return sure.withColumn("c", F.row_number().over(last)).filter(F.col("c") <= limit).select(
+        "_hash", "doc_id", "_label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, rounds: int = ROUNDS,
@@ -171,16 +191,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, rounds:
     text_set, meta_set = [of(text, ~held), list(y[~held])], [of(meta, ~held), list(y[~held])]
     models = _fit_views(text_set, meta_set, y[held], held_rows)
     known = labels.filter(F.col(label).isNotNull()).select("doc_id").distinct()
+    known = known.withColumn("_known", F.lit(True))
+    texts = docs.withColumn("_hash", _text_hash())
+    earlier = dict.fromkeys(("p_text", "p_meta"))
     for _ in range(rounds if models else 0):
-        scores = _score(docs, models, ["doc_id"]).filter("doc_id is not null").join(
-            known, "doc_id", "left_anti")
-        scores = stored(scores.groupBy("doc_id").agg(F.first("p_text").alias("p_text"),
-                                                     F.first("p_meta").alias("p_meta")), "cotraining")
+        scores = _score(texts, models, ["doc_id", "_hash"]).filter("doc_id is not null").join(
+            known, "doc_id", "left").groupBy("_hash").agg(
+            _best("p_text"), _best("p_meta"), F.max("_known").alias("_known"))
+        scores = stored(scores.filter("_known is null").drop("_known"), "cotraining")
         for view, pupil in (("p_text", meta_set), ("p_meta", text_set)):
-            chosen = stored(_picks(scores, view, picks), "picks")
-            # At most 2 * picks rows of two numbers.
-            new_text, new_meta, new_y = _views(_sample_rows(
-                docs.select(*COLUMNS).join(F.broadcast(chosen), "doc_id")))
+            past = earlier[view]
+            fresh = scores if past is None else scores.join(F.broadcast(past.select("_hash")), "_hash", "left_anti")
+            chosen = stored(_picks(fresh, view, picks), "picks")
+            earlier[view] = chosen if past is None else past.unionByName(chosen)
+            # At most 2 * picks rows of a hash and two numbers.
+            new_text, new_meta, new_y = _views(_sample_rows(texts.select(*COLUMNS, "_hash").join(
+                F.broadcast(chosen), ["doc_id", "_hash"]).dropDuplicates(["_hash"])))
             pupil[0] += new_meta if pupil is meta_set else new_text
             pupil[1] += list(new_y)
         models = _fit_views(text_set, meta_set, y[held], held_rows)

@@ -531,6 +531,23 @@ def test_cotraining(spark, rng, words):
     assert all(0 <= r[c] <= 1 for r in got.values() for c in ("p_text", "p_meta", "score"))
 
 
+def test_cotraining_picks_distinct_texts(spark, rng, words, monkeypatch):
+    text = lambda good: sentence(rng, words[:60] if good else words[60:120], 60)
+    texts = [text(True) for _ in range(400)] + [text(False).upper().replace(" ", "!\n") for _ in range(400)]
+    texts += [texts[0]] * 100 + [texts[350]] * 200 + [texts[799]] * 200
+    rows = [(i, t, "en", "a" if t.islower() else "b", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(i, 0) for i in range(400, 700)],
+                                   "doc_id long, quality int")
+    seen, views = [], cotraining._views
+    monkeypatch.setattr(cotraining, "_views", lambda table: seen.append(table["doc_id"].to_pylist()) or views(table))
+    cotraining.train(docs, labels, picks=20)
+    known = {texts[i] for i in seen[0]}
+    for view in (seen[1::2], seen[2::2]):
+        picked = [texts[i] for ids in view for i in ids]
+        assert len(picked) > 20 and len(picked) == len(set(picked)) and not known & set(picked)
+
+
 def test_cotraining_odd_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["kept"] for r in cotraining.report(odd_docs, none).collect()] == [True] * 9
