@@ -6,7 +6,8 @@ document with a smaller id. Such a string is found through its anchor: of the
 anchors at equal places, so only anchors that occur in more than one document
 matter, and the suffix array needs to hold no other suffixes.
 
-Three rounds over the texts, dealt into parts by document:
+Three rounds over the texts, dealt into parts by id and text, so that rows without
+id or with a repeated one spread too:
 
 1. Anchors meet by hash; those of more than one document are sent back.
 2. Each part sends the distinct surroundings of those anchors (the bytes that a
@@ -65,8 +66,9 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (tx.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+def part_of(places: np.ndarray, parts: int) -> np.ndarray:
+    """Parts by the hash of id and text."""
+    return (tx.mix(places.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
 def _slide(x: np.ndarray, f) -> np.ndarray:
@@ -138,36 +140,37 @@ def _row_hashes(rows: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.nda
 # ---- round 1
 
 def _anchor_blocks(batches, buckets: int, parts: int):
-    """Rows of ``bucket``, ``hashes`` and ``ids``: of each part's hash the first and last document."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Rows of ``bucket``, ``hashes``, ``ids`` and ``places`` (parts): of each part's hash the first and last document."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     count = 0
 
     def flush():
-        h, ids = (np.concatenate(x) for x in zip(*held))
-        order, starts, _ = _groups(h, part_of(ids, parts), ids)
-        h, ids = h[order][starts], ids[order][starts]
-        place = part_of(ids, parts)
+        h, ids, place = (np.concatenate(x) for x in zip(*held))
+        order, starts, _ = _groups(h, place, ids)
+        h, ids, place = (x[order][starts] for x in (h, ids, place))
         edge = np.ones(len(h), bool)
         edge[1:] = (h[1:] != h[:-1]) | (place[1:] != place[:-1])
         last = np.ones(len(h), bool)
         last[:-1] = edge[1:]
-        h, ids = h[edge | last], ids[edge | last]
+        h, ids, place = (x[edge | last] for x in (h, ids, place))
         bucket = (h % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        h, ids, bucket = h[order], ids[order], bucket[order]
+        h, ids, place, bucket = h[order], ids[order], place[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         narrow = [x.view(np.uint8).reshape(-1, 8)[:, :6] for x in np.split(h, cuts)]
         return pa.RecordBatch.from_arrays(
             [pa.array([int(b[0]) for b in np.split(bucket, cuts)], pa.int32()),
              pa.array([np.ascontiguousarray(x).tobytes() for x in narrow], pa.binary()),
-             pa.array([_pack(x) for x in np.split(ids, cuts)], pa.binary())],
-            names=["bucket", "hashes", "ids"])
+             *(pa.array([_pack(x) for x in np.split(values, cuts)], pa.binary()) for values in (ids, place))],
+            names=["bucket", "hashes", "ids", "places"])
 
     for batch in tx.pieces(batches, "text", 4 * tx.PIECE):
         buf, offsets = tx.flat(batch.column("text"))
         pos, h = anchors(buf, offsets)
         ids = batch.column("id").to_numpy(zero_copy_only=False)
-        held.append((h >> np.uint64(16), ids[np.searchsorted(offsets, pos, "right") - 1]))
+        place = part_of(batch.column("place").to_numpy(zero_copy_only=False), parts)
+        row = np.searchsorted(offsets, pos, "right") - 1
+        held.append((h >> np.uint64(16), ids[row], place[row]))
         count += len(pos)
         if count >= BLOCK:
             yield flush()
@@ -182,16 +185,17 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
-def _shared_anchors(table: pa.Table, parts: int, hot: int) -> pa.Table:
+def _shared_anchors(table: pa.Table, hot: int) -> pa.Table:
     """For each part, its hashes that more than one document has; the top bit marks hot ones."""
     h = np.concatenate([_wide(x) for x in table["hashes"].to_pylist()])
     ids = np.concatenate([_unpack(x, np.int64) for x in table["ids"].to_pylist()])
+    place = np.concatenate([_unpack(x, np.int32) for x in table["places"].to_pylist()])
     order, starts, run = _groups(h)
     low, high = np.minimum.reduceat(ids[order], starts), np.maximum.reduceat(ids[order], starts)
     many = np.diff(np.append(starts, len(h))) > hot
     keep = (low < high)[run]
     h = np.where(many[run], h | _HOT, h)[keep]
-    place = part_of(ids[keep], parts)
+    place = place[keep]
     order, starts, _ = _groups(place, h)
     h, place = h[order][starts], place[order][starts]
     cuts = np.flatnonzero(np.diff(place)) + 1
@@ -424,15 +428,16 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = True, part_bytes: int
     buckets = max(LEAST_PARTS, math.ceil(size * 2 / (REACH + 2) / GROUP_ANCHORS))
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
-                         F.coalesce("text", F.lit("")).alias("text"))
+                         F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("place"))
 
     def find_anchors(batches):
         yield from _anchor_blocks(batches, buckets, parts)
 
     def share(table: pa.Table) -> pa.Table:
-        return _shared_anchors(table, parts, hot_entries)
+        return _shared_anchors(table, hot_entries)
 
-    blocks = tx.mapped(source.select("id", "text"), find_anchors, "bucket int, hashes binary, ids binary")
+    blocks = tx.mapped(source.select("id", "text", "place"), find_anchors,
+                       "bucket int, hashes binary, ids binary, places binary")
     shared = stored(blocks.groupBy("bucket").applyInArrow(share, _REPLY), "anchors")
 
     def pack(batches):
@@ -443,7 +448,7 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = True, part_bytes: int
             data = buf.tobytes()
             packed = [packer.compress(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part_of(ids.to_numpy(zero_copy_only=False), parts), pa.int32()),
+                [pa.array(part_of(batch.column("place").to_numpy(zero_copy_only=False), parts), pa.int32()),
                  batch.column("doc_id"), ids, pa.array(packed, pa.binary())],
                 names=["part", "doc_id", "id", "packed"])
 

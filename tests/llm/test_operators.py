@@ -513,6 +513,23 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.report(no_docs, items).count() == 0
 
 
+# ---- parts of rows without id
+
+def test_repeats_deal_rows_without_id(spark, rng, words, monkeypatch):
+    passage = sentence(rng, words, 40)
+    texts = [f"{sentence(rng, words, 5)} {passage} {sentence(rng, words, 5)}" for _ in range(90)]
+    ids = [None] * 60 + [7] * 30
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    plans = []
+    mapped = suffix_dedup.tx.mapped
+    monkeypatch.setattr(suffix_dedup.tx, "mapped", lambda *a: plans.append(mapped(*a)) or plans[-1])
+    rows = suffix_dedup.report(docs).collect()
+    parts = plans[1].groupBy("id").agg(F.countDistinct("part").alias("n")).collect()
+    assert all(r["n"] > 10 for r in parts)
+    assert len(rows) == 90 and all(r["n_removed"] == 0 for r in rows if r["doc_id"] == 7)
+    assert all(r["n_removed"] >= len(passage.encode()) for r in rows if r["doc_id"] is None)
+
+
 # ---- co-training
 
 def test_cotraining(spark, rng, words):
