@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfseek.llm import (cotraining, decontaminate, mixing, near_dedup, pii, quality_rules, secrets,
-                           suffix_dedup, url_filter, warc)
+from shelfseek.llm import (bpe, cotraining, decontaminate, mixing, near_dedup, pii, quality_rules, repair, secrets,
+                           spelling, suffix_dedup, url_filter, warc)
+
+#: Vocabulary of the byte-level BPE query; its file lies beside the public tokenizers.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,21 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(_read(spark, sf_dir, "conversations"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.report(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_surrogates, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op7_repeated_passages, op8_near_duplicates,
-                        op9_decontaminate, op10_cotraining)}
+    f.__name__: f for f in (
+        op1_mix, op2_surrogates, op3_warc_index, op4_quality_rules, op5_secrets, op6_url_rules, op7_repeated_passages,
+        op8_near_duplicates, op9_decontaminate, op10_cotraining, op11_conversations, op12_bpe, op13_spelling)}
