@@ -22,6 +22,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -33,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from shelfseek.llm.text import mapped
+from shelfseek.llm.text import flat, mapped
 
 #: Characters read at once, and characters of a run from which it is passed on in parts.
 WINDOW_CHARS = 1 << 16
@@ -43,7 +44,7 @@ UNSURE_CHARS = 3
 #: Rank of pairs that do not merge.
 NO_MERGE = 1 << 40
 #: Cuts whose tokens are remembered by a worker, twice at most; longer ones are rare and left out.
-REMEMBERED, REMEMBERED_CHARS = 1 << 18, 48
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 32
 
 # Letters and numbers of the regex module that are too new for the tokenizers library,
 # which takes them for other characters, as code points from and to.
@@ -66,8 +67,11 @@ def pattern(letter: str, number: str, other: str) -> regex.Pattern:
 
 
 PATTERN = pattern(*_CLASSES)
-#: The same for text in Latin-1, which holds none of those; it is faster.
-LATIN = pattern(r"\p{L}", r"\p{N}", r"[^\p{White_Space}\p{L}\p{N}]")
+# The letters, numbers and white space of Latin-1.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+#: The same pattern for text in Latin-1, by the faster module.
+LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+                   rf"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 RUNS = [regex.compile(f"{c}+", regex.V1) for c in _CLASSES]
 
 
@@ -200,6 +204,23 @@ class Run:
         return self.vocabulary.merged(rest)
 
 
+class Known(dict):
+    """Tokens of cuts that were seen before. What was not seen since the last time it was full is forgotten."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary, self.older = vocabulary, {}
+
+    def __missing__(self, cut: str) -> tuple[int, ...]:
+        tokens = self.older.get(cut) or tuple(self.vocabulary.merged(cut.encode()))
+        if len(cut) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[cut] = tokens
+        return tokens
+
+
 class Encoder:
     """Tokens of a text fed in parts; what is emitted is final. One instance may serve many texts."""
 
@@ -210,8 +231,7 @@ class Encoder:
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.starts = {s[:k] for s in names for k in range(1, len(s))}
         self.longest = max(map(len, names), default=1)
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known = Known(vocabulary)
         self._reset()
 
     def _reset(self) -> None:
@@ -257,13 +277,13 @@ class Encoder:
             while cuts and held < UNSURE_CHARS:
                 held += len(cuts[-1])
                 first = cuts.pop()
-        out.extend(chain.from_iterable(map(self._tokens, cuts)))
+        out.extend(chain.from_iterable(map(self.known.__getitem__, cuts)))
         if not held:
             return
         self.held = data[len(data) - held:]
         if len(first) >= OPEN_CHARS and len(first) == held:
             self.run = Run(self.vocabulary)
-            self.of = next((r for r in RUNS if r.fullmatch(first[-1])), self.space)
+            self.of = next((c for c in RUNS if c.fullmatch(first[-1])), self.space)
             self._pass_on(first, out)
 
     def _pass_on(self, data: str, out: array) -> None:
@@ -286,16 +306,6 @@ class Encoder:
         self.run = self.of = None
         return data[end:]
 
-    def _tokens(self, cut: str) -> list[int]:
-        tokens = self.known.get(cut)
-        if tokens is None:
-            tokens = self.older.get(cut) or self.vocabulary.merged(cut.encode())
-            if len(cut) <= REMEMBERED_CHARS:
-                if len(self.known) >= REMEMBERED:
-                    self.older, self.known = self.known, {}
-                self.known[cut] = tokens
-        return tokens
-
 
 class Decoder:
     """Text of tokens fed in parts: an incremental machine from bytes to characters.
@@ -305,24 +315,32 @@ class Decoder:
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.bytes_of = vocabulary.bytes_of
+        self.unknown = max(vocabulary.bytes_of) + 1
+        self.tokens = pa.array([vocabulary.bytes_of.get(t, b"") for t in range(self.unknown + 1)], pa.binary())
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids, last: bool = False) -> str:
-        data = b"".join([self.bytes_of.get(t, b"") for t in ids])
-        text = self.machine.decode(data, last)
+        ids = np.asarray(ids, np.int64)
+        ids = np.where((ids < 0) | (ids > self.unknown), self.unknown, ids)
+        text = self.machine.decode(flat(self.tokens.take(pa.array(ids)))[0].tobytes(), last)
         if last:
             self.machine.reset()
         return text
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of all tokens, fed in windows."""
+        parts = [self.feed(ids[k:k + WINDOW_CHARS]) for k in range(0, len(ids), WINDOW_CHARS)]
+        return "".join(parts) + self.feed((), True)
+
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict[str, tuple[Encoder, Decoder]] = {}
 
 
-def _vocabulary(file: Broadcast) -> Vocabulary:
-    """The vocabulary of a broadcast file, read once by each worker."""
+def _machines(file: Broadcast) -> tuple[Encoder, Decoder]:
+    """Encoder and decoder of a broadcast file, made once by each worker, so that later tasks know its cuts."""
     if file.value not in _loaded:
-        _loaded[file.value] = Vocabulary(file.value)
+        vocabulary = Vocabulary(file.value)
+        _loaded[file.value] = Encoder(vocabulary), Decoder(vocabulary)
     return _loaded[file.value]
 
 
@@ -353,7 +371,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> D
     file = read_file(df, path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_vocabulary(file))
+        encoder = _machines(file)[0]
         for batch in batches:
             texts = batch.column(text).cast(pa.binary())
             values, ends = array("i"), [0]
@@ -373,9 +391,9 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -
     file = read_file(df, path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(_vocabulary(file))
+        decoder = _machines(file)[1]
         for batch in batches:
-            rows = (decoder.feed(row.values.to_pylist() if row.is_valid else [], True) for row in batch.column(ids))
+            rows = (decoder.decode(row.values.to_numpy() if row.is_valid else ()) for row in batch.column(ids))
             yield _replaced(batch, text, pa.array(rows, pa.string()))
 
     return _with(df, text, StringType(), decode)
