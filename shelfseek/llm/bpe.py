@@ -44,7 +44,7 @@ UNSURE_CHARS = 3
 #: Rank of pairs that do not merge.
 NO_MERGE = 1 << 40
 #: Cuts whose tokens are remembered by a worker, twice at most; longer ones are rare and left out.
-REMEMBERED, REMEMBERED_CHARS = 1 << 18, 32
+REMEMBERED, REMEMBERED_CHARS = 1 << 17, 32
 
 # Letters and numbers of the regex module that are too new for the tokenizers library,
 # which takes them for other characters, as code points from and to.
