@@ -62,13 +62,13 @@ def test_near_words_forms_and_roots(spark):
     for _ in range(4):
         chain.append(edited(rng, chain[-1]))
     texts = [" ".join(edited(rng, w) if rng.random() < .2 else w for w in rng.choices(words, k=60)) for _ in range(80)]
-    texts += [" ".join([w] * 3 ** (2 * k)) for k, w in enumerate(chain)] + ["Straßen-Übergang, ÜBERGANG übergang " * 3]
+    texts += [" ".join([w] * (2 * 11 ** k)) for k, w in enumerate(chain)] + ["Straßen-Übergang, ÜBERGANG übergang " * 3]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for report, damage in ((spelling.report, True), (spelling.variants, False)):
         right = expected(counted(rows, damage))
         assert got(report(docs)) == right
-        assert sum(r[1] is not None for r in right) > 3 and any(r[1] != r[2] for r in right if r[1])
+        assert sum(r[1] is not None for r in right) >= 3 and any(r[1] != r[2] for r in right if r[1])
 
 
 def test_every_single_edit_is_found(spark):
