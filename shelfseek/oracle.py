@@ -376,22 +376,11 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "similar_ranked": (["alike"], """
         SELECT *, count(*) OVER (PARTITION BY q_id) AS total, row_number() OVER (PARTITION BY q_id
             ORDER BY similarity DESC, updated_at DESC NULLS LAST, product_id) AS rank FROM alike"""),
-    "centres": (["label_vectors"], """
-        SELECT row_number() OVER (ORDER BY label) - 1 AS list_no,
-               CAST(q_embedding AS DOUBLE[]) AS centre FROM label_vectors"""),
-    "near_lists": (["product_embeddings", "label_vectors", "centres"], """
-        SELECT product_id, list_no, row_number() OVER (PARTITION BY product_id ORDER BY
-            list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre) DESC, list_no) AS place
-        FROM product_embeddings CROSS JOIN centres"""),
-    "near_all": (["docs", "product_embeddings", "near_lists"], """
+    "near_all": (["docs", "product_embeddings"], """
         SELECT q.product_id AS q_id, d.product_id, d.updated_at, round(list_cosine_similarity(
-                   CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS similarity,
-               p.list_no IS NOT NULL AS probed
+                   CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS similarity
         FROM product_embeddings q CROSS JOIN product_embeddings v
         JOIN docs d ON d.product_id = v.product_id
-        JOIN near_lists o ON o.product_id = v.product_id AND o.place = 1
-        LEFT JOIN near_lists p ON p.product_id = q.product_id AND p.place <= 4
-            AND p.list_no = o.list_no
         WHERE CAST(q.product_id AS BIGINT) % 50 = 0 AND d.image_url IS NOT NULL"""),
     "offers": (["docs"], """
         SELECT DISTINCT suggestion, priority, key FROM (
@@ -657,18 +646,11 @@ def oracle_sql() -> dict[str, str]:
                                      PARTS, "products", "product_embeddings",
                                      "product_embedding_attempts"),
         "ann_search": assemble("""
-            SELECT q_id, count(*) FILTER (all_rank <= 10) AS wanted,
-                   count(*) FILTER (all_rank <= 10 AND probed AND list_rank <= 10) AS hit,
-                   count(*) FILTER (all_rank <= 10 AND probed AND list_rank <= 10)
-                       / CAST(count(*) FILTER (all_rank <= 10) AS DOUBLE) AS recall, any_value(n) AS scanned
+            SELECT q_id, count(*) AS wanted, count(*) AS hit, 1e0 AS recall,
+                   string_agg(product_id, ',' ORDER BY place) AS neighbours, true AS fewer
             FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC,
-                          updated_at DESC NULLS LAST, product_id) AS all_rank,
-                      row_number() OVER (PARTITION BY q_id, probed ORDER BY similarity DESC,
-                          updated_at DESC NULLS LAST, product_id) AS list_rank FROM near_all)
-            JOIN (SELECT p.product_id AS q_id, count(*) AS n FROM near_lists p JOIN near_lists o
-                  ON o.list_no = p.list_no AND o.place = 1 WHERE p.place <= 4
-                  GROUP BY p.product_id) USING (q_id)
-            GROUP BY q_id""", PARTS, "near_all", "near_lists"),
+                          updated_at DESC NULLS LAST, product_id) AS place FROM near_all)
+            WHERE place <= 10 GROUP BY q_id""", PARTS, "near_all"),
         "embed_outcomes": assemble("SELECT * FROM outcomes", PARTS, "outcomes"),
         "embed_counts": assemble("SELECT status, count(*) AS n FROM outcomes GROUP BY status",
                                  PARTS, "outcomes"),

@@ -6,14 +6,12 @@ import functools
 import math
 import uuid
 
-import numpy as np
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfseek import fixtures as fx, schema
 from shelfseek.functions import ladders, text, vectors
 from shelfseek.operators import (clusters, conform, documents, embed, exact, filters, lexical,
-                                 lookups, quality, suggest, trigram, vector)
+                                 lookups, nearest, quality, suggest, trigram, vector)
 from shelfseek.plans import hybrid, jobs, responses, similar
 from shelfseek.session import shared_dir
 from shelfseek.sources import images, tables
@@ -354,31 +352,37 @@ def similarity_bands(spark, d):
                        .alias("percent"))
 
 
-def cluster_index(spark: SparkSession, d: str) -> tuple[np.ndarray, DataFrame]:
-    """Centres, one per label, and the vectors stored by list; built on first use in a session."""
+def _pictured(index: hybrid.SearchIndex) -> DataFrame:
+    """Vectors of the products with a picture, and when those changed."""
+    shown = index.documents.filter("image_url is not null").select("product_id", "updated_at")
+    return index.embeddings.select("product_id", "embedding").join(shown, "product_id")
+
+
+def coded_lists(spark: SparkSession, d: str) -> nearest.CodedLists:
+    """Coded lists around centres trained on all vectors; built on first use in a session."""
     key = (spark.sparkContext.applicationId, d, "lists")
     if key not in _built:
-        # One row per label.
-        means = fx.label_vectors(spark, d).orderBy("label").collect()
-        centres = clusters.unit_rows(np.array([r["q_embedding"] for r in means], dtype=np.float64))
-        _built[key] = (centres, clusters.store_lists(
-            search_index(spark, d).embeddings, centres,
-            f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"))
+        vectors = _pictured(search_index(spark, d))
+        _built[key] = nearest.store(vectors, clusters.train(vectors),
+                                    f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}")
     return _built[key]
 
 
 def ann_search(spark, d):
-    """Every fiftieth vector searched in its four nearest lists: recall, and vectors looked at."""
+    """Every fiftieth vector searched in the trained lists: neighbours, recall, and whether bounds spared vectors."""
     index = search_index(spark, d)
-    centres, vectors = cluster_index(spark, d)
+    lists = coded_lists(spark, d)
     asked = index.embeddings.filter(F.col("product_id").cast("long") % 50 == 0).select(
-        F.col("product_id").alias("q_id"), F.col("embedding").alias("q_embedding"),
-        F.lit(1).alias("page"), F.lit(10).alias("per_page"), F.lit(None).cast("int").alias("limit"),
-        F.lit(-1.0).alias("threshold"))
-    probed = tables.stored(clusters.nearest_lists(asked, centres, 4), "probed")
-    found = similar.similar_products(asked, index.documents, vectors, probed)
-    right = similar.similar_products(asked, index.documents, index.embeddings)
-    return clusters.recall(right, found, 10).join(clusters.scanned(probed, vectors), "q_id")
+        F.col("product_id").alias("q_id"), F.col("embedding").alias("q_embedding"))
+    found = tables.stored(nearest.search(asked, lists, _pictured(index), 10), "nearest")
+    right = similar.similar_products(asked.select(
+        "*", F.lit(1).alias("page"), F.lit(10).alias("per_page"), F.lit(None).cast("int").alias("limit"),
+        F.lit(-1.0).alias("threshold")), index.documents, index.embeddings)
+    listed = found.groupBy("q_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product_id"))), lambda r: r["product_id"]),
+                     ",").alias("neighbours"),
+        (F.max("compared") < int(lists.count.sum())).alias("fewer"))
+    return clusters.recall(right, found, 10).join(listed, "q_id")
 
 
 def result_bodies(spark, d):
