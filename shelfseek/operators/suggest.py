@@ -24,8 +24,11 @@ SOURCES = [("title", None, 1), ("company", None, 2), ("category_title", "categor
 MAX_PUSHED_PREFIXES = 200
 
 
-def suggestion_offers(docs: DataFrame) -> DataFrame:
-    """Distinct (suggestion, priority, key): what may be suggested, and the text that a prefix must begin."""
+def suggestion_offers(docs: DataFrame, distinct: bool = True) -> DataFrame:
+    """(suggestion, priority, key): what may be suggested, and the text that a prefix must begin.
+
+    Each once, or once for every document that makes it.
+    """
     offers = []
     for name, other, priority in SOURCES:
         for key in filter(None, (name, other)):
@@ -33,7 +36,10 @@ def suggestion_offers(docs: DataFrame) -> DataFrame:
                                    F.lit(priority).alias("priority"),
                                    F.lower(F.col(key)).alias("key")))
     known = F.filter(F.array(*offers), lambda o: (o["suggestion"] != "") & o["key"].isNotNull())
-    return docs.select(F.inline(known)).distinct()
+    if not distinct:
+        known = F.array_distinct(known)
+    rows = docs.select(F.inline(known))
+    return rows.distinct() if distinct else rows
 
 
 def suggest(prefixes: DataFrame, offers: DataFrame, min_chars: int = MIN_PREFIX_CHARS) -> DataFrame:

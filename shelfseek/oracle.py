@@ -533,7 +533,9 @@ def oracle_sql() -> dict[str, str]:
                 ORDER BY scraped_at DESC NULLS LAST, id) = 1""", PARTS, "product_scrape_results"),
         "build_documents": assemble(f"SELECT {shown} FROM docs", PARTS, "docs"),
         "sync_documents": assemble(SYNCED, PARTS, "docs", "changed"),
-        "stream_sync": assemble(SYNCED, PARTS, "docs", "changed"),
+        "stream_sync": assemble(f"""
+            SELECT product_id, title, company, sortable_price, strftime(updated_at, {STAMP}) AS updated_at
+            FROM docs""", PARTS, "docs"),
         "sync_status": assemble("""
             SELECT product_id, CASE WHEN NOT regexp_full_match(product_id, '[0-9]+') THEN 'rejected'
                 WHEN product_id IN (SELECT id FROM products) THEN 'indexed'
@@ -737,6 +739,7 @@ def oracle_sql() -> dict[str, str]:
     sql["hybrid_updated"] = assemble("SELECT * FROM page", {
         **PARTS, "products": renamed, "docs": left,
         "queries": _queries_part("asked", True, sort="relevance", page=0)}, "page")
+    sql["hybrid_streamed"] = _search(sort="relevance", page=0)
     for mode in ("relevance", "price_asc", "price_desc", "title", "newest"):
         sql[f"hybrid_{mode}"] = _search(sort=mode, page=0)
     articles = {

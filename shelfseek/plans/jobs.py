@@ -7,20 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfseek.operators import documents, embed
-from shelfseek.sources.tables import BucketStore, stored
+from shelfseek.plans import segments
+from shelfseek.sources.tables import stored
 
 
-def rebuild_documents(store: BucketStore, products: DataFrame, details: DataFrame,
-                      *taxonomy: DataFrame) -> int:
-    """Replace all stored documents; returns how many there are."""
-    return store.create(documents.build_documents(products, details, *taxonomy))
+def rebuild_documents(root: str, embeddings: DataFrame, buckets: int, products: DataFrame,
+                      details: DataFrame, *taxonomy: DataFrame) -> int:
+    """Build all documents and publish them as the next version of the index; returns how many there are.
+
+    Readers keep the version they opened.
+    """
+    segments.create(root, documents.build_documents(products, details, *taxonomy), embeddings, buckets)
+    return segments.segments_of(products.sparkSession, root)[0].documents
 
 
-def sync_documents(store: BucketStore, ids: DataFrame, products: DataFrame, details: DataFrame,
+def sync_documents(root: str, ids: DataFrame, products: DataFrame, details: DataFrame,
                    *taxonomy: DataFrame, pattern: str = documents.UUID_PATTERN) -> DataFrame:
-    """Recompute chosen documents; (product_id, status) with malformed ids ``rejected``."""
+    """Recompute chosen documents in the index; (product_id, status) with malformed ids ``rejected``."""
     good, bad = documents.split_ids(ids, pattern)
-    store.upsert(documents.documents_for(good, products, details, *taxonomy))
+    segments.change(ids.sparkSession, root,
+                    documents=documents.documents_for(good, products, details, *taxonomy))
     rejected = bad.select("product_id", F.lit("rejected").alias("status"))
     return documents.sync_status(good, products).unionByName(rejected)
 

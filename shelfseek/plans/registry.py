@@ -12,7 +12,7 @@ from shelfseek import fixtures as fx, schema
 from shelfseek.functions import ladders, text, vectors
 from shelfseek.operators import (clusters, conform, documents, embed, exact, filters, lexical,
                                  lookups, nearest, quality, suggest, trigram, vector)
-from shelfseek.plans import hybrid, jobs, responses, similar
+from shelfseek.plans import hybrid, jobs, responses, segments, similar
 from shelfseek.session import shared_dir
 from shelfseek.sources import images, tables
 from shelfseek.streaming.sync import sync_stream
@@ -29,17 +29,32 @@ def _buckets(n_products: int, row_bytes: float = PRODUCT_BYTES) -> int:
     return max(MIN_BUCKETS, math.ceil(n_products * row_bytes / BUCKET_BYTES))
 
 
+def index_root(spark: SparkSession, d: str) -> str:
+    """The folder of a data folder's search index, built on first use in a session."""
+    key = (spark.sparkContext.applicationId, d, "root")
+    if key not in _built:
+        root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        segments.create(root, fx.documents(spark, d), fx.product_embeddings(spark, d),
+                        _buckets(fx.table(spark, d, "part").count()))
+        _built[key] = root
+    return _built[key]
+
+
 def search_index(spark: SparkSession, d: str) -> hybrid.SearchIndex:
-    """The stored search tables of a data folder, built on first use in a session."""
+    """The stored search tables of a data folder."""
     key = (spark.sparkContext.applicationId, d, "parts")
     if key not in _built:
-        name = f"parts_{uuid.uuid4().hex}"
-        _built[key] = hybrid.store_index(
-            fx.documents(spark, d), fx.product_embeddings(spark, d), name,
-            f"{shared_dir(spark)}/{name}", _buckets(fx.table(spark, d, "part").count()))
+        _built[key] = segments.read(spark, index_root(spark, d), 1)
     return _built[key]
 
 
+def _branch(spark: SparkSession, d: str, name: str) -> str:
+    """An index of its own that begins with the stored one."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    segments.branch(spark, root, index_root(spark, d), 1)
+    return root
+
+
 def article_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents and postings of the long texts."""
     key = (spark.sparkContext.applicationId, d, "articles")
@@ -115,21 +130,37 @@ def sync_status(spark, d):
     return status.unionByName(bad.select("product_id", F.lit("rejected").alias("status")))
 
 
+def _streamed(spark: SparkSession, d: str) -> str:
+    """An index with an old state of the purchased products, brought up to date by a stream of purchases."""
+    key = (spark.sparkContext.applicationId, d, "streamed")
+    if key not in _built:
+        root = _branch(spark, d, "streamed")
+        old = search_index(spark, d)
+        wrong = _outdated(old.documents).join(_changed_ids(spark, d), "product_id", "left_semi")
+        vectors = old.embeddings.join(_changed_ids(spark, d), "product_id", "left_semi").withColumn(
+            "embedding", F.reverse("embedding"))
+        segments.change(spark, root, documents=wrong, embeddings=vectors)
+        n_parts = fx.table(spark, d, "part").count()
+        events = fx.table(spark, d, "events")
+        changes = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
+                   .parquet(d).filter("event_type = 'purchase'")
+                   .select((F.col("event_id") % n_parts).cast("string").alias("product_id")))
+        sync_stream(
+            changes, lambda: (fx.products(spark, d), fx.product_details(spark, d), *fx.taxonomy(spark, d)), root,
+            f"{shared_dir(spark)}/sync-{uuid.uuid4().hex}",
+            lambda ids: fx.product_embeddings(spark, d).join(ids, "product_id", "left_semi")).awaitTermination()
+        _built[key] = root
+    return _built[key]
+
+
 def stream_sync(spark, d):
-    store = tables.BucketStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}",
-                               schema.DDL["product_search_documents"], buckets=8)
-    store.create(_outdated(search_index(spark, d).documents))
-    n_parts = fx.table(spark, d, "part").count()
-    events = fx.table(spark, d, "events")
-    changes = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
-               .parquet(d).filter("event_type = 'purchase'")
-               .select((F.col("event_id") % n_parts).cast("string").alias("product_id")))
-    query = sync_stream(
-        changes, lambda: (fx.products(spark, d), fx.product_details(spark, d),
-                          *fx.taxonomy(spark, d)),
-        store, f"{shared_dir(spark)}/sync-{uuid.uuid4().hex}")
-    query.awaitTermination()
-    return _shown_sync(store.read())
+    return _shown_sync(segments.read(spark, _streamed(spark, d)).documents)
+
+
+def hybrid_streamed(spark, d):
+    """Search in the index that the stream brought up to date."""
+    index = segments.read(spark, _streamed(spark, d))
+    return _hits(hybrid.hybrid_search(_with(fx.queries(spark, d), sort="relevance", page=0), index))
 
 
 def delete_documents(spark, d):
@@ -276,8 +307,8 @@ def name_queries(spark, d):
         none.cast("array<float>").alias("q_embedding"))
 
 
-def hybrid_updated(spark, d):
-    """Search after an update: purchased products deleted, signed-up ones renamed and synced."""
+def _updated(spark: SparkSession, d: str) -> str:
+    """An index after an update: purchased products deleted, signed-up ones renamed and synced."""
     key = (spark.sparkContext.applicationId, d, "updated")
     if key not in _built:
         products = fx.products(spark, d)
@@ -286,13 +317,16 @@ def hybrid_updated(spark, d):
         title = F.when(F.col("title") != "", F.concat(F.lit("new "), "title")).otherwise(F.col("title"))
         fresh = documents.documents_for(renamed, products.withColumn("title", title),
                                         fx.product_details(spark, d), *fx.taxonomy(spark, d))
-        name = f"updated_{uuid.uuid4().hex}"
-        path, buckets = f"{shared_dir(spark)}/{name}", _buckets(products.count())
-        hybrid.update_index(search_index(spark, d), f"{name}_w", path, buckets, documents=fresh,
-                            deleted=_changed_ids(spark, d))
-        # Read as another session would.
-        _built[key] = hybrid.open_index(spark, name, path, buckets)
-    return _hits(hybrid.hybrid_search(_with(fx.queries(spark, d), sort="relevance", page=0), _built[key]))
+        root = _branch(spark, d, "updated")
+        segments.change(spark, root, documents=fresh)
+        segments.change(spark, root, deleted=_changed_ids(spark, d))
+        _built[key] = root
+    return _built[key]
+
+
+def hybrid_updated(spark, d):
+    return _hits(hybrid.hybrid_search(_with(fx.queries(spark, d), sort="relevance", page=0),
+                                      segments.read(spark, _updated(spark, d))))
 
 
 def hybrid_batch(spark, d):
@@ -650,7 +684,7 @@ def conform_details(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    latest_detail, latest_scrape, build_documents, sync_documents, sync_status, stream_sync,
+    latest_detail, latest_scrape, build_documents, sync_documents, sync_status, stream_sync, hybrid_streamed,
     delete_documents, vector_codec, normalize_queries, filter_documents, exact_candidates,
     postings, article_postings, lexical_candidates, lexical_passages, trigram_candidates,
     semantic_candidates, hybrid_page2, hybrid_filtered, hybrid_no_embedding, hybrid_updated, hybrid_batch,

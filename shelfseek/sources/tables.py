@@ -49,10 +49,18 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int,
 
 def open_bucketed(spark: SparkSession, table: str, path: str, key: str, buckets: int,
                   *order: str) -> DataFrame:
-    """A table written by ``write_bucketed``, entered in this session's catalogue with its layout."""
+    """A table written by ``write_bucketed``, entered in this session's catalogue with its layout.
+
+    A name stands for one path; opening another under it fails.
+    """
+    if spark.catalog.tableExists(table):
+        at = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()["data_type"]
+        if at.split(":", 1)[-1].rstrip("/").lstrip("/") != path.split(":", 1)[-1].rstrip("/").lstrip("/"):
+            raise ValueError(f"{table} is the table at {at}, not at {path}")
+        return spark.table(table)
     layout = spark.read.parquet(path).schema
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet "
               f"CLUSTERED BY ({key}) SORTED BY ({', '.join(order or (key,))}) INTO {buckets} BUCKETS "
               f"LOCATION '{path}'")
     return spark.table(table)
@@ -64,63 +72,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-class BucketStore:
-    """A keyed table in hash buckets, upserted by rewriting only the buckets touched.
-
-    New contents are written to the shared working place first, so the table
-    is never overwritten while it is read; repeating an upsert changes nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, ddl: str, key: str = "product_id",
-                 buckets: int = 64):
-        self.spark, self.path, self.ddl, self.key, self.buckets = spark, path, ddl, key, buckets
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
-
-    def _write(self, df: DataFrame, mode: str) -> None:
-        (df.repartition("bucket", F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(4)))
-         .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
-         .parquet(self.path))
-
-    def create(self, df: DataFrame) -> int:
-        """Replace all contents; returns the number of rows."""
-        rows = stored(self._bucketed(df), "rebuild")
-        (rows.repartition("bucket", F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(4)))
-         .write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .partitionBy("bucket").parquet(self.path))
-        return rows.count()
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.ddl}, bucket int").parquet(self.path).drop("bucket")
-
-    def _rewrite(self, keys: DataFrame, added: DataFrame | None) -> None:
-        touched = [r[0] for r in self._bucketed(keys).select("bucket").distinct().collect()]
-        if not touched:
-            return
-        old = self.spark.read.schema(f"{self.ddl}, bucket int").parquet(self.path).filter(
-            F.col("bucket").isin(touched))
-        rows = old.join(keys.select(self.key).distinct(), self.key, "left_anti")
-        if added is not None:
-            rows = rows.unionByName(self._bucketed(added).select(*rows.columns))
-        new = stored(rows, "upsert")
-        self._write(new, "overwrite")
-        emptied = set(touched) - {r[0] for r in new.select("bucket").distinct().collect()}
-        for bucket in emptied:
-            self._remove_bucket(bucket)
-
-    def _remove_bucket(self, bucket: int) -> None:
-        """Overwriting by partition leaves a bucket alone that has no new row."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(f"{self.path}/bucket={bucket}")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-    def upsert(self, rows: DataFrame) -> int:
-        rows = stored(rows, "changed")
-        self._rewrite(rows.select(self.key), rows)
-        return rows.count()
-
-    def delete(self, keys: DataFrame) -> None:
-        self._rewrite(keys.select(self.key), None)

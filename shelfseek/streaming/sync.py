@@ -1,4 +1,4 @@
-"""Keep stored documents, and embeddings if asked, in step with a stream of changed products."""
+"""Keep a segmented search index in step with a stream of changed products."""
 
 from __future__ import annotations
 
@@ -7,25 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfseek.operators.documents import documents_for
-from shelfseek.sources.tables import BucketStore
+from shelfseek.operators.documents import documents_for, without
+from shelfseek.plans import segments
 
 
-def sync_stream(changes: DataFrame, tables: Callable[[], tuple[DataFrame, ...]],
-                store: BucketStore, checkpoint: str,
-                after: Callable[[DataFrame, int], None] | None = None,
+def sync_stream(changes: DataFrame, tables: Callable[[], tuple[DataFrame, ...]], root: str, checkpoint: str,
+                embed: Callable[[DataFrame], DataFrame] | None = None,
                 trigger: dict | None = None) -> StreamingQuery:
-    """Recompute and upsert the documents of every batch of changed ids.
+    """Write the documents of every batch of changed ids as one segment of the index at ``root``.
 
-    ``tables`` gives products, details and the three taxonomy tables as of now.
-    An upsert of the same ids gives the same rows, so a repeated batch is
-    harmless. ``after`` gets the batch's ids, for example to embed new pictures.
+    ``tables`` gives products, details and the three taxonomy tables as of now;
+    ids without a product any more are deleted. ``embed`` gets the batch's ids
+    and returns new vectors of some of them, which go into the same segment. A
+    repeated batch writes the same rows again, so reading is not changed by it.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.select("product_id").distinct()
-        store.upsert(documents_for(ids, *tables()))
-        if after is not None:
-            after(ids, batch_id)
+        ids = batch.select("product_id").filter("product_id is not null").distinct()
+        if ids.isEmpty():
+            return
+        products, *others = tables()
+        known = products.selectExpr("id as product_id")
+        segments.change(batch.sparkSession, root, documents=documents_for(ids, products, *others),
+                        embeddings=None if embed is None else embed(ids), deleted=without(ids, known))
 
     return (changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

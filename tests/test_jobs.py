@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from shelfseek import fixtures as fx, schema
 from shelfseek.functions import ladders, vectors
 from shelfseek.operators import clusters, conform, documents, embed, quality, suggest, vector
-from shelfseek.plans import jobs, registry, similar
+from shelfseek.plans import jobs, registry, segments, similar
 from shelfseek.sources import images, tables
-from shelfseek.streaming.sync import sync_stream
 
 # The fetcher and encoder below travel to the workers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,38 +97,6 @@ def test_sync_upsert_delete(spark):
     assert good.count() == 1 and bad.filter("error is not null").count() == 2
 
 
-def test_bucket_store(spark, tmp_path):
-    store = tables.BucketStore(spark, str(tmp_path / "store"), "product_id string, v int", buckets=4)
-    store.create(spark.createDataFrame([(str(i), i) for i in range(6)], "product_id string, v int"))
-    change = spark.createDataFrame([("1", 10), ("77", 77)], "product_id string, v int")
-    store.upsert(change)
-    store.upsert(change)
-    assert {tuple(r) for r in store.read().collect()} == {
-        ("0", 0), ("1", 10), ("2", 2), ("3", 3), ("4", 4), ("5", 5), ("77", 77)}
-    store.delete(store.read().filter("product_id <> '3'"))
-    assert [tuple(r) for r in store.read().collect()] == [("3", 3)]
-    assert store.create(change) == 2 and store.read().count() == 2
-
-
-def test_stream_sync_is_idempotent(spark, tmp_path):
-    t = catalogue(spark)
-    store = tables.BucketStore(spark, str(tmp_path / "docs"),
-                               schema.DDL["product_search_documents"], buckets=2)
-    store.create(built(spark, t).withColumn("title", F.lit("stale")))
-    changes = str(tmp_path / "changes")
-    seen = []
-    for ids in (["p1", "p1"], ["p3", "p1"]):
-        spark.createDataFrame([(i,) for i in ids], "product_id string").write.mode("append").json(changes)
-        stream = spark.readStream.schema("product_id string").json(changes)
-        query = sync_stream(
-            stream, lambda: (t["products"], t["product_details"], t["categories"],
-                             t["subcategories"], t["leaf_categories"]),
-            store, str(tmp_path / "cp"), lambda ids, n: seen.append(ids.count()))
-        query.awaitTermination()
-    titles = {r["product_id"]: r["title"] for r in store.read().collect()}
-    assert titles == {"p1": "New", "p2": "stale", "p3": None} and seen == [1, 2]
-
-
 def test_latest_attempt_counts(spark):
     products = frame(spark, "products", [dict(id=i, image_url="u") for i in ("a", "b", "c")])
     none = frame(spark, "product_embeddings", [])
@@ -246,15 +213,19 @@ def test_index_products(spark):
 def test_jobs_store_what_they_did(spark, tmp_path):
     t = catalogue(spark)
     taxonomy = [t[n] for n in ("categories", "subcategories", "leaf_categories")]
-    store = tables.BucketStore(spark, str(tmp_path / "d"), schema.DDL["product_search_documents"],
-                               buckets=2)
-    assert jobs.rebuild_documents(store, t["products"], t["product_details"], *taxonomy) == 3
+    root = str(tmp_path / "d")
+    source = (t["products"], t["product_details"], *taxonomy)
+    assert jobs.rebuild_documents(root, t["product_embeddings"], 2, *source) == 3
+    opened = segments.read(spark, root)
+    stale = opened.documents.withColumn("title", F.lit("stale"))
+    segments.create(root, stale, t["product_embeddings"], 2)
     ids = spark.createDataFrame([("p1",), ("zz9",), ("?",)], "product_id string")
-    status = jobs.sync_documents(store, ids, t["products"], t["product_details"], *taxonomy,
-                                 pattern="^[a-z0-9]+$")
+    status = jobs.sync_documents(root, ids, *source, pattern="^[a-z0-9]+$")
     assert {r[0]: r[1] for r in status.collect()} == {"p1": "indexed", "zz9": "missing",
                                                       "?": "rejected"}
-    assert store.read().count() == 3
+    titles = lambda index: {r["product_id"]: r["title"] for r in index.documents.collect()}
+    assert titles(segments.read(spark, root)) == {"p1": "New", "p2": "stale", "p3": "stale"}
+    assert titles(opened) == {"p1": "New", "p2": "Two", "p3": None}, "a reader keeps its version"
     urls = ["ok", "busy", "ok2"]
     products = frame(spark, "products", [
         dict(id=f"p{i}", image_url=u, updated_at=dt.datetime(2024, 1, 1 + i)) for i, u in enumerate(urls)])
