@@ -26,6 +26,8 @@ QUERY_ROWS = [
     ("q14", "blue gizmo or new ring or -small", " Economy", None, None, None, None, 0, 30, 1),
     ("q15", "-widget -gear", None, "brand#7", None, 50000.0, None, 0, 20, None),
     ("q16", "nation-7", None, None, None, None, None, 0, 60, None),
+    ("q17", "small'gear or -red'plate new or hot -widget'hot", None, None, None, None, None, 0, 40, 2),
+    ("q18", "widget'blue or -new'bolt", None, None, None, None, None, 0, 20, None),
 ]
 
 

@@ -25,7 +25,8 @@ HANGUL = range(0xAC00, 0xD7A4)
 WORD = r"[\p{L}\p{N}]+"
 HYPHENATED_WORD = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
 
-QUERY_GROUPS = "array<struct<required:array<string>,excluded:array<string>>>"
+QUERY_GROUPS = ("array<struct<required:array<string>,excluded:array<string>,phrases:array<array<string>>,"
+                "barred:array<array<string>>>>")
 
 
 @functools.cache
@@ -104,24 +105,30 @@ def with_query_groups(df: DataFrame, normalized: str = "normalized") -> DataFram
     """Adds ``groups``: web-style query text as OR groups of required and excluded terms.
 
     Words are ANDed, ``or`` between two operands separates groups, a leading
-    ``-`` negates. A hyphenated word stands for the compound only.
+    ``-`` negates. A hyphenated word stands for the compound only. A word of several terms,
+    as an apostrophe makes it, asks for its terms side by side, as a document has them: its terms are required and it is
+    one of the group's ``phrases``, or one that is ``barred``.
     """
-    none = "cast(array() as array<string>)"
-    state = ("named_struct('groups', {}, 'required', {}, 'excluded', {}, 'negated', {}, "
+    none, no_lists = "cast(array() as array<string>)", "cast(array() as array<array<string>>)"
+    state = ("named_struct('groups', {}, 'required', {}, 'excluded', {}, 'phrases', {}, 'barred', {}, 'negated', {}, "
              "'expecting', {})")
-    closed = ("if(size(s.required) + size(s.excluded) > 0, concat(s.groups, array(named_struct("
-              "'required', s.required, 'excluded', s.excluded))), s.groups)")
-    negated = "(s.negated <> (x.dashes % 2 = 1))"
+    closed = ("if(size(s.required) + size(s.excluded) + size(s.barred) > 0, concat(s.groups, array(named_struct("
+              "'required', s.required, 'excluded', s.excluded, 'phrases', s.phrases, 'barred', s.barred))), s.groups)")
+    negated, single = "(s.negated <> (x.dashes % 2 = 1))", "(size(x.found) < 2)"
     operand = state.format(
         "s.groups",
         f"if({negated}, s.required, array_union(s.required, x.terms))",
-        f"if({negated}, array_union(s.excluded, x.terms), s.excluded)",
+        f"if({negated} and {single}, array_union(s.excluded, x.terms), s.excluded)",
+        f"if({negated} or {single}, s.phrases, array_union(s.phrases, array(x.terms)))",
+        f"if(not {negated} or {single}, s.barred, array_union(s.barred, array(x.terms)))",
         f"{negated} and size(x.terms) = 0", "size(x.terms) = 0 and s.expecting")
-    separator = state.format(closed, none, none, "false", "true")
-    start = state.format(f"cast(array() as {QUERY_GROUPS})", none, none, "false", "true")
-    operands = f"""transform(filter(split(_folded, ' '), t -> t <> ''), (t, i) -> named_struct(
-        'word', t, 'i', i, 'terms', regexp_extract_all(t, r'{HYPHENATED_WORD}', 0),
-        'dashes', length(regexp_extract(t, '^(-*)', 1))))"""
+    separator = state.format(closed, none, none, no_lists, no_lists, "false", "true")
+    start = state.format(f"cast(array() as {QUERY_GROUPS})", none, none, no_lists, no_lists, "false", "true")
+    found = f"regexp_extract_all(t, r'{HYPHENATED_WORD}', 0)"
+    beside = "flatten(transform(found, w -> if(instr(w, '-') > 0, concat(array(w), split(w, '-')), array(w))))"
+    operands = f"""transform(filter(split(_folded, ' '), t -> t <> ''), (t, i) -> transform(array({found}),
+        found -> named_struct('word', t, 'i', i, 'found', found, 'terms', if(size(found) > 1, {beside}, found),
+        'dashes', length(regexp_extract(t, '^(-*)', 1))))[0])"""
     groups = f"""aggregate(_operands, {start}, (s, x) -> if(
         x.word = 'or' and not s.expecting and x.i < size(_operands) - 1, {separator}, {operand}),
         s -> {closed})"""

@@ -67,6 +67,7 @@ class QueryBatch:
     any_negation: bool = True
     any_pure_negation: bool = True
     any_compound: bool = True
+    any_barred_phrase: bool = True
     filters: list[tuple] = field(default_factory=list)
     terms: list[str] = field(default_factory=list)
     grams: list[str] = field(default_factory=list)
@@ -88,6 +89,14 @@ def query_batch(normalized: DataFrame, fold_accents: bool = False) -> QueryBatch
         "array_distinct(flatten(transform(groups, g -> g.required)))")).withColumn(
         "numbered", F.expr("transform(groups, g -> transform(g.required, "
                            "t -> cast(array_position(terms, t) - 1 as int)))")).withColumn(
+        "phrases", F.expr("array_distinct(flatten(transform(groups, g -> g.phrases)))")).withColumn(
+        "phrase_terms", F.expr("transform(phrases, p -> transform(p, "
+                               "t -> cast(array_position(terms, t) - 1 as int)))")).withColumn(
+        # What a cover must hold: terms that are in no phrase, and phrases, numbered behind the terms.
+        "ranked", F.expr("""transform(groups, g -> concat(
+            transform(filter(g.required, t -> not exists(g.phrases, p -> array_contains(p, t))),
+                      t -> cast(array_position(terms, t) - 1 as int)),
+            transform(g.phrases, p -> cast(size(terms) + array_position(phrases, p) - 1 as int))))""")).withColumn(
         "grams", text.trigrams(F.col("normalized")))
     table = local_table(live)
     if table is None:
@@ -101,10 +110,10 @@ def query_batch(normalized: DataFrame, fold_accents: bool = False) -> QueryBatch
     return QueryBatch(
         frame, table, pc.max(table["depth"]).as_py() or 0,
         pc.max(table["vector_depth"]).as_py() or 0, sorted({len(r["normalized"]) for r in rows}),
-        any(g["excluded"] for g in groups), any(not g["required"] for g in groups),
-        any(len(g["required"]) > 1 for g in groups),
+        any(g["excluded"] or g["barred"] for g in groups), any(not g["required"] for g in groups),
+        any(len(g["required"]) > 1 for g in groups), any(g["barred"] for g in groups),
         sorted({tuple(r[f] for f in FILTERS) for r in rows}, key=repr),
-        sorted({t for g in groups for t in (*g["required"], *g["excluded"])}),
+        sorted({t for g in groups for t in (*g["required"], *g["excluded"], *(t for p in g["barred"] for t in p))}),
         sorted({g for r in rows for g in r["grams"]}), fold_accents)
 
 

@@ -37,18 +37,26 @@ def postings(docs: DataFrame) -> DataFrame:
                         (F.col("pos") + 1).alias("pos"), F.col("word.weight").alias("weight"))
 
 
-def cover_density(hits: str, groups: str, n_terms: str) -> Column:
-    """Cover-density rank of one document, scaled to r / (r + 1).
+def cover_density(hits: str, groups: str, n_terms: str, phrases: str) -> Column:
+    """Cover-density rank of one document, scaled to r / (r + 1); NULL where nothing covers a group.
 
     ``hits`` are the query's term hits ``(pos, o, inv)`` in position order and
-    ``groups`` the term numbers of each OR group. One pass keeps the last hit
-    of every term. The start of the shortest cover that ends here is the
-    earliest last hit of a group, taken over the group that starts latest; a
+    ``groups`` the numbers of what each OR group needs: terms, and behind them
+    ``phrases``, lists of term numbers that must stand side by side. One pass keeps the last hit
+    of every term, and the first hit of the last place of every phrase. The start of the shortest cover that ends here is the
+    earliest of a group's last hits, taken over the group that starts latest; a
     start that was seen before only gives a longer cover and is skipped.
     """
     none = "cast(null as struct<pos:int,n:int,cinv:double,inv:double>)"
     here = ("named_struct('pos', h.pos, 'n', s.n + 1, 'cinv', s.cinv + h.inv, 'inv', h.inv)")
-    last = f"transform(s.last, (x, i) -> if(i = h.o, {here}, x))"
+    # A position holds one term, so the words of a phrase are the hits just before this one.
+    ends = (f"s.n + 1 >= size(p) and forall(sequence(1, size(p)), k -> {hits}[s.n + 1 - k].o = p[size(p) - k] "
+            f"and {hits}[s.n + 1 - k].pos = h.pos - k + 1)")
+    began = (f"named_struct('pos', {hits}[s.n + 1 - size(p)].pos, 'n', s.n + 2 - size(p), 'cinv', s.cinv + h.inv "
+             f"- aggregate(slice({hits}, s.n + 3 - size(p), size(p) - 1), 0D, (a, x) -> a + x.inv), "
+             f"'inv', {hits}[s.n + 1 - size(p)].inv)")
+    last = (f"concat(transform(slice(s.last, 1, {n_terms}), (x, i) -> if(i = h.o, {here}, x)), "
+            f"transform({phrases}, (p, j) -> if({ends}, {began}, s.last[{n_terms} + j])))")
     start = f"""array_max(filter(transform({groups}, g -> if(forall(g, k -> last[k] is not null),
         array_min(transform(g, k -> last[k])), null)), x -> x is not null))"""
     cover = """(s.n + 1 - start.n + 1) / (s.cinv + h.inv - start.cinv + start.inv)
@@ -58,9 +66,22 @@ def cover_density(hits: str, groups: str, n_terms: str) -> Column:
         'last', last, 'n', s.n + 1, 'cinv', s.cinv + h.inv, 'seen', coalesce(start.n, s.seen),
         'rank', s.rank + if(start.n <> s.seen, {cover}, 0D)))[0])[0]"""
     return F.expr(f"""aggregate({hits},
-        named_struct('last', array_repeat({none}, {n_terms}), 'n', 0, 'cinv', 0D, 'seen', 0,
+        named_struct('last', array_repeat({none}, {n_terms} + size({phrases})), 'n', 0, 'cinv', 0D, 'seen', 0,
                      'rank', 0D),
-        (s, h) -> {step}, s -> s.rank / (s.rank + 1))""")
+        (s, h) -> {step}, s -> if(s.seen > 0, s.rank / (s.rank + 1), null))""")
+
+
+def _barring(batch: QueryBatch, index: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(q_id, product_id, g): documents in which an excluded phrase stands, by intersecting its terms' positions."""
+    phrases = batch.frame if queries is None else batch.frame.join(queries, "q_id", "left_semi")
+    terms = (phrases.select("q_id", F.posexplode("groups").alias("g", "group"))
+             .select("q_id", "g", F.posexplode("group.barred").alias("p", "words"))
+             .select("q_id", "g", "p", F.size("words").alias("n_words"), F.posexplode("words").alias("j", "term")))
+    met = lookup_join(index.select("product_id", "term", "pos"), terms, ["term"], "inner", ["product_id", "pos"],
+                      batch.small)
+    whole = met.groupBy("q_id", "g", "p", "n_words", "product_id", (F.col("pos") - F.col("j")).alias("start")).agg(
+        F.count("*").alias("n")).filter("n = n_words")
+    return whole.select("q_id", "product_id", "g").distinct()
 
 
 def _pruned(index: DataFrame, batch: QueryBatch) -> DataFrame:
@@ -85,7 +106,7 @@ def _leading_terms(batch: QueryBatch, index: DataFrame) -> DataFrame:
     return leading.distinct()
 
 
-ALLOWED_GROUPS = """filter(transform(numbered, (g, i) -> named_struct('g', g, 'i', i)),
+ALLOWED_GROUPS = """filter(transform(numbered, (g, i) -> named_struct('g', g, 'i', i, 'r', ranked[i])),
     x -> size(x.g) > 0 and not coalesce(array_contains(barred, x.i), false)
          and forall(x.g, k -> array_contains(present, k)))"""
 FREE_GROUPS = """exists(transform(numbered, (g, i) -> named_struct('g', g, 'i', i)),
@@ -94,7 +115,9 @@ FREE_GROUPS = """exists(transform(numbered, (g, i) -> named_struct('g', g, 'i',
 
 def _matching_documents(batch: QueryBatch, index: DataFrame, about: DataFrame,
                         wanted: DataFrame, barring: DataFrame) -> DataFrame:
-    """(q_id, product_id, alive, n_terms): documents with the groups they match.
+    """(q_id, product_id, alive, n_terms, phrase_terms): documents with the groups they may match.
+
+    Whether required phrases stand together is seen when positions are read.
 
     Documents that hold a group's leading term are found first, and of these
     the ones that hold all terms of a group and none it excludes. Where the
@@ -120,11 +143,14 @@ def _matching_documents(batch: QueryBatch, index: DataFrame, about: DataFrame,
         barring.withColumn("o", F.lit(None).cast("int")))
     seen = lookup_join(words.join(able, "product_id"), checked, ["q_id", "term"], "inner",
                        ["product_id"], batch.small).select("q_id", "product_id", "o", "g").distinct()
+    if batch.any_barred_phrase:
+        seen = seen.unionByName(_barring(batch, index).join(able, ["q_id", "product_id"], "left_semi").withColumn(
+            "o", F.lit(None).cast("int")))
     held = seen.groupBy("q_id", "product_id").agg(
         F.collect_set("o").alias("present"), F.collect_set("g").alias("barred"))
     return settled(lookup_join(held, about, ["q_id"], "inner", ["product_id"], batch.small)
-                   .withColumn("alive", F.expr(f"transform({ALLOWED_GROUPS}, x -> x.g)"))
-                   .filter("size(alive) > 0").select("q_id", "product_id", "alive", "n_terms"))
+                   .withColumn("alive", F.expr(f"transform({ALLOWED_GROUPS}, x -> x.r)"))
+                   .filter("size(alive) > 0").select("q_id", "product_id", "alive", "n_terms", "phrase_terms"))
 
 
 def ranked_matches(batch: QueryBatch, index: DataFrame) -> DataFrame:
@@ -138,7 +164,7 @@ def ranked_matches(batch: QueryBatch, index: DataFrame) -> DataFrame:
     wanted = batch.frame.select("q_id", F.posexplode("terms").alias("o", "term"))
     barring = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
         "q_id", "g", F.explode("group.excluded").alias("term"))
-    about = batch.frame.selectExpr("q_id", "numbered", "size(terms) as n_terms")
+    about = batch.frame.selectExpr("q_id", "numbered", "ranked", "size(terms) as n_terms", "phrase_terms")
     inverse = "case weight " + " ".join(
         f"when '{c}' then {1 / w}D" for c, w in CLASS_WEIGHTS.items()) + " end"
     gathered = F.expr(
@@ -148,14 +174,15 @@ def ranked_matches(batch: QueryBatch, index: DataFrame) -> DataFrame:
         hits = lookup_join(index.join(alive, "product_id"), wanted, ["q_id", "term"], "inner",
                            ["product_id", "pos"], batch.small)
         matched = hits.groupBy("q_id", "product_id").agg(
-            gathered, F.first("alive").alias("alive"), F.first("n_terms").alias("n_terms"))
+            gathered, F.first("alive").alias("alive"), F.first("n_terms").alias("n_terms"),
+            F.first("phrase_terms").alias("phrase_terms"))
     else:
         hits = lookup_join(index, wanted, ["term"], "inner", ["product_id", "pos"], batch.small)
         matched = lookup_join(hits.groupBy("q_id", "product_id").agg(gathered), about, ["q_id"],
                               "inner", ["product_id"], batch.small
-                              ).withColumnRenamed("numbered", "alive")
+                              ).withColumnRenamed("ranked", "alive")
     return matched.select("q_id", "product_id", ladders.rounded(
-        cover_density("hits", "alive", "n_terms")).alias("score"))
+        cover_density("hits", "alive", "n_terms", "phrase_terms")).alias("score")).filter("score is not null")
 
 
 def free_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
@@ -168,10 +195,13 @@ def free_matches(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFr
     barring = batch.frame.select("q_id", F.posexplode("groups").alias("g", "group")).select(
         "q_id", "g", F.explode("group.excluded").alias("term"))
     negative = batch.frame.filter("exists(groups, g -> size(g.required) = 0)")
-    barred = lookup_join(
+    by_term = lookup_join(
         index.select("product_id", "term"),
         barring.join(negative.select("q_id"), "q_id", "left_semi"), ["term"], "inner",
-        ["product_id"], batch.small).groupBy("q_id", "product_id").agg(
+        ["product_id"], batch.small).select("q_id", "product_id", "g")
+    if batch.any_barred_phrase:
+        by_term = by_term.unionByName(_barring(batch, index, negative.select("q_id")))
+    barred = by_term.groupBy("q_id", "product_id").agg(
         F.collect_set("g").alias("barred")).groupBy("product_id").agg(
         F.map_from_entries(F.collect_list(F.struct("q_id", "barred"))).alias("by_query"))
     about = docs.select("product_id").join(barred, "product_id", "left")

@@ -226,23 +226,37 @@ PARTS: dict[str, tuple[list[str], str]] = {
             SELECT q_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i, len(toks) AS n
             FROM (SELECT q_id, string_split(normalized, ' ') AS toks FROM queries WHERE NOT blank))"""),
     "operands": (["tokens"], f"""
-        SELECT q_id, g, starts_with(tok, '-') AS negated,
-               unnest(regexp_extract_all({_fold('tok')}, '{COMPOUND}')) AS term FROM (
-            SELECT q_id, tok, is_or, sum(CASE WHEN is_or THEN 1 ELSE 0 END)
-                OVER (PARTITION BY q_id ORDER BY i) AS g FROM tokens) WHERE NOT is_or"""),
+        SELECT q_id, g, i, negated, len(seq) AS m, unnest(seq) AS term, generate_subscripts(seq, 1) AS j FROM (
+            SELECT q_id, g, i, starts_with(tok, '-') AS negated,
+                   CASE WHEN len(regexp_extract_all({_fold('tok')}, '{COMPOUND}')) > 1 THEN {_words('tok')}
+                        ELSE regexp_extract_all({_fold('tok')}, '{COMPOUND}') END AS seq FROM (
+                SELECT q_id, i, tok, is_or, sum(CASE WHEN is_or THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY q_id ORDER BY i) AS g FROM tokens) WHERE NOT is_or)"""),
     "required": (["operands"], "SELECT DISTINCT q_id, g, term FROM operands WHERE NOT negated"),
-    "excluded": (["operands"], "SELECT DISTINCT q_id, g, term FROM operands WHERE negated"),
+    "excluded": (["operands"], "SELECT DISTINCT q_id, g, term FROM operands WHERE negated AND m = 1"),
+    "runs": (["operands", "postings"], """
+        SELECT o.q_id, o.g, o.i, o.negated, p.product_id, p.pos - o.j + 1 AS start, p.pos - o.j + o.m AS stop
+        FROM operands o JOIN postings p USING (term) WHERE o.m > 1
+        GROUP BY ALL HAVING count(DISTINCT o.j) = any_value(o.m)"""),
     "needs": (["required", "operands"], """
         SELECT o.q_id, o.g, count(DISTINCT r.term) AS n_req
         FROM (SELECT DISTINCT q_id, g FROM operands) o
         LEFT JOIN required r ON r.q_id = o.q_id AND r.g = o.g GROUP BY o.q_id, o.g"""),
-    "barred": (["excluded", "postings"], """
-        SELECT DISTINCT e.q_id, e.g, p.product_id FROM excluded e JOIN postings p USING (term)"""),
-    "alive": (["required", "postings", "needs", "barred"], """
+    "units": (["required", "operands"], """
+        SELECT q_id, g, term, NULL::BIGINT AS i FROM required
+        WHERE (q_id, g, term) NOT IN (SELECT (q_id, g, term) FROM operands WHERE m > 1 AND NOT negated)
+        UNION ALL SELECT DISTINCT q_id, g, NULL, i FROM operands WHERE m > 1 AND NOT negated"""),
+    "barred": (["excluded", "postings", "runs"], """
+        SELECT DISTINCT e.q_id, e.g, p.product_id FROM excluded e JOIN postings p USING (term)
+        UNION SELECT q_id, g, product_id FROM runs WHERE negated"""),
+    "alive": (["required", "postings", "needs", "barred", "units", "runs"], """
         SELECT q_id, g, product_id FROM (
             SELECT r.q_id, r.g, p.product_id FROM required r JOIN postings p USING (term)
             JOIN needs n ON n.q_id = r.q_id AND n.g = r.g
-            GROUP BY r.q_id, r.g, p.product_id, n.n_req HAVING count(DISTINCT term) = n.n_req)
+            GROUP BY r.q_id, r.g, p.product_id, n.n_req HAVING count(DISTINCT term) = n.n_req) h
+        WHERE (SELECT count(*) FROM units u WHERE u.q_id = h.q_id AND u.g = h.g AND u.i IS NOT NULL)
+            = (SELECT count(DISTINCT r.i) FROM runs r WHERE r.q_id = h.q_id AND r.g = h.g
+               AND r.product_id = h.product_id AND NOT r.negated)
         EXCEPT SELECT q_id, g, product_id FROM barred"""),
     "term_hits": (["required", "postings", "alive"], """
         SELECT q_id, product_id, term, pos, inv,
@@ -252,19 +266,26 @@ PARTS: dict[str, tuple[list[str], str]] = {
             FROM (SELECT DISTINCT q_id, term FROM required) t JOIN postings p USING (term)
             WHERE (t.q_id, p.product_id) IN (SELECT (q_id, product_id) FROM alive))
         WINDOW w AS (PARTITION BY q_id, product_id ORDER BY pos)"""),
-    "covers": (["term_hits", "alive", "required", "needs"], """
+    "covers": (["term_hits", "alive", "units", "runs"], """
         SELECT q_id, product_id, s, min(e) AS e FROM (
             SELECT q_id, product_id, e, max(s) AS s FROM (
                 SELECT q_id, product_id, e, g, min(l) AS s FROM (
-                    SELECT e.q_id, e.product_id, e.pos AS e, r.g, r.term, max(h.pos) AS l
+                    SELECT e.q_id, e.product_id, e.pos AS e, u.g, u.term, u.i, max(h.pos) AS l
                     FROM term_hits e
                     JOIN alive a ON a.q_id = e.q_id AND a.product_id = e.product_id
-                    JOIN required r ON r.q_id = a.q_id AND r.g = a.g
+                    JOIN units u ON u.q_id = a.q_id AND u.g = a.g
                     JOIN term_hits h ON h.q_id = e.q_id AND h.product_id = e.product_id
-                        AND h.term = r.term AND h.pos <= e.pos
+                        AND h.term = u.term AND h.pos <= e.pos
+                    GROUP BY ALL
+                    UNION ALL
+                    SELECT e.q_id, e.product_id, e.pos, a.g, NULL, r.i, max(r.start)
+                    FROM term_hits e
+                    JOIN alive a ON a.q_id = e.q_id AND a.product_id = e.product_id
+                    JOIN runs r ON r.q_id = a.q_id AND r.g = a.g AND r.product_id = a.product_id
+                        AND NOT r.negated AND r.stop <= e.pos
                     GROUP BY ALL) x
-                JOIN needs USING (q_id, g)
-                GROUP BY q_id, product_id, e, g, n_req HAVING count(*) = n_req)
+                JOIN (SELECT q_id, g, count(*) AS n_units FROM units GROUP BY ALL) USING (q_id, g)
+                GROUP BY q_id, product_id, e, g, n_units HAVING count(*) = n_units)
             GROUP BY q_id, product_id, e)
         GROUP BY q_id, product_id, s"""),
     "ranked": (["covers", "term_hits"], """
@@ -762,6 +783,12 @@ def oracle_sql() -> dict[str, str]:
                                        {**PARTS, **articles}, "postings")
     sql["lexical_passages"] = assemble("SELECT q_id, product_id, score FROM lexical",
                                        {**PARTS, **articles}, "lexical")
+    beside = {
+        "asked_beside": (["asked_passages"], r"""
+            SELECT * REPLACE (regexp_replace(raw, '(\S+)\s+(\S+)', '\1''\2', 'g') AS raw) FROM asked_passages"""),
+        "queries": _queries_part("asked_beside", False)}
+    sql["lexical_phrases"] = assemble("SELECT q_id, product_id, score FROM lexical",
+                                      {**PARTS, **articles, **beside}, "lexical")
     sql["suggestions_fallback"] = _fallback_sql()
     listed = """string_agg({0}.product_id, '|' ORDER BY {0}.rank) AS ids,
         string_agg(coalesce({0}.title, '-'), '|' ORDER BY {0}.rank) AS titles,

@@ -240,6 +240,13 @@ def lexical_passages(spark, d):
     return lexical.lexical_candidates(batch, index, docs)
 
 
+def lexical_phrases(spark, d):
+    """The same passages with every two words joined by an apostrophe, so that they must stand side by side."""
+    docs, index = article_index(spark, d)
+    joined = _passage_queries(spark, d).withColumn("raw", F.regexp_replace("raw", r"(\S+)\s+(\S+)", "$1'$2"))
+    return lexical.lexical_candidates(filters.query_batch(filters.normalize_queries(joined)), index, docs)
+
+
 def trigram_candidates(spark, d):
     index = search_index(spark, d)
     return trigram.trigram_candidates(_batch(spark, d), index.trigrams, index.documents)
@@ -686,7 +693,7 @@ def conform_details(spark, d):
 QUERIES = {f.__name__: f for f in (
     latest_detail, latest_scrape, build_documents, sync_documents, sync_status, stream_sync, hybrid_streamed,
     delete_documents, vector_codec, normalize_queries, filter_documents, exact_candidates,
-    postings, article_postings, lexical_candidates, lexical_passages, trigram_candidates,
+    postings, article_postings, lexical_candidates, lexical_passages, lexical_phrases, trigram_candidates,
     semantic_candidates, hybrid_page2, hybrid_filtered, hybrid_no_embedding, hybrid_updated, hybrid_batch,
     similar_products, similar_page2, similar_all_pairs, similar_count, similarity_bands,
     ann_search, result_json, image_json, suggestions, suggestions_fallback, pending_embeddings,

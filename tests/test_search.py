@@ -85,6 +85,60 @@ def test_rank_equals_interval_search(spark, raw, groups):
         assert got[key] == pytest.approx(want[key], abs=1e-8)
 
 
+def interval_rank(hits, groups):
+    """Cover density by every interval; ``groups`` are lists of runs of terms, each to stand side by side."""
+    def has(part, run):
+        at = {(p, t) for p, t, _ in part}
+        return any(all((p + j, t) in at for j, t in enumerate(run)) for p, _, _ in part)
+
+    n = len(hits)
+    good = [(i, j) for i in range(n) for j in range(i, n)
+            if any(all(has(hits[i:j + 1], run) for run in g) for g in groups)]
+    minimal = [(i, j) for i, j in good if not any((a, b) != (i, j) and i <= a and b <= j for a, b in good)]
+    rank = sum(len(hits[i:j + 1]) / sum(1 / w for _, _, w in hits[i:j + 1]) / (1 + (hits[j][0] - hits[i][0]) - (j - i))
+               for i, j in minimal)
+    return rank / (rank + 1) if minimal else None
+
+
+@pytest.mark.parametrize("raw,groups", [
+    ("aa'bb", [["aa bb"]]), ("aa'bb cc", [["aa bb", "cc"]]), ("aa'aa", [["aa aa"]]), ("aa'bb'aa", [["aa bb aa"]]),
+    ("aa'bb or cc'dd", [["aa bb"], ["cc dd"]]), ("aa'bb bb'cc or dd", [["aa bb", "bb cc"], ["dd"]]),
+    ("aa'bb aa", [["aa bb", "aa"]])])
+def test_words_side_by_side_rank_by_intervals(spark, raw, groups):
+    rng = random.Random(raw)
+    words = ["aa", "bb", "cc", "dd", "xx"]
+    rows = [{"title": " ".join(rng.choices(words, k=rng.randint(1, 14))), "company": rng.choice(words)} for _ in range(60)]
+    docs = documents(spark, rows)
+    got = {r["product_id"]: r["score"] for r in
+           lexical.lexical_matches(batch(spark, [raw]), lexical.postings(docs), docs).collect()}
+    used = {t for g in groups for run in g for t in run.split()}
+    want = {}
+    for i, row in enumerate(rows):
+        text = [(w, 1.0) for w in row["title"].split()] + [(row["company"], 0.4)]
+        hits = [(p, w, weight) for p, (w, weight) in enumerate(text, 1) if w in used]
+        have = {w for _, w, _ in hits}
+        alive = [[run.split() for run in g] for g in groups if all(t in have for run in g for t in run.split())]
+        score = interval_rank(hits, alive)
+        if score is not None:
+            want[str(i)] = score
+    assert got.keys() == want.keys() and want
+    assert all(got[key] == pytest.approx(want[key], abs=1e-8) for key in want)
+
+
+def test_excluded_words_side_by_side(spark, monkeypatch):
+    docs = documents(spark, [{"title": t} for t in ("aa bb", "bb aa", "aa xx bb", "x-y z", "x y z", "cc")])
+    index = lexical.postings(docs)
+
+    def ids(raw):
+        return {r["product_id"] for r in lexical.lexical_matches(batch(spark, [raw]), index, docs).collect()}
+
+    for _ in range(2):
+        assert ids("aa -aa'bb") == {"1", "2"} and ids("-aa'bb") == {"1", "2", "3", "4", "5"}
+        assert ids("x-y'z") == {"3"} and ids("x'y") == {"3", "4"} and ids("aa'bb or cc -bb'aa") == {"0", "5"}
+        monkeypatch.setattr(joins, "MAX_LOCAL_ROWS", 0)
+        monkeypatch.setattr(joins.local_table, "__defaults__", (0, joins.MAX_ROW_CHARS))
+
+
 def test_exclusions(spark):
     docs = documents(spark, [{"title": t} for t in
                              ("red plate", "red ring", "old ring", "red", "plate")])
