@@ -211,13 +211,14 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     Rows that agree in id, source and size share their outcomes in the order of their texts.
     """
-    key = F.to_json(F.struct("doc_id", "source", F.col("_size")))
-    outcomes = (mixed_sizes(docs, seed).withColumnRenamed("size", "_size").withColumn("_key", key)
-                .groupBy("_key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")))
-    same = Window.partitionBy("_key").orderBy("text")
-    keyed = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_key", key)
-    joined = keyed.join(outcomes, "_key").withColumn("_nth", F.row_number().over(same))
-    copies = F.element_at("_copies", F.col("_nth")).cast("int")
-    return joined.withColumn("_n", copies).filter("_n > 0").select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "mix_copy"],
-        F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("mix_copy"))
+    key = F.to_json(F.struct("doc_id", "source", "size")).alias("key")
+    outcomes = mixed_sizes(docs, seed).select(key, "copies").groupBy("key").agg(
+        F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    # Rows travel as one column, so that no name of theirs meets one of these steps.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "mix_copy"]).alias("row")
+    sized = docs.select(row, "doc_id", "source", n_words(F.col("text")).alias("size"))
+    same = Window.partitionBy("key").orderBy("row.text")
+    joined = sized.select("row", key).join(outcomes, "key").withColumn("nth", F.row_number().over(same))
+    repeated = joined.withColumn("n", F.element_at("copies", F.col("nth")).cast("int")).filter("n > 0")
+    return repeated.select("row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy")).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c != "mix_copy"], F.col("copy").alias("mix_copy"))

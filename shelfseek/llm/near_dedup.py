@@ -318,13 +318,17 @@ def unique_documents(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.lit(True).alias("_single"))
     none = found.filter("n = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
                                         F.lit(False).alias("_single"))
-    kept = stored(single.unionByName(none).distinct(), "kept").hint("shuffle_hash")
+    kept = stored(single.unionByName(none).distinct(), "kept")
     # Null ids would meet in one task; the hash of the text stands in for them.
-    place = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("_text_hash").cast("string")))
-    rows = docs.withColumn("_text_hash", F.xxhash64("text")).withColumn("_place", place)
-    kept = kept.withColumn("_place", F.coalesce(
-        F.col("_id").cast("string"), F.concat(F.lit("-"), F.col("_hash").cast("string"))))
-    joined = rows.join(kept, (rows["_place"] == kept["_place"]) & (rows["_text_hash"] == kept["_hash"])).drop(
-        kept["_place"])
-    repeated = joined.filter("_single").dropDuplicates(["_place", "_text_hash"])
-    return repeated.unionByName(joined.filter(~F.col("_single"))).select(*docs.columns)
+    # Rows travel as one column, so that no name of theirs meets one of these steps.
+    def placed(number, text_hash):
+        return F.coalesce(number.cast("string"), F.concat(F.lit("-"), text_hash.cast("string"))).alias("place")
+
+    text_hash = F.xxhash64("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       placed(F.col("doc_id"), text_hash), text_hash.alias("text_hash"))
+    kept = kept.select(placed(F.col("_id"), F.col("_hash")), F.col("_hash").alias("text_hash"), "_single").hint("shuffle_hash")
+    joined = rows.join(kept, ["place", "text_hash"])
+    repeated = joined.filter("_single").dropDuplicates(["place", "text_hash"])
+    return repeated.unionByName(joined.filter(~F.col("_single"))).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns])

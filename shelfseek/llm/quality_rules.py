@@ -81,7 +81,7 @@ def counts(batch: linear.TextBatch) -> dict[str, np.ndarray]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = MAX_LABELLED,
                     columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """Labelled documents: of each class at most ``limit`` ids, by the smallest hash of the id."""
+    """Labelled documents: of each class at most ``limit``, by the smallest hash of the id; one row of each id."""
     clean = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
         F.min(F.col(label).cast("int")).alias("_label")).filter("_label in (0, 1)")
     picked = None
@@ -89,7 +89,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int =
         part = clean.filter(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         picked = part if picked is None else picked.unionByName(part)
     # At most 2 * limit rows of two numbers.
-    return docs.select(*columns).join(F.broadcast(picked), "doc_id")
+    rows = docs.select(*columns).join(F.broadcast(picked), "doc_id")
+    others = [c for c in rows.columns if c != "doc_id"]
+    # Of repeated ids the least row, found while tasks still aggregate.
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("least")).select(
+        "doc_id", *[F.col("least")[c].alias(c) for c in others])
 
 
 def sparse_rows(sample: DataFrame) -> pa.Table:
@@ -175,5 +179,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns."""
-    judged = apply_rules(docs.withColumn("_row", F.struct(*docs.columns)), labels, carry=["_row"])
-    return judged.filter("kept").select("_row.*")
+    # Rows travel as one column, so that no name of theirs meets one of these steps.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    judged = apply_rules(whole, labels, carry=["_row"])
+    return judged.filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
