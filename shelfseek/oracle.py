@@ -442,7 +442,7 @@ def _queries_part(source: str, embedded: bool, **fixed) -> tuple[list[str], str]
     page = f"CASE WHEN {value('page')} >= 0 THEN {value('page')} ELSE 0 END"
     size = f"CASE WHEN {value('size')} > 0 THEN least({value('size')}, 60) ELSE 20 END"
     sort = f"coalesce({_clean('CAST(' + value('sort') + ' AS VARCHAR)')}, 'relevance')"
-    vector = "l.q_embedding" if embedded else "NULL::FLOAT[]"
+    vector = fixed.pop("vector", "l.q_embedding" if embedded else "NULL::FLOAT[]")
     join = "LEFT JOIN label_vectors l ON l.label = a.label" if embedded else ""
     return ([source, "label_vectors"] if embedded else [source], f"""
         SELECT *, CASE WHEN length(normalized) <= 3 THEN 0.55e0 WHEN length(normalized) <= 6
@@ -600,6 +600,9 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_filtered": _search(category=" Asia ", min_price=20000.0, max_price=80000.0, page=0),
         "hybrid_no_embedding": _search(embedded=False),
         "hybrid_batch": _search("asked_names", embedded=False),
+        "hybrid_encoded": _search("asked_names", embedded=False, select="""SELECT q_id, rank, product_id, lexical_score,
+            semantic_score, match_type, total, has_more FROM page""", vector="""CASE WHEN length(normalized) % 5 <> 0
+            THEN list_transform(range(64), lambda i: CAST(CAST(i = length(normalized) % 64 AS INT) AS FLOAT)) END"""),
         "similar_products": assemble(SIMILAR_PAGE.format(start=0, end=50), PARTS,
                                      "similar_ranked", "docs"),
         "similar_page2": assemble(SIMILAR_PAGE.format(start=7, end=14), PARTS,

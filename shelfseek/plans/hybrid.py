@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfseek.functions import ladders
+from shelfseek.functions.text import normalize_query
+from shelfseek.operators.embed import Encoder, embed_texts
 from shelfseek.operators.exact import exact_candidates
 from shelfseek.operators.filters import QueryBatch, normalize_queries, query_batch
 from shelfseek.operators.joins import lookup_join
@@ -15,6 +18,7 @@ from shelfseek.operators.lexical import lexical_candidates, postings
 from shelfseek.operators.suggest import suggestion_offers
 from shelfseek.operators.trigram import trigram_candidates, trigram_index
 from shelfseek.operators.vector import semantic_candidates
+from shelfseek.sources.tables import stored
 
 SCORES = ["exact_score", "lexical_score", "trigram_score", "semantic_score"]
 RESULT_COLUMNS = ["q_id", "rank", "product_id", "title", "product_url", "image_url", "company",
@@ -102,3 +106,27 @@ def hybrid_search(queries: DataFrame, index: SearchIndex, fold_accents: bool = F
     """Result rows of every query's page. ``queries`` has the columns of ``QUERY_DDL``."""
     batch = query_batch(normalize_queries(queries, fold_accents=fold_accents), fold_accents)
     return page_of(score(batch, candidates(batch, index), index.documents))
+
+
+def with_embeddings(queries: DataFrame, make_encoder: Callable[[], Encoder]) -> DataFrame:
+    """Queries with the vector of their normalised text as ``q_embedding``; NULL where the encoder fails.
+
+    Each distinct text is encoded once, in the workers. A failure costs its own
+    text the semantic part of the search and nothing else.
+    """
+    texts = queries.drop("q_embedding").withColumn("normalized_text", normalize_query(F.col("raw")))
+    # Texts are tiny and their work is not, so tasks are not merged by bytes.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = texts.select("normalized_text").filter("normalized_text <> ''").distinct()
+    done = embed_texts(distinct.repartition(tasks, "normalized_text"), make_encoder, "normalized_text")
+    vectors = done.select("normalized_text", F.col("embedding").alias("q_embedding"))
+    return texts.join(vectors, "normalized_text", "left").drop("normalized_text")
+
+
+def encoded_search(queries: DataFrame, index: SearchIndex, make_encoder: Callable[[], Encoder],
+                   fold_accents: bool = False) -> DataFrame:
+    """``hybrid_search`` of queries that bring no vectors: normalised, encoded and searched in one plan.
+
+    The vectors are written once, as the sources of candidates read the batch several times.
+    """
+    return hybrid_search(stored(with_embeddings(queries, make_encoder), "queries"), index, fold_accents)

@@ -336,6 +336,22 @@ def hybrid_updated(spark, d):
                                       segments.read(spark, _updated(spark, d))))
 
 
+class LengthEncoder:
+    """Stand-in encoder: a unit vector along the text's length; refuses lengths that 5 divides."""
+
+    def __call__(self, items: list[str]) -> list[list[float]]:
+        if any(len(i) % 5 == 0 for i in items):
+            raise ValueError("refused")
+        return [[float(k == len(i) % 64) for k in range(64)] for i in items]
+
+
+def hybrid_encoded(spark, d):
+    """Every name as a query without a vector: encoded inside the search, refused texts without semantic part."""
+    queries = name_queries(spark, d).drop("q_embedding")
+    return hybrid.encoded_search(queries, search_index(spark, d), LengthEncoder).select(
+        "q_id", "rank", "product_id", "lexical_score", "semantic_score", "match_type", "total", "has_more")
+
+
 def hybrid_batch(spark, d):
     return _search(spark, d, name_queries(spark, d))
 
@@ -694,7 +710,7 @@ QUERIES = {f.__name__: f for f in (
     latest_detail, latest_scrape, build_documents, sync_documents, sync_status, stream_sync, hybrid_streamed,
     delete_documents, vector_codec, normalize_queries, filter_documents, exact_candidates,
     postings, article_postings, lexical_candidates, lexical_passages, lexical_phrases, trigram_candidates,
-    semantic_candidates, hybrid_page2, hybrid_filtered, hybrid_no_embedding, hybrid_updated, hybrid_batch,
+    semantic_candidates, hybrid_page2, hybrid_filtered, hybrid_no_embedding, hybrid_updated, hybrid_batch, hybrid_encoded,
     similar_products, similar_page2, similar_all_pairs, similar_count, similarity_bands,
     ann_search, result_json, image_json, suggestions, suggestions_fallback, pending_embeddings,
     pending_all, pending_retry, pending_attempts, embed_outcomes, embed_counts, index_newest, insert_embeddings, embed_texts,

@@ -1,15 +1,20 @@
 """Candidate operators against direct computations on small frames."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import Window, functions as F
 
 from shelfseek import schema
 from shelfseek.operators import exact, filters, joins, lexical, trigram, vector
 from shelfseek.plans import hybrid
 
+# Encoders below travel to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DOC = schema.columns("product_search_documents")
 QUERY = ["q_id", "raw", "platform", "category", "shop", "min_price", "max_price", "sort", "page",
          "size", "q_embedding"]
@@ -363,3 +368,25 @@ def test_stored_index_needs_no_shuffle_to_meet_documents(spark, index):
         text = plan._jdf.queryExecution().sparkPlan().toString()
         executed = plan._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in executed, text
+
+
+class PickyEncoder:
+    """Encodes what it likes; ``bad`` texts fail together with their whole block."""
+
+    def __call__(self, items):
+        if "bad words" in items:
+            raise ValueError("bad words")
+        return [[1.0] + [0.0] * 7 if "red" in i else [0.0, 1.0] + [0.0] * 6 for i in items]
+
+
+def test_queries_are_encoded_and_failures_are_null(spark):
+    docs, (embeddings, data) = random_catalogue(spark), vectors(spark)
+    rows = [("q0", "Red  plate!"), ("q1", "red plate"), ("q2", "bad words"), ("q3", "hot ring"), ("q4", "  "), ("q5", None)]
+    queries = spark.createDataFrame([tuple((dict.fromkeys(QUERY) | {"q_id": q, "raw": raw})[c] for c in QUERY)
+                                     for q, raw in rows], filters.QUERY_DDL)
+    made = {r["q_id"]: r["q_embedding"] for r in hybrid.with_embeddings(queries, PickyEncoder).collect()}
+    red, hot = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6
+    assert made == {"q0": red, "q1": red, "q2": None, "q3": hot, "q4": None, "q5": None}
+    found = hybrid.encoded_search(queries, hybrid.SearchIndex.over(docs, embeddings), PickyEncoder).collect()
+    semantic = {q: any(r["semantic_score"] > 0 for r in found if r["q_id"] == q) for q in ("q0", "q2", "q3")}
+    assert semantic == {"q0": True, "q2": False, "q3": True}
