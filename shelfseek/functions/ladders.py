@@ -40,6 +40,7 @@ def final_score() -> Column:
         + least(1D, greatest(0D, semantic_score)) * {SHARE_SEMANTIC}D"""))
 
 
+# Fixed values of the next three: the labels and the order in which they are tried.
 def match_type() -> Column:
     """Why a document was found, from the scores, ``normalized`` and ``threshold``."""
     return F.expr("""case

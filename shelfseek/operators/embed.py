@@ -148,7 +148,7 @@ def embed_texts(df: DataFrame, make_encoder: Callable[[], Encoder], column: str
                 ) -> DataFrame:
     """``df`` with ``embedding`` and ``error``; blank text is an error."""
     return _embed(df, column, make_encoder,
-                  lambda v: None if v and v.strip() else "Text must not be empty")
+                  lambda v: None if v and v.strip() else "no text to embed")
 
 
 def embed_images(df: DataFrame, make_encoder: Callable[[], Encoder], column: str = "content"

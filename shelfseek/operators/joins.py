@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 MAX_LOCAL_ROWS = 20_000
 MAX_ROW_CHARS = 16_000
 SALTS = 32
+#: Rows of one key that a task may take; keys with more are measured and cut into parts.
+HEAVY_ROWS = 1_000_000
 
 
 def local_table(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS,
@@ -60,6 +62,27 @@ def salted_join(big: DataFrame, other: DataFrame, on: Sequence[str], how: str,
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def split_join(big: DataFrame, other: DataFrame, on: Sequence[str], how: str,
+               spread: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Shuffle join that cuts only the keys with more than ``HEAVY_ROWS`` rows of ``big``.
+
+    Heavy keys are counted first, before which tasks add up their own rows. Without any the join is plain;
+    with more than may be broadcast all keys are salted.
+    """
+    counted = big.groupBy(*on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HEAVY_ROWS)
+    heavy = localize(counted.drop("_rows").dropna())
+    if heavy is None:
+        return salted_join(big, other, on, how, spread, salts)
+    if heavy.isEmpty():
+        return big.join(other, list(on), how)
+    heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+    part = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(heavy, list(on), "left").withColumn("_salt", part).drop("_heavy")
+    right = other.join(heavy, list(on), "left").withColumn("_salt", F.explode(parts)).drop("_heavy")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def lookup_join(big: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner",
                 spread: Sequence[str] = (), small: bool | None = None) -> DataFrame:
     """Join to a side that is usually small: broadcast if proven so, salted otherwise."""

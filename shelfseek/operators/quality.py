@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from shelfseek import schema
-from shelfseek.operators.joins import are_small, lookup_join
+from shelfseek.operators.joins import are_small, lookup_join, split_join
+from shelfseek.sources.tables import stored
 
 Tables = dict[str, DataFrame]
 
@@ -92,9 +93,15 @@ def delete_cascade(tables: Tables, table: str, keys: DataFrame) -> Tables:
     return out
 
 
+def _met(rows: DataFrame, keys: DataFrame, column: str, how: str, spread: list[str], small: bool) -> DataFrame:
+    if small:
+        return lookup_join(rows, keys, [column], how, spread, True)
+    return split_join(rows, keys, [column], how, spread)
+
+
 def _delete(out: Tables, table: str, keys: DataFrame, small: bool) -> None:
-    """``small`` tells of keys that were measured; keys of children are not, and are salted,
-    as one parent may hold a large share of the child's rows."""
+    """``small`` tells whether the keys were measured to be few; others meet rows by
+    shuffle, heavy parents in parts."""
     before = dict(out)
     out[table] = _drop(out[table], PRIMARY_KEYS[table], keys, small)
     for child, column, parent, _, action in schema.REFERENCES:
@@ -103,18 +110,19 @@ def _delete(out: Tables, table: str, keys: DataFrame, small: bool) -> None:
         own = PRIMARY_KEYS[child]
         if action == "cascade" and any(r[2] == child and r[0] in before for r in schema.REFERENCES):
             named = keys.withColumnRenamed("key", column)
-            gone = lookup_join(before[child], named, [column], "left_semi", [own], small)
-            _delete(out, child, gone.select(F.col(own).alias("key")), False)
+            gone = _met(before[child], named, column, "left_semi", [own], small)
+            # Written once: several tables refer to them, and each level builds on the last.
+            gone = stored(gone.select(F.col(own).alias("key")), "deleted")
+            _delete(out, child, gone, are_small(gone)[0])
         elif action == "cascade":
             out[child] = _drop(out[child], column, keys, small)
         elif action == "set null":
             mark = keys.select(F.col("key").alias(column), F.lit(True).alias("_gone"))
-            rows = lookup_join(out[child], mark, [column], "left", [own], small)
+            rows = _met(out[child], mark, column, "left", [own], small)
             out[child] = rows.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))
                                          ).select(*before[child].columns)
 
 
 def _drop(rows: DataFrame, column: str, keys: DataFrame, small: bool) -> DataFrame:
     named = keys.withColumnRenamed("key", column)
-    return lookup_join(rows, named, [column], "left_anti", rows.columns[:4], small
-                       ).select(*rows.columns)
+    return _met(rows, named, column, "left_anti", rows.columns[:4], small).select(*rows.columns)

@@ -697,7 +697,7 @@ def oracle_sql() -> dict[str, str]:
         "embed_texts": r"""
             SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN 512 END AS width,
                    CASE WHEN regexp_matches(text, '\S') THEN 1e0 END AS length,
-                   CASE WHEN NOT regexp_matches(text, '\S') THEN 'Text must not be empty' END
+                   CASE WHEN NOT regexp_matches(text, '\S') THEN 'no text to embed' END
                        AS error FROM documents""",
         "catalogue_lookups": assemble("""
             SELECT 'id' AS lookup, id AS key, id AS product_id FROM products

@@ -634,7 +634,7 @@ def _catalogue(spark, d):
         "product_details": fx.product_details(spark, d),
         "product_embeddings": fx.product_embeddings(spark, d),
         "product_detail_variants": fx.product_detail_variants(spark, d),
-        "product_search_documents": fx.documents(spark, d),
+        "product_search_documents": search_index(spark, d).documents,
     }
 
 

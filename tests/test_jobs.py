@@ -248,7 +248,7 @@ def test_texts_and_insert_if_absent(spark):
     texts = spark.createDataFrame([(1, "red ring"), (2, "  "), (3, None)], "i int, text string")
     rows = {r["i"]: r for r in embed.embed_texts(texts, picky).collect()}
     assert len(rows[1]["embedding"]) == 16 and rows[1]["error"] is None
-    assert rows[2]["embedding"] is None and rows[3]["error"] == "Text must not be empty"
+    assert rows[2]["embedding"] is None and rows[3]["error"] == "no text to embed"
     stored = frame(spark, "product_embeddings", [dict(id="e1", product_id="a", embedding=[1.0])])
     offered = frame(spark, "product_embeddings", [
         dict(id="e2", product_id="a", embedding=[2.0]), dict(id="e4", product_id="b", embedding=[4.0]),

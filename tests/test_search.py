@@ -312,6 +312,18 @@ def test_salted_join_equals_plain(spark, how):
         big.join(other, ["k"], how))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("heavy", [10, 100, 10_000])
+def test_split_join_equals_plain(spark, monkeypatch, how, heavy):
+    monkeypatch.setattr(joins, "HEAVY_ROWS", heavy)
+    big = spark.range(900).selectExpr("case when id % 3 = 0 then 'hot' when id % 50 = 1 then null "
+                                      "else cast(id % 40 as string) end as k", "id as n")
+    other = spark.createDataFrame([("hot", 1), ("5", 2), ("zz", 3), (None, 4)], "k string, v int")
+    want = big.join(other, "k", how)
+    assert as_rows(joins.split_join(big, other, ["k"], how, ["n"]).select(*want.columns).na.fill("-").na.fill(-1)) == as_rows(
+        want.na.fill("-").na.fill(-1))
+
+
 def test_local_table_refuses_many_or_wide_rows(spark):
     df = spark.range(50).select("id", F.lit("x" * 100).alias("t"))
     assert joins.local_table(df, 50).num_rows == 50
