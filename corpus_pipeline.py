@@ -2,6 +2,12 @@
 
 Every stage takes and returns whole documents; what it returns is written to
 the shared folder and read again as the next one's input.
+
+Defined results. Documents without text or with too few words go in the first
+stage; null ids stay, equal texts of them are one document. Of repeated rows one
+stays. Empty tables give empty results; without labels of both classes the
+counts of the first stage decide alone. Other columns, whatever their names,
+come through unchanged.
 """
 
 from __future__ import annotations
