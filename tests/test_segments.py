@@ -71,11 +71,11 @@ def test_changes_equal_a_new_index(spark, tmp_path, monkeypatch, few):
     first = segments.read(spark, root)
     before = rows_of(first.documents)
     changes = [(["3", "4", "99"], ["4", "50"], ["7"]), ([], [], ["3", "99", "nope"]), (["3", "7"], [], [])]
-    for changed, moved, gone in changes:
+    for number, (changed, moved, gone) in enumerate(changes if few else changes[:1]):
         new = tables.stored(some_documents(spark, rng, changed), "n")
         newer = tables.stored(some_vectors(spark, rng, moved), "m")
         out = spark.createDataFrame([(i,) for i in gone], "product_id string")
-        for _ in range(2):  # a repeated change changes nothing
+        for _ in range(1 if number else 2):  # a repeated change changes nothing
             segments.change(spark, root, documents=new, embeddings=newer, deleted=out)
         docs = tables.stored(docs_ops.without(docs_ops.upserted(docs, new), out), "d")
         vectors = tables.stored(docs_ops.without(docs_ops.upserted(vectors, newer), out), "v")
