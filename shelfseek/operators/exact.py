@@ -5,52 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shelfseek.functions import ladders
-from shelfseek.operators.filters import QueryBatch, filtered_terms, passes_filters
-from shelfseek.operators.joins import lookup_join, top_k
+from shelfseek.operators.filters import FILTERS, QueryBatch
+from shelfseek.operators.joins import lookup_join
+from shelfseek.operators.values import (MAX_PUSHED_KEYS, TITLE_PREFIX, best_documents, named, only_filtered,
+                                        prefix_length)
 
-FIELD_SCORES = [
-    ("id_lower", ladders.SCORE_ID),
-    ("title_lower", ladders.SCORE_TITLE),
-    ("company_lower", ladders.SCORE_COMPANY),
-    ("category_lower", ladders.SCORE_CATEGORY),
-    ("category_slug_lower", ladders.SCORE_CATEGORY),
-    ("subcategory_lower", ladders.SCORE_SUBCATEGORY),
-    ("subcategory_slug_lower", ladders.SCORE_SUBCATEGORY),
-    ("leaf_category_lower", ladders.SCORE_LEAF),
-    ("leaf_category_slug_lower", ladders.SCORE_LEAF),
-]
+FIELD_SCORES = {
+    "id": ladders.SCORE_ID, "title": ladders.SCORE_TITLE, TITLE_PREFIX: ladders.SCORE_TITLE_PREFIX,
+    "company": ladders.SCORE_COMPANY, "category": ladders.SCORE_CATEGORY, "category_slug": ladders.SCORE_CATEGORY,
+    "subcategory": ladders.SCORE_SUBCATEGORY, "subcategory_slug": ladders.SCORE_SUBCATEGORY,
+    "leaf_category": ladders.SCORE_LEAF, "leaf_category_slug": ladders.SCORE_LEAF}
 
 
-def candidate_order(score: str = "score"):
-    return [F.col(score).desc(), F.col("updated_at").desc_nulls_last(), F.col("product_id").asc()]
+def exact_candidates(batch: QueryBatch, values: DataFrame) -> DataFrame:
+    """(q_id, product_id, score): best exact hit per document, first ``depth`` per query, from ``field_values``.
 
-
-def exact_candidates(batch: QueryBatch, docs: DataFrame) -> DataFrame:
-    """(q_id, product_id, score): best exact hit per document, first ``depth`` per query.
-
-    Every document offers its field values and the title prefixes of the
-    lengths asked for, best score first and each value once, so that it meets
-    a query at most once in the equi-join and no merge is needed after it.
+    A query looks up itself, and for titles that it begins its own longest beginning of a power of two
+    characters, which is confirmed by the title. Few queries name their keys to the scan of the sorted table.
     """
-    def offers(fields):
-        return "array(" + ", ".join(f"named_struct('value', {name}, 'score', {score}D)"
-                                    for name, score in fields) + ")"
-
-    lengths = ", ".join(map(str, batch.prefix_lengths))
-    prefixes = (f"transform(filter(cast(array({lengths}) as array<int>), "
-                f"n -> n <= length(title_lower)), n -> named_struct("
-                f"'value', substring(title_lower, 1, n), 'score', {ladders.SCORE_TITLE_PREFIX}D))")
-    better = [f for f in FIELD_SCORES if f[1] > ladders.SCORE_TITLE_PREFIX]
-    lesser = [f for f in FIELD_SCORES if f[1] < ladders.SCORE_TITLE_PREFIX]
-    ordered = f"filter(concat({offers(better)}, {prefixes}, {offers(lesser)}), o -> o.value <> '')"
-    first = "filter(offers, (o, i) -> array_position(offers.value, o.value) = i + 1)"
-    offered = (filtered_terms(docs, batch).withColumn("offers", F.expr(ordered)).selectExpr(
-        "product_id", "updated_at", "sortable_price", "company_lower", "category_keys",
-        f"inline({first})"))
-    queries = batch.frame.select(F.col("normalized").alias("value"), "q_id", "depth", "f_category",
-                                 "f_shop", "f_min", "f_max")
-    hits = lookup_join(offered, queries, ["value"], "inner", ["product_id"], batch.small)
-    best = hits.filter(passes_filters()).select("q_id", "product_id", "updated_at", "depth", "score")
-    return (top_k(best, ["q_id"], candidate_order(), batch.max_depth, ["product_id"])
-            .filter(F.col("rank") <= F.col("depth"))
-            .select("q_id", "product_id", "score"))
+    lookups = (f"inline(array(named_struct('value', normalized, 'begins', false), named_struct("
+               f"'value', substring(normalized, 1, {prefix_length('normalized')}), 'begins', true)))")
+    asked = batch.frame.selectExpr("q_id", "depth", *FILTERS, "normalized", f"{lookups} as (value, begins)")
+    asked = asked.withColumn("value_key", F.md5("value")).drop("value")
+    values = only_filtered(values, batch)
+    if batch.small and batch.table.num_rows * 2 <= MAX_PUSHED_KEYS:
+        values = values.filter(named("value_key", sorted({r[0] for r in asked.select("value_key").collect()})))
+    met = lookup_join(values, asked, ["value_key"], "inner", ["product_id"], batch.small)
+    hits = met.filter(F.expr(f"if(field = '{TITLE_PREFIX}', begins and startswith(title_lower, normalized), not begins)"))
+    score = F.expr("case field " + " ".join(f"when '{f}' then {s}D" for f, s in FIELD_SCORES.items()) + " end")
+    return best_documents(hits.withColumn("score", score), batch)

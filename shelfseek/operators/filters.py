@@ -63,7 +63,6 @@ class QueryBatch:
     table: pa.Table | None
     max_depth: int
     max_vector_depth: int
-    prefix_lengths: list[int]
     any_negation: bool = True
     any_pure_negation: bool = True
     any_compound: bool = True
@@ -100,16 +99,14 @@ def query_batch(normalized: DataFrame, fold_accents: bool = False) -> QueryBatch
         "grams", text.trigrams(F.col("normalized")))
     table = local_table(live)
     if table is None:
-        facts = live.agg(F.max("depth").alias("depth"), F.max("vector_depth").alias("vector_depth"),
-                         F.collect_set(F.length("normalized")).alias("lengths")).first()
-        return QueryBatch(live, None, facts["depth"] or 0, facts["vector_depth"] or 0,
-                          sorted(facts["lengths"]), fold_accents=fold_accents)
+        facts = live.agg(F.max("depth").alias("depth"), F.max("vector_depth").alias("vector_depth")).first()
+        return QueryBatch(live, None, facts["depth"] or 0, facts["vector_depth"] or 0, fold_accents=fold_accents)
     frame = live.sparkSession.createDataFrame(table, schema=live.schema)
-    rows = table.select(["groups", "terms", "grams", "normalized", *FILTERS]).to_pylist()
+    rows = table.select(["groups", "terms", "grams", *FILTERS]).to_pylist()
     groups = [g for r in rows for g in r["groups"]]
     return QueryBatch(
         frame, table, pc.max(table["depth"]).as_py() or 0,
-        pc.max(table["vector_depth"]).as_py() or 0, sorted({len(r["normalized"]) for r in rows}),
+        pc.max(table["vector_depth"]).as_py() or 0,
         any(g["excluded"] or g["barred"] for g in groups), any(not g["required"] for g in groups),
         any(len(g["required"]) > 1 for g in groups), any(g["barred"] for g in groups),
         sorted({tuple(r[f] for f in FILTERS) for r in rows}, key=repr),

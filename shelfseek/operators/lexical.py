@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfseek.functions import ladders
 from shelfseek.functions.text import lexemes
-from shelfseek.operators.exact import candidate_order
 from shelfseek.operators.filters import (FILTERS, QueryBatch, filtered_terms, passes_filters,
                                          with_every_query)
 from shelfseek.operators.joins import local_table, localize, lookup_join, top_k
+from shelfseek.operators.values import candidate_order
 
 # The weight class of each field, and what a class is worth.
 FIELD_CLASSES = [("lexical_title", "A"), ("lexical_company", "B"), ("category_title", "B"),

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfseek.functions import ladders
 from shelfseek.functions.text import trigrams
-from shelfseek.operators.exact import candidate_order
-from shelfseek.operators.filters import (FILTERS, QueryBatch, document_terms, filtered_terms,
-                                         passes_filters)
-from shelfseek.operators.joins import local_table, lookup_join, salted_join, top_k
+from shelfseek.operators.filters import FILTERS, QueryBatch, document_terms
+from shelfseek.operators.joins import local_table, localize, lookup_join, salted_join
+from shelfseek.operators.values import best_documents, named, only_filtered
+from shelfseek.sources.tables import stored
 
 MAX_PUSHED_GRAMS = 2000
 WEIGHTS = ladders.TRIGRAM_WEIGHTS
+#: Slack of the bounds for sums that were rounded on their way.
+SLACK = 1e-6
 
 
 def _field_values():
@@ -35,80 +37,74 @@ def trigram_index(docs: DataFrame, fold_accents: bool = False) -> DataFrame:
                          F.explode("grams").alias("gram"))
 
 
+def _asked_grams(batch: QueryBatch, index: DataFrame) -> DataFrame:
+    """(q_id, threshold, q_grams, gram, place): the grams of each query, those of the fewest values first."""
+    asked = batch.frame.select("q_id", "threshold", F.size("grams").alias("q_grams"),
+                               F.explode("grams").alias("gram"))
+    held = index.groupBy("gram").agg(F.count("*").alias("n_values"))
+    local = localize(held) if batch.small else None
+    asked = asked.join(held, "gram", "left") if local is None else asked.join(F.broadcast(local), "gram", "left")
+    rarest = Window.partitionBy("q_id").orderBy(F.coalesce("n_values", F.lit(0)), "gram")
+    return asked.select("q_id", "threshold", "q_grams", "gram", F.row_number().over(rarest).alias("place"))
+
+
+def _looked_up(weight: Column) -> Column:
+    """How many of a query's grams must be looked up so that no value of a field with this weight is missed.
+
+    A value as similar as asked shares at least that part of the query's grams, so not all that it shares can
+    lie behind these.
+    """
+    least = F.ceil(F.col("threshold") / weight * F.col("q_grams") - SLACK)
+    return F.col("q_grams") - F.greatest(least, F.lit(1)) + 1
+
+
+def similar_pairs(batch: QueryBatch, index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q_id, field, value_key): pairs that share one of the query's rare grams and whose sizes allow the similarity."""
+    met = lookup_join(index, asked.filter(F.col("place") <= _looked_up(F.lit(max(WEIGHTS.values())))), ["gram"], "inner",
+                      ["value_key", "field"], batch.small)
+    bound = F.least("n_grams", "q_grams") / F.greatest("n_grams", "q_grams") * _weight()
+    return (met.filter((ladders.rounded(bound) >= F.col("threshold")) & (F.col("place") <= _looked_up(_weight())))
+            .select("q_id", "field", "value_key").distinct())
+
+
+def _weight() -> Column:
+    return F.expr("case field " + " ".join(f"when '{name}' then {w}D" for name, w in WEIGHTS.items()) + " end")
+
+
 def matching_values(batch: QueryBatch, index: DataFrame) -> DataFrame:
     """(q_id, field, value_key, score) of field values similar enough to the query.
 
-    Sizes bound the similarity from above, so hopeless pairs go before counting.
+    A query's rarest grams alone bring up pairs, sizes bound the similarity from above, and shared grams are
+    counted for the pairs that are left. The lists of frequent grams are read, but never paired with a query.
     """
-    asked = batch.frame.select("q_id", "threshold", F.size("grams").alias("q_grams"),
-                               F.explode("grams").alias("gram"))
     if batch.small and len(batch.grams) <= MAX_PUSHED_GRAMS:
-        index = index.filter(F.col("gram").isin(batch.grams))
-    weight = F.expr("case field " + " ".join(
-        f"when '{name}' then {w}D" for name, w in WEIGHTS.items()) + " end")
-    met = lookup_join(index, asked, ["gram"], "inner", ["value_key", "field"], batch.small)
-    bound = F.least("n_grams", "q_grams") / F.greatest("n_grams", "q_grams") * weight
-    shared = (met.filter(ladders.rounded(bound) >= F.col("threshold"))
+        index = index.filter(named("gram", batch.grams))
+    asked = stored(_asked_grams(batch, index), "grams")
+    pairs = stored(similar_pairs(batch, index, asked), "pairs")
+    held = lookup_join(index, pairs, ["field", "value_key"], "inner", ["gram"])
+    shared = (lookup_join(held, asked.drop("place"), ["q_id", "gram"], "inner", ["value_key", "field"], batch.small)
               .groupBy("q_id", "field", "value_key", "n_grams", "q_grams", "threshold")
               .agg(F.count("*").alias("shared")))
     similarity = F.col("shared") / (F.col("n_grams") + F.col("q_grams") - F.col("shared"))
-    return (shared.withColumn("score", ladders.rounded(similarity * weight))
+    return (shared.withColumn("score", ladders.rounded(similarity * _weight()))
             .filter(F.col("score") >= F.col("threshold"))
             .select("q_id", "field", "value_key", "score"))
 
 
-def trigram_candidates(batch: QueryBatch, index: DataFrame, docs: DataFrame) -> DataFrame:
+def trigram_candidates(batch: QueryBatch, index: DataFrame, values: DataFrame) -> DataFrame:
     """(q_id, product_id, score): best weighted field similarity, first ``depth`` per query.
 
-    The greatest field decides, so a document passes exactly when one of its
-    values does; values are matched first and joined back to the documents.
+    The greatest field decides, so a document passes exactly when one of its values does: values are matched
+    first, once, and their documents looked up in ``field_values``.
     """
-    matched = matching_values(batch, index)
+    matched = stored(matching_values(batch, index), "matched")
     table = local_table(matched)
-    terms = filtered_terms(docs, batch)
+    values = only_filtered(values, batch).drop("title_lower")
     if table is None:
-        hits = _hits_by_value(terms, matched)
+        hits = salted_join(values, matched, ["field", "value_key"], "inner", ["product_id"])
     else:
-        hits = _hits_by_row(terms, matched.sparkSession.createDataFrame(table, schema=matched.schema))
+        matched = matched.sparkSession.createDataFrame(table, schema=matched.schema)
+        keys = sorted(set(table["value_key"].to_pylist()))
+        hits = values.filter(named("value_key", keys)).join(F.broadcast(matched), ["field", "value_key"])
     about = batch.frame.select("q_id", "depth", *FILTERS)
-    rows = lookup_join(hits, about, ["q_id"], "inner", ["product_id"], batch.small)
-    best = rows.filter(passes_filters()).select("q_id", "product_id", "updated_at", "depth", "score")
-    return (top_k(best, ["q_id"], candidate_order(), batch.max_depth, ["product_id"])
-            .filter(F.col("rank") <= F.col("depth"))
-            .select("q_id", "product_id", "score"))
-
-
-HIT_COLUMNS = ["product_id", "updated_at", "sortable_price", "company_lower", "category_keys"]
-
-
-def _hits_by_row(terms: DataFrame, matched: DataFrame) -> DataFrame:
-    """One row per (q_id, product_id), made within the document's row.
-
-    Each field looks its value up once; a value brings the scores of all
-    queries it matches, and the best one per query is kept in place. A value
-    held by a large part of the documents then causes no shuffle.
-    """
-    found = matched.groupBy("field", "value_key").agg(
-        F.collect_list(F.struct("q_id", "score")).alias("scores"))
-    rows = terms
-    for name in WEIGHTS:
-        one = found.filter(F.col("field") == name).select(
-            F.col("value_key").alias(f"{name}_key"), F.col("scores").alias(f"{name}_scores"))
-        rows = rows.withColumn(f"{name}_key", F.md5(f"{name}_lower")).join(
-            F.broadcast(one), f"{name}_key", "left")
-    every = ", ".join(f"coalesce({name}_scores, array())" for name in WEIGHTS)
-    ordered = f"""array_sort(concat({every}), (a, b) -> case when a.q_id < b.q_id then -1
-        when a.q_id > b.q_id then 1 when a.score > b.score then -1
-        when a.score < b.score then 1 else 0 end)"""
-    best = "filter(scores, (x, i) -> i = 0 or scores[i - 1].q_id <> x.q_id)"
-    any_match = " or ".join(f"{name}_scores is not null" for name in WEIGHTS)
-    return (rows.filter(any_match).withColumn("scores", F.expr(ordered))
-            .selectExpr(*HIT_COLUMNS, f"inline({best})"))
-
-
-def _hits_by_value(terms: DataFrame, matched: DataFrame) -> DataFrame:
-    """The same for more matched values than may be broadcast: join and merge by shuffle."""
-    fields = terms.select(*HIT_COLUMNS, _field_values()).drop("value")
-    hits = salted_join(fields, matched, ["field", "value_key"], "inner", ["product_id"])
-    best = hits.groupBy("q_id", "product_id").agg(F.max("score").alias("score"))
-    return best.join(terms.select(*HIT_COLUMNS), "product_id")
+    return best_documents(lookup_join(hits, about, ["q_id"], "inner", ["product_id"], batch.small), batch)

@@ -17,6 +17,7 @@ from shelfseek.operators.joins import lookup_join
 from shelfseek.operators.lexical import lexical_candidates, postings
 from shelfseek.operators.suggest import suggestion_offers
 from shelfseek.operators.trigram import trigram_candidates, trigram_index
+from shelfseek.operators.values import field_values
 from shelfseek.operators.vector import semantic_candidates
 from shelfseek.sources.tables import stored
 
@@ -35,21 +36,23 @@ class SearchIndex:
     postings: DataFrame
     trigrams: DataFrame
     offers: DataFrame
+    values: DataFrame
 
     @staticmethod
     def over(documents: DataFrame, embeddings: DataFrame, fold_accents: bool = False
              ) -> SearchIndex:
         return SearchIndex(documents, embeddings, postings(documents),
-                           trigram_index(documents, fold_accents), suggestion_offers(documents))
+                           trigram_index(documents, fold_accents), suggestion_offers(documents),
+                           field_values(documents, fold_accents))
 
 
 def candidates(batch: QueryBatch, index: SearchIndex) -> DataFrame:
     """Scores of all sources merged to one row per (q_id, product_id)."""
     docs = index.documents
     sources = [
-        lambda: exact_candidates(batch, docs),
+        lambda: exact_candidates(batch, index.values),
         lambda: lexical_candidates(batch, index.postings, docs),
-        lambda: trigram_candidates(batch, index.trigrams, docs),
+        lambda: trigram_candidates(batch, index.trigrams, index.values),
         lambda: semantic_candidates(batch, docs, index.embeddings),
     ]
     # Sources look at small intermediate results while they are planned; side by side.

@@ -204,7 +204,7 @@ def filter_documents(spark, d):
 
 
 def exact_candidates(spark, d):
-    return exact.exact_candidates(_batch(spark, d), search_index(spark, d).documents)
+    return exact.exact_candidates(_batch(spark, d), search_index(spark, d).values)
 
 
 def postings(spark, d):
@@ -249,7 +249,7 @@ def lexical_phrases(spark, d):
 
 def trigram_candidates(spark, d):
     index = search_index(spark, d)
-    return trigram.trigram_candidates(_batch(spark, d), index.trigrams, index.documents)
+    return trigram.trigram_candidates(_batch(spark, d), index.trigrams, index.values)
 
 
 def semantic_candidates(spark, d):
@@ -509,7 +509,7 @@ def suggestions(spark, d):
 def suggestions_fallback(spark, d):
     normalized = filters.normalize_queries(_prefixed_queries(spark, d))
     index = search_index(spark, d)
-    found = exact.exact_candidates(filters.query_batch(normalized), index.documents)
+    found = exact.exact_candidates(filters.query_batch(normalized), index.values)
     return suggest.fallback_suggestions(normalized, found, index.offers)
 
 

@@ -8,7 +8,8 @@ segments, each without the ids that later ones drop. Once the later segments
 have dropped a stated share of the first, or are many, all are merged into one.
 
 All segments are bucketed alike on the product id, and dropped ids meet rows by
-broadcast if few, by bucket otherwise, so that reading moves no row.
+broadcast if few, by bucket otherwise, so that reading moves no row. Grams, offers and
+field values are sorted by what is looked up; of field values only those looked up move.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfseek.operators.lexical import postings
 from shelfseek.operators.suggest import suggestion_offers
 from shelfseek.operators.trigram import trigram_index
+from shelfseek.operators.values import field_values
 from shelfseek.plans.hybrid import SearchIndex
 from shelfseek.sources.tables import open_bucketed, stored, write_bucketed, write_sorted
 
@@ -103,6 +105,7 @@ def _write_segment(path: str, buckets: int, fold_accents: bool, documents: DataF
     _write(postings(docs), path, "postings", buckets)
     write_sorted(grams, f"{path}/trigrams", "gram", "value_key")
     write_sorted(offers, f"{path}/offers", "key", "suggestion")
+    write_sorted(field_values(docs, fold_accents), f"{path}/values", "value_key", "product_id")
     gone = _write(dropped, path, "dropped", buckets).agg(
         F.count("*"), F.coalesce(F.sum(F.octet_length("product_id")), F.lit(0))).first()
     return Segment(0, path, buckets, docs.count() if first else 0, gone[0], gone[1], fold_accents)
@@ -139,7 +142,8 @@ def _live(spark: SparkSession, segments: list[Segment], kind: str, flag: str) ->
     """Rows of all segments, each without the ids that later ones drop."""
     parts = []
     for i, segment in enumerate(segments):
-        rows, later = _table(spark, segment, kind), [s for s in segments[i + 1:] if s.dropped]
+        rows = _table(spark, segment, kind) if kind in ORDERS else spark.read.parquet(f"{segment.path}/{kind}")
+        later = [s for s in segments[i + 1:] if s.dropped]
         if later:
             keys = reduce(DataFrame.unionByName, [
                 _table(spark, s, "dropped").filter(flag).select("product_id") for s in later])
@@ -160,7 +164,8 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> SearchIn
         _live(spark, segments, "documents", "document"), _live(spark, segments, "embeddings", "vector"),
         _live(spark, segments, "postings", "document"),
         # A value is cut up in the first segment that has it; values that no document holds match none.
-        spark.read.parquet(*[f"{p}/trigrams" for p in paths]), offers.select("suggestion", "priority", "key"))
+        spark.read.parquet(*[f"{p}/trigrams" for p in paths]), offers.select("suggestion", "priority", "key"),
+        _live(spark, segments, "values", "document"))
 
 
 # ---- changes

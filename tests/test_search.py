@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Window, functions as F
 
 from shelfseek import schema
-from shelfseek.operators import exact, filters, joins, lexical, trigram, vector
+from shelfseek.operators import exact, filters, joins, lexical, trigram, values, vector
 from shelfseek.plans import hybrid
 
 # Encoders below travel to the workers by value.
@@ -200,7 +200,7 @@ def as_rows(df):
 def test_trigrams_equal_all_pairs(spark):
     docs = random_catalogue(spark)
     b = batch(spark, TEXTS)
-    got = as_rows(trigram.trigram_candidates(b, trigram.trigram_index(docs), docs))
+    got = as_rows(trigram.trigram_candidates(b, trigram.trigram_index(docs), values.field_values(docs)))
     from shelfseek.functions.text import trigram_similarity
     pairs = filters.document_terms(docs).crossJoin(b.frame.select("q_id", "normalized", "threshold"))
     score = F.greatest(*[trigram_similarity(F.col(f"{n}_lower"), F.col("normalized")) * w
@@ -337,7 +337,7 @@ def test_exact_ladder_first_hit_wins(spark):
         {"title": "x", "company": "ACME", "leaf_category_title": "acme"},
         {"title": None, "company": None, "subcategory_slug": "acme"}, {"title": "tool"}])
     got = {r["product_id"]: r["score"] for r in
-           exact.exact_candidates(batch(spark, ["Acme"]), docs).collect()}
+           exact.exact_candidates(batch(spark, ["Acme"]), values.field_values(docs)).collect()}
     assert got == {"0": 0.92, "1": 0.75, "2": 0.6, "3": 0.5}
 
 
@@ -402,3 +402,40 @@ def test_queries_are_encoded_and_failures_are_null(spark):
     found = hybrid.encoded_search(queries, hybrid.SearchIndex.over(docs, embeddings), PickyEncoder).collect()
     semantic = {q: any(r["semantic_score"] > 0 for r in found if r["q_id"] == q) for q in ("q0", "q2", "q3")}
     assert semantic == {"q0": True, "q2": False, "q3": True}
+
+
+def test_exact_candidates_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["a", "ab", "abc", "abcd", "abcd e", "abcd efgh", "abcd efgh i", "tool", "5", ""]
+    docs = documents(spark, [dict(zip(("title", "company", "category_title", "leaf_category_slug"),
+                                      [words[k] for k in rng.integers(0, len(words), 4)])) for _ in range(60)])
+    b = batch(spark, [w for w in words if w] + ["abcd ef", "abcd efgh i j"])
+    terms = {r["product_id"]: r for r in filters.document_terms(docs).collect()}
+    want = []
+    for q in b.frame.collect():
+        for p, t in terms.items():
+            scores = [s for f, s in exact.FIELD_SCORES.items() if (
+                t["title_lower"].startswith(q["normalized"]) if f == values.TITLE_PREFIX
+                else t[f"{f}_lower"] == q["normalized"])]
+            want += [(q["q_id"], p, max(scores))] if scores else []
+    assert as_rows(exact.exact_candidates(b, values.field_values(docs))) == sorted(want) and want
+    monkeypatch.setattr(exact, "MAX_PUSHED_KEYS", 0)
+    assert as_rows(exact.exact_candidates(b, values.field_values(docs))) == sorted(want)
+
+
+def test_exact_candidates_read_named_keys_and_no_documents(spark, index):
+    plan = exact.exact_candidates(batch(spark, ["red plate"]), index.values)._jdf.queryExecution().toString()
+    scans = [line for line in plan.split("== Physical Plan ==")[1].splitlines() if "FileScan" in line]
+    assert scans and all("EqualTo(value_key," in line and "lexical_title" not in line for line in scans)
+
+
+def test_frequent_grams_are_not_paired(spark):
+    docs = documents(spark, [{"title": f"common words {w}"} for w in ("zebra", "quilt", "ivory")]
+                     + [{"title": f"common words {i}"} for i in range(200)])
+    b, grams = batch(spark, ["common words zebra"]), trigram.trigram_index(docs)
+    asked = trigram._asked_grams(b, grams)
+    pairs = trigram.similar_pairs(b, grams, asked)
+    met = grams.join(asked.filter(F.col("place") <= trigram._looked_up(F.lit(1.0))), "gram")
+    assert met.count() < grams.join(asked, "gram").count() * 0.8
+    similar = trigram.matching_values(b, grams).select("q_id", "field", "value_key")
+    assert similar.exceptAll(pairs).isEmpty() and not similar.isEmpty()
