@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfseek.functions import text
-from shelfseek.operators.joins import local_table, lookup_join
+from shelfseek.operators.joins import local_table, lookup_join, top_k
 
 # Page sizes and how deep each source looks.
 DEFAULT_SIZE, MAX_SIZE = 20, 60
@@ -20,6 +20,8 @@ QUERY_DDL = ("q_id string, raw string, platform string, category string, shop st
              "min_price double, max_price double, sort string, page int, size int, "
              "q_embedding array<float>")
 FILTERS = ["f_category", "f_shop", "f_min", "f_max"]
+#: Bins of prices that price filters are looked up in.
+PRICE_BINS = 256
 
 
 def normalize_queries(queries: DataFrame, default_size: int = DEFAULT_SIZE,
@@ -159,27 +161,78 @@ def filtered_terms(docs: DataFrame, batch: QueryBatch) -> DataFrame:
     return terms
 
 
+def price_bounds(terms: DataFrame, bins: int = PRICE_BINS) -> list[float]:
+    """Prices that cut the documents into about equally large bins; at most ``bins - 1`` numbers."""
+    shares = [i / bins for i in range(1, bins)]
+    found = terms.agg(F.percentile_approx(F.col("sortable_price").cast("double"), shares, 100 * bins)).first()[0]
+    return sorted(set(found or []))
+
+
+def _bin(price: Column, bounds: list[float]) -> Column:
+    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.expr("cast(array() as array<double>)")
+    return F.size(F.filter(edges, lambda edge: edge <= price))
+
+
+def distinct_filters(queries: DataFrame) -> DataFrame:
+    """(filters, ``FILTERS``): the different filters of a batch, each with a text of its own."""
+    return queries.select(*FILTERS).distinct().select(F.to_json(F.struct(*FILTERS)).alias("filters"), *FILTERS)
+
+
+def documents_of_filters(terms: DataFrame, asked: DataFrame, small: bool) -> DataFrame:
+    """(filters, product_id, updated_at) for every document that passes each of the ``distinct_filters``.
+
+    A filter is looked up by its category, else by its shop, else by the bins that its price range touches, so
+    that documents meet only filters which they may pass. The one filter that asks for nothing takes all.
+    """
+    bounds = price_bounds(terms)
+    price = F.col("sortable_price").cast("double")
+
+    def entry(by, key):
+        return F.struct(F.lit(by).alias("by"), key.alias("key"))
+
+    binned = F.when(price.isNotNull(), _bin(price, bounds).cast("string"))
+    offers = F.concat(F.transform(F.array_distinct("category_keys"), lambda k: entry("category", k)),
+                      F.array(entry("shop", F.col("company_lower"))), F.array(entry("price", binned)))
+    offered = terms.select("product_id", "updated_at", "sortable_price", "company_lower", "category_keys",
+                           F.inline(offers)).filter(F.col("key") != "")
+    low = F.when(F.col("f_min").isNotNull(), _bin(F.col("f_min"), bounds)).otherwise(0)
+    high = F.when(F.col("f_max").isNotNull(), _bin(F.col("f_max"), bounds)).otherwise(len(bounds))
+    ranged = F.when(low <= high, F.transform(F.sequence(low, high), lambda i: entry("price", i.cast("string"))))
+    free = F.coalesce(*[F.col(c).cast("string") for c in FILTERS]).isNull()
+    keyed = asked.filter(~free).select("filters", *FILTERS, F.inline(
+        F.when(F.col("f_category").isNotNull(), F.array(entry("category", F.col("f_category"))))
+        .when(F.col("f_shop").isNotNull(), F.array(entry("shop", F.col("f_shop")))).otherwise(ranged)))
+    met = lookup_join(offered, keyed, ["by", "key"], "inner", ["product_id"], small).filter(passes_filters())
+    columns = ["filters", "product_id", "updated_at"]
+    if asked.filter(free).isEmpty():
+        return met.select(*columns)
+    everything = terms.withColumn("filters", F.lit("{}"))
+    return met.select(*columns).unionByName(everything.select(*columns))
+
+
 def filter_documents(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q_id, product_id) for every document that passes each query's filters.
+    """(q_id, product_id) for every document that passes each query's filters."""
+    batch = query_batch(queries)
+    hits = documents_of_filters(filtered_terms(docs, batch), distinct_filters(batch.frame), batch.small)
+    asking = batch.frame.select("q_id", F.to_json(F.struct(*FILTERS)).alias("filters"))
+    return lookup_join(hits, asking, ["filters"], "inner", ["product_id"], batch.small).select("q_id", "product_id")
+
+
+def filter_pages(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(q_id, total, first): how many documents pass each query's filters, and the ids of the newest ``k``.
 
-    A category or shop filter is an equi-join on the lower-cased key; queries
-    without either meet the documents through a repeated query id.
+    Equal filters are answered once. Neither the counts nor the first documents list the pairs of queries and
+    documents: tasks add up their own hits, and keep the first ``k`` of a filter.
     """
     batch = query_batch(queries)
-    terms = filtered_terms(docs, batch)
-    keyed = terms.withColumn("f_category", F.explode(F.array_distinct(F.filter(
-        "category_keys", lambda k: k != ""))))
-    by_category = batch.frame.filter("f_category is not null")
-    by_shop = batch.frame.filter("f_category is null and f_shop is not null")
-    others = batch.frame.filter("f_category is null and f_shop is null")
-    parts = [
-        lookup_join(keyed, by_category, ["f_category"], "inner", ["product_id"], batch.small),
-        lookup_join(terms.withColumn("f_shop", F.col("company_lower")), by_shop, ["f_shop"],
-                    "inner", ["product_id"], batch.small),
-        with_every_query(terms, others, batch.small),
-    ]
-    hits = [p.filter(passes_filters()).select("q_id", "product_id") for p in parts]
-    return hits[0].unionByName(hits[1]).unionByName(hits[2])
+    hits = documents_of_filters(filtered_terms(docs, batch), distinct_filters(batch.frame), batch.small)
+    newest = [F.col("updated_at").desc_nulls_last(), F.col("product_id").asc()]
+    first = top_k(hits, ["filters"], newest, k, ["product_id"]).groupBy("filters").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "product_id"))), lambda r: r["product_id"]), ",").alias("first"))
+    found = hits.groupBy("filters").agg(F.count("*").alias("total")).join(first, "filters")
+    asking = batch.frame.select("q_id", F.to_json(F.struct(*FILTERS)).alias("filters"))
+    return asking.join(found, "filters", "left").select(
+        "q_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("first", F.lit("")).alias("first"))
 
 
 def with_every_query(terms: DataFrame, queries: DataFrame, small: bool) -> DataFrame:

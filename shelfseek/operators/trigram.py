@@ -79,7 +79,9 @@ def matching_values(batch: QueryBatch, index: DataFrame) -> DataFrame:
     """
     if batch.small and len(batch.grams) <= MAX_PUSHED_GRAMS:
         index = index.filter(named("gram", batch.grams))
-    asked = stored(_asked_grams(batch, index), "grams")
+    asked = _asked_grams(batch, index)
+    # A batch that is not small may still become so, and a small one's grams may be many.
+    asked = (localize(asked) if batch.small else None) or stored(asked, "grams")
     pairs = stored(similar_pairs(batch, index, asked), "pairs")
     held = lookup_join(index, pairs, ["field", "value_key"], "inner", ["gram"])
     shared = (lookup_join(held, asked.drop("place"), ["q_id", "gram"], "inner", ["value_key", "field"], batch.small)

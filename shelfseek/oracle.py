@@ -186,6 +186,13 @@ PARTS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT p_name AS raw FROM part UNION SELECT p_brand FROM part UNION
               SELECT p_type FROM part UNION SELECT n_name FROM nation UNION
               SELECT r_name FROM region)"""),
+    "asked_prices": (["docs"], """
+        SELECT product_id AS q_id, 'x' AS raw,
+               CASE WHEN CAST(product_id AS BIGINT) % 3 = 0 THEN category_title END AS category,
+               CASE WHEN CAST(product_id AS BIGINT) % 5 = 0 THEN company END AS shop,
+               CASE WHEN CAST(product_id AS BIGINT) % 7 <> 0 THEN sortable_price - 50e0 END AS min_price,
+               CASE WHEN CAST(product_id AS BIGINT) % 7 < 6 THEN sortable_price + 50e0 END AS max_price,
+               NULL::VARCHAR AS sort, 0 AS page, 20 AS size, NULL::INTEGER AS label FROM docs"""),
     "fields": (["docs"], """
         SELECT product_id, updated_at, sortable_price, lower(product_id) AS id_lower,
                lower(coalesce(title, '')) AS title_lower,
@@ -587,6 +594,12 @@ def oracle_sql() -> dict[str, str]:
                                    AS size FROM conversations))""",
         "filter_documents": _search(embedded=False, roots=("filtered",),
                                     select="SELECT q_id, product_id FROM filtered"),
+        "filter_pages": _search("asked_prices", embedded=False, roots=("filtered",), select="""
+            SELECT q.q_id, coalesce(total, 0) AS total, coalesce(first, '') AS first FROM queries q LEFT JOIN (
+                SELECT q_id, max(total) AS total, string_agg(product_id, ',' ORDER BY rank) AS first FROM (
+                    SELECT q_id, product_id, count(*) OVER (PARTITION BY q_id) AS total, row_number() OVER (
+                        PARTITION BY q_id ORDER BY updated_at DESC NULLS LAST, product_id) AS rank FROM filtered)
+                WHERE rank <= 20 GROUP BY q_id) f ON f.q_id = q.q_id WHERE NOT q.blank"""),
         "exact_candidates": _search(embedded=False, roots=("exact",),
                                     select="SELECT q_id, product_id, score FROM exact"),
         "postings": assemble("SELECT product_id, term, pos, weight FROM postings", PARTS, "postings"),

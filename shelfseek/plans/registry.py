@@ -203,6 +203,20 @@ def filter_documents(spark, d):
                                     search_index(spark, d).documents)
 
 
+def filter_pages(spark, d):
+    """Every product asks for those of a like price, some also for its category or its shop."""
+    docs, none, number = search_index(spark, d).documents, F.lit(None), F.col("product_id").cast("long")
+    price = F.col("sortable_price").cast("double")
+    asked = docs.select(
+        F.col("product_id").alias("q_id"), F.lit("x").alias("raw"),
+        F.when(number % 3 == 0, F.col("category_title")).alias("category"),
+        F.when(number % 5 == 0, F.col("company")).alias("shop"),
+        F.when(number % 7 != 0, price - 50.0).alias("min_price"), F.when(number % 7 < 6, price + 50.0).alias("max_price"),
+        none.cast("string").alias("sort"), F.lit(0).alias("page"), F.lit(20).alias("size"),
+        none.cast("array<float>").alias("q_embedding"))
+    return filters.filter_pages(filters.normalize_queries(asked), docs, 20)
+
+
 def exact_candidates(spark, d):
     return exact.exact_candidates(_batch(spark, d), search_index(spark, d).values)
 
@@ -708,7 +722,7 @@ def conform_details(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     latest_detail, latest_scrape, build_documents, sync_documents, sync_status, stream_sync, hybrid_streamed,
-    delete_documents, vector_codec, normalize_queries, filter_documents, exact_candidates,
+    delete_documents, vector_codec, normalize_queries, filter_documents, filter_pages, exact_candidates,
     postings, article_postings, lexical_candidates, lexical_passages, lexical_phrases, trigram_candidates,
     semantic_candidates, hybrid_page2, hybrid_filtered, hybrid_no_embedding, hybrid_updated, hybrid_batch, hybrid_encoded,
     similar_products, similar_page2, similar_all_pairs, similar_count, similarity_bands,

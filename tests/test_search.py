@@ -439,3 +439,29 @@ def test_frequent_grams_are_not_paired(spark):
     assert met.count() < grams.join(asked, "gram").count() * 0.8
     similar = trigram.matching_values(b, grams).select("q_id", "field", "value_key")
     assert similar.exceptAll(pairs).isEmpty() and not similar.isEmpty()
+
+
+FILTER_ROWS = [(None, None, None, None), (None, None, 20.0, 60.0), (None, None, 20.0, 60.0), (None, None, None, 30.0),
+               (None, None, 90.0, None), (None, None, 60.0, 20.0), ("garden", None, 10.0, None), (None, "acme", None, 50.0),
+               ("kitchen", "acme", None, None), ("nothing", None, None, None), (None, None, float("nan"), None)]
+
+
+@pytest.mark.parametrize("small, bins", [(True, 256), (True, 3), (False, 1)])
+def test_filters_equal_all_pairs(spark, monkeypatch, small, bins):
+    docs = random_catalogue(spark)
+    monkeypatch.setattr(filters.price_bounds, "__defaults__", (bins,))
+    if not small:
+        large(monkeypatch)
+    rows = [(f"q{i}", "xx", *f) for i, f in enumerate(FILTER_ROWS)]
+    names = ["q_id", "raw", "category", "shop", "min_price", "max_price"]
+    queries = filters.normalize_queries(spark.createDataFrame([tuple((dict.fromkeys(QUERY) | dict(zip(names, r)))[c]
+                                                                     for c in QUERY) for r in rows], filters.QUERY_DDL))
+    pairs = filters.document_terms(docs).crossJoin(queries).filter(filters.passes_filters())
+    want = pairs.select("q_id", "product_id", "updated_at").collect()
+    assert as_rows(filters.filter_documents(queries, docs)) == sorted((r["q_id"], r["product_id"]) for r in want)
+    got = {r["q_id"]: (r["total"], r["first"]) for r in filters.filter_pages(queries, docs, 4).collect()}
+    for q, *_ in rows:
+        mine = sorted((r for r in want if r["q_id"] == q), key=lambda r: (
+            r["updated_at"] is None, -(r["updated_at"].timestamp() if r["updated_at"] else 0), r["product_id"]))
+        assert got[q] == (len(mine), ",".join(r["product_id"] for r in mine[:4]))
+    assert len(want) > 80 and any(n == 0 for n, _ in got.values())
