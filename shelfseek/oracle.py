@@ -187,7 +187,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
               SELECT p_type FROM part UNION SELECT n_name FROM nation UNION
               SELECT r_name FROM region)"""),
     "asked_prices": (["docs"], """
-        SELECT product_id AS q_id, 'x' AS raw,
+        SELECT product_id AS q_id, 'anything' AS raw,
                CASE WHEN CAST(product_id AS BIGINT) % 3 = 0 THEN category_title END AS category,
                CASE WHEN CAST(product_id AS BIGINT) % 5 = 0 THEN company END AS shop,
                CASE WHEN CAST(product_id AS BIGINT) % 7 <> 0 THEN sortable_price - 50e0 END AS min_price,

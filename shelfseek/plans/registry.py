@@ -208,7 +208,7 @@ def filter_pages(spark, d):
     docs, none, number = search_index(spark, d).documents, F.lit(None), F.col("product_id").cast("long")
     price = F.col("sortable_price").cast("double")
     asked = docs.select(
-        F.col("product_id").alias("q_id"), F.lit("x").alias("raw"),
+        F.col("product_id").alias("q_id"), F.lit("anything").alias("raw"),
         F.when(number % 3 == 0, F.col("category_title")).alias("category"),
         F.when(number % 5 == 0, F.col("company")).alias("shop"),
         F.when(number % 7 != 0, price - 50.0).alias("min_price"), F.when(number % 7 < 6, price + 50.0).alias("max_price"),
