@@ -465,3 +465,22 @@ def test_filters_equal_all_pairs(spark, monkeypatch, small, bins):
             r["updated_at"] is None, -(r["updated_at"].timestamp() if r["updated_at"] else 0), r["product_id"]))
         assert got[q] == (len(mine), ",".join(r["product_id"] for r in mine[:4]))
     assert len(want) > 80 and any(n == 0 for n, _ in got.values())
+
+
+def test_filter_pages_list_no_pairs(spark, monkeypatch):
+    """Bounds between two cents and beyond all prices, documents of one price, and no meeting of pairs."""
+    from decimal import Decimal
+    docs = documents(spark, [{"sortable_price": p and Decimal(p), "company": c, "updated_at": None} for p, c in (
+        [("0.29", "Acme")] * 50 + [("0.30", "Acme"), ("-3.10", ""), ("77.77", "Acme"), (None, "Acme"), ("9999999999.99", None)])])
+    bounds = [(0.29, 0.29), (0.291, 0.3), (0.2899999, None), (None, -3.1), (float("-inf"), float("inf")), (None, float("nan")),
+              (None, None), (1e300, None), (-0.5, 77.77), (0.3, 0.29)]
+    rows = [(f"q{i}{s}", low, high, s) for i, (low, high) in enumerate(bounds) for s in ("acme", None)]
+    queries = filters.normalize_queries(spark.createDataFrame([tuple((dict.fromkeys(QUERY) | {
+        "q_id": q, "raw": "xx", "min_price": low, "max_price": high, "shop": s})[c] for c in QUERY)
+        for q, low, high, s in rows], filters.QUERY_DDL))
+    want = {r[0]: r[1] for r in filters.document_terms(docs).crossJoin(queries).filter(filters.passes_filters())
+            .groupBy("q_id").count().collect()}
+    met = []
+    monkeypatch.setattr(filters, "documents_of_filters", lambda *a: met.append(a))
+    got = {r["q_id"]: r["total"] for r in filters.filter_pages(queries, docs, 3).collect()}
+    assert not met and got == {q: want.get(q, 0) for q, *_ in rows}
