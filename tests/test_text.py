@@ -87,3 +87,10 @@ def test_thresholds_and_titles(spark):
 def test_fixture_queries_cover_blank_ones(spark, sf):
     blank = {r["q_id"] for r in normalize_queries(fx.queries(spark, sf, False)).filter("blank").collect()}
     assert blank == {"q10", "q11", "q12"}
+
+
+def test_fold_works_a_text_over_once(spark):
+    assert str(text.fold(F.col("t"))).count("translate(") == 1
+    rows = [("plain ASCII-text",), ("Ǽther Straße ŁÓDŹ e\u0301 ÞØ",), ("",), (None,), ("a\u0301\u0301 b",)]
+    got = spark.createDataFrame(rows, "t string").select(text.fold(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["plain ASCII-text", "AEther Strasse LODZ e THO", "", None, "a b"]
