@@ -20,6 +20,8 @@ FAMILIES = 4
 SIZE = FAMILIES << BITS
 #: Shares are small numbers; this makes a typical feature's value about one.
 SCALE = 20.0
+#: Features whose products a step of the fit holds at once.
+BLOCK_FEATURES = 1 << 18
 
 
 def _bucket(hashes: np.ndarray, family: int) -> np.ndarray:
@@ -115,7 +117,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int
         steps: int = 120, rate: float = 0.1, decay: float = 1e-4) -> Logistic:
     """Logistic regression over sparse rows by full gradients with adaptive steps.
 
-    Both classes weigh the same in sum. The rows are those of a bounded sample.
+    Both classes weigh the same in sum. The rows are those of a bounded sample; of what a step computes only
+    blocks of rows are held, added up in the order of the rows.
     """
     y = labels.astype(np.float64)
     lengths = np.array([len(a) for a, _ in rows])
@@ -124,14 +127,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int
     present = np.bincount(at, minlength=size) > 0
     used = np.flatnonzero(present)
     at = (np.cumsum(present, dtype=np.int32) - 1)[at]
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    cuts = [0]
+    while cuts[-1] < len(rows):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + BLOCK_FEATURES, "right")) - 1))
+    blocks = [(a, b, slice(int(ends[a]), int(ends[b])), np.repeat(np.arange(b - a, dtype=np.int32), lengths[a:b]))
+              for a, b in zip(cuts, cuts[1:])]
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, steps + 1):
-        score = np.bincount(row, w.astype(np.float32)[at] * value, len(rows)) + b
-        error = (sigmoid(score) - y) * share
-        g = np.bincount(at, error.astype(np.float32)[row] * value, len(used)) + decay * w
+        light, score = w.astype(np.float32), np.zeros(len(rows))
+        for a, z, part, row in blocks:
+            score[a:z] = np.bincount(row, light[at[part]] * value[part], z - a)
+        error = (sigmoid(score + b) - y) * share
+        light, g = error.astype(np.float32), np.zeros(len(used))
+        for a, z, part, row in blocks:
+            np.add.at(g, at[part], (light[a:z][row] * value[part]).astype(np.float64))
+        g += decay * w
         gb = float(error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from shelfseek.llm import linear, text as tx
@@ -113,10 +114,11 @@ def sparse_rows(sample: DataFrame) -> pa.Table:
 
 
 def unpack(table: pa.Table) -> tuple[list, np.ndarray]:
-    table = table.sort_by([("doc_id", "ascending")])
-    rows = [(np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4")) for a, v in zip(
-        table["at"].to_pylist(), table["value"].to_pylist())]
-    return rows, np.array(table["_label"].to_pylist(), np.int64)
+    order = pc.sort_indices(table, [("doc_id", "ascending")]).to_pylist()
+    # Views of what was collected, not copies.
+    at, value = table["at"], table["value"]
+    rows = [(np.frombuffer(at[i].as_buffer(), "<i4"), np.frombuffer(value[i].as_buffer(), "<f4")) for i in order]
+    return rows, np.array(table["_label"].to_pylist(), np.int64)[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
