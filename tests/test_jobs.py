@@ -369,3 +369,18 @@ def test_json_bodies(spark, sf):
 def test_fixture_documents_are_unique(spark, sf):
     docs = fx.documents(spark, sf)
     assert docs.count() == docs.select("product_id").distinct().count()
+
+
+def test_documents_of_many_ids_copy_no_id(spark, sf, monkeypatch):
+    """Many ids give the documents that few give, and are not repeated to meet the details."""
+    from shelfseek import fixtures as fx
+    from shelfseek.operators import documents, joins
+
+    tables = (fx.products(spark, sf), fx.product_details(spark, sf), *fx.taxonomy(spark, sf))
+    ids = spark.createDataFrame([("3",), ("7",), ("7",), (None,), ("nowhere",)], "product_id string")
+    few = sorted(documents.documents_for(ids, *tables).collect(), key=str)
+    for module in (documents, joins):
+        monkeypatch.setattr(module, "are_small", lambda *frames, **_: [len(frames) > 1] * len(frames))
+    many = documents.documents_for(ids, *tables)
+    assert sorted(many.collect(), key=str) == few and len(few) == 2
+    assert "sequence(0, 31" not in many._jdf.queryExecution().toString()
