@@ -15,6 +15,8 @@ one by one. Empty tables give no rows.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,8 +99,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int =
         "doc_id", *[F.col("least")[c].alias(c) for c in others])
 
 
-def sparse_rows(sample: DataFrame) -> pa.Table:
-    """Hashed features of the sample's texts, collected; the sample is bounded."""
+def sparse_rows(sample: DataFrame) -> DataFrame:
+    """Hashed features of the sample's texts."""
     def featurize(batches):
         for batch in tx.pieces(batches, "text"):
             rows = linear.TextBatch(batch.column("text")).sparse()
@@ -110,7 +112,7 @@ def sparse_rows(sample: DataFrame) -> pa.Table:
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     return tx.mapped(sample.select("doc_id", "_label", "text"), featurize,
-                     f"doc_id {kind}, _label int, at binary, value binary").toArrow()
+                     f"doc_id {kind}, _label int, at binary, value binary")
 
 
 def unpack(table: pa.Table) -> tuple[list, np.ndarray]:
@@ -124,8 +126,18 @@ def unpack(table: pa.Table) -> tuple[list, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
           limit: int = MAX_LABELLED) -> linear.Logistic | None:
     """The calibrated classifier, or None without labels of both classes."""
-    rows, y = unpack(sparse_rows(labelled_sample(docs, labels, label, limit)))
-    return fit_calibrated(rows, y, linear.SIZE)
+    def fitted(batches):
+        batches = list(batches)
+        model = None
+        if batches:
+            rows, y = unpack(pa.Table.from_batches(batches))
+            model = fit_calibrated(rows, y, linear.SIZE)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The bounded sample meets in one task, and the model alone comes to the driver.
+    sample = sparse_rows(labelled_sample(docs, labels, label, limit)).repartition(1)
+    found = tx.mapped(sample, fitted, "model binary").first()
+    return None if found is None else pickle.loads(found["model"])
 
 
 def fit_calibrated(rows: list, y: np.ndarray, size: int) -> linear.Logistic | None:

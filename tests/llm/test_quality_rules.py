@@ -3,8 +3,9 @@
 import tracemalloc
 
 import numpy as np
+from pyspark.sql.classic.dataframe import DataFrame
 
-from shelfseek.llm import linear
+from shelfseek.llm import linear, quality_rules
 
 
 def test_fit_holds_blocks_of_products(monkeypatch):
@@ -21,3 +22,22 @@ def test_fit_holds_blocks_of_products(monkeypatch):
     monkeypatch.setattr(linear, "BLOCK_FEATURES", 1 << 40)
     whole = linear.fit(rows, y, steps=2)
     assert np.array_equal(whole.weights, model.weights) and whole.bias == model.bias
+
+
+def test_fit_leaves_the_features_in_a_task(spark, docs_of, no_docs, monkeypatch):
+    """The driver gets the model alone, the same one as from collected features."""
+    docs = docs_of([f"{'good plain words' if i % 2 else 'bad # $ % noise'} of text {i}" for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows, y = quality_rules.unpack(quality_rules.sparse_rows(
+        quality_rules.labelled_sample(docs, labels, "quality")).toArrow())
+    want = quality_rules.fit_calibrated(rows, y, linear.SIZE)
+
+    def refused(self):
+        raise AssertionError("collected")
+
+    monkeypatch.setattr(DataFrame, "toArrow", refused)
+    model = quality_rules.train(docs, labels)
+    assert np.array_equal(model.weights, want.weights)
+    assert (model.bias, model.slope, model.shift) == (want.bias, want.slope, want.shift)
+    assert quality_rules.train(docs, labels.filter("quality = 1")) is None
+    assert quality_rules.train(no_docs, labels) is None
