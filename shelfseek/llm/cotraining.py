@@ -42,6 +42,17 @@ _NAMES, _LEVELS = 128, 32
 #: Buckets of the metadata view: two hashed names, three sizes, six shares.
 META_SIZE = 2 * _NAMES + 9 * _LEVELS
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of text scored at once, so that what a step computes stays in a core's cache.
+PIECE = 1 << 16
+
+#: Kinds of bytes that the metadata view counts, each byte being of one kind.
+_OTHER, _NEWLINE, _SPACE, _UPPER, _DIGIT, _SYMBOL, _PUNCTUATION, _BEYOND = range(8)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[tx.SPACES] = _SPACE
+_KINDS[10] = _NEWLINE
+_KINDS[33:127] = _PUNCTUATION
+_KINDS[rules.SYMBOLS] = _SYMBOL
+_KINDS[65:91], _KINDS[48:58], _KINDS[97:123], _KINDS[128:] = _UPPER, _DIGIT, _OTHER, _BEYOND
 
 
 def _name(value, base: int) -> int:
@@ -50,20 +61,21 @@ def _name(value, base: int) -> int:
 
 def meta_features(batch: pa.RecordBatch, texts: linear.TextBatch) -> np.ndarray:
     """The buckets of each row, one per measure."""
-    buf, offsets = texts.buf, texts.offsets
-    count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
-    size = np.maximum(np.diff(offsets), 1)
+    sizes = np.diff(texts.offsets)
+    size = np.maximum(sizes, 1)
+    # How many bytes of each kind a row holds.
+    cells = np.repeat(np.arange(0, 8 * len(sizes), 8), sizes)
+    cells += _KINDS.take(texts.buf)
+    held = np.bincount(cells, minlength=8 * len(sizes)).reshape(-1, 8)
+    count = lambda *kinds: sum(held[:, k] for k in kinds)
     chars = np.array([-1 if v is None else v for v in batch.column("n_chars").to_pylist()], np.float64)
-    lines = count(buf == 10) + 1
+    lines = count(_NEWLINE) + 1
     words = np.maximum(np.diff(texts.first), 1)
     level = lambda x: np.clip(np.log2(np.maximum(x, 0) + 1), 0, _LEVELS - 1).astype(np.int64)
-    share = lambda flags: np.clip(count(flags) / size * 60, 0, _LEVELS - 1).astype(np.int64)
-    upper, digit = (buf >= 65) & (buf <= 90), (buf >= 48) & (buf <= 57)
-    lower = (buf >= 97) & (buf <= 122)
-    other = (buf > 32) & (buf < 127) & ~upper & ~digit & ~lower
+    share = lambda *kinds: np.clip(count(*kinds) / size * 60, 0, _LEVELS - 1).astype(np.int64)
     measures = [np.where(chars < 0, 0, level(chars)), level(lines), level(words / lines),
-                share(upper), share(digit), share(other), share(rules.SYMBOLS[buf]), share(buf >= 128),
-                share(tx.SPACES[buf])]
+                share(_UPPER), share(_DIGIT), share(_SYMBOL, _PUNCTUATION), share(_SYMBOL), share(_BEYOND),
+                share(_NEWLINE, _SPACE)]
     out = np.empty((batch.num_rows, 2 + len(measures)), np.int32)
     out[:, 0] = [_name(v, 0) for v in batch.column("lang").to_pylist()]
     out[:, 1] = [_name(v, _NAMES) for v in batch.column("source").to_pylist()]
@@ -141,11 +153,14 @@ def _score(docs: DataFrame, models: Models, carry: list[str]) -> DataFrame:
     def judge(batches):
         models: Models = shared.value
         for batch in tx.pieces(batches, "_in_text"):
-            texts = linear.TextBatch(batch.column("_in_text"))
-            view = pa.RecordBatch.from_arrays([batch.column(c) for c in inner[1:]], names=[c[4:] for c in inner[1:]])
-            buckets = meta_features(view, texts)
-            meta = models.meta.weights[buckets].astype(np.float64).sum(axis=1) + models.meta.bias
-            found = models.score(texts.logits(models.text.weights, models.text.bias), meta)
+            text, meta, sums = [], [], np.zeros(linear.FAMILIES)
+            for part in tx.pieces(iter([batch]), "_in_text", PIECE):
+                texts = linear.TextBatch(part.column("_in_text"))
+                text.append(texts.logits(models.text.weights, models.text.bias, sums))
+                view = pa.RecordBatch.from_arrays([part.column(c) for c in inner[1:]], names=[c[4:] for c in inner[1:]])
+                buckets = meta_features(view, texts)
+                meta.append(models.meta.weights[buckets].astype(np.float64).sum(axis=1) + models.meta.bias)
+            found = models.score(np.concatenate(text), np.concatenate(meta))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-len(inner)], *(pa.array(p) for p in found)],
                                              names=[*batch.schema.names[:-len(inner)], *new])
 

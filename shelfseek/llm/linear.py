@@ -23,18 +23,28 @@ SCALE = 20.0
 #: Features whose products a step of the fit holds at once.
 BLOCK_FEATURES = 1 << 18
 
+_MULTIPLIER, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
-def _bucket(hashes: np.ndarray, family: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int32) + np.int32(family << BITS)
 
+def _joined(values: np.ndarray, width: int) -> np.ndarray:
+    """One number of each two runs of ``width`` values side by side, from the number of each such run."""
+    mixed = values[:max(0, len(values) - width)] * np.uint64(pow(_MULTIPLIER, width, 1 << 64))
+    mixed += values[width:]
+    return mixed
 
-def _within(first: np.ndarray, width: int) -> np.ndarray:
-    """Whether a window of ``width`` from each position stays in its row."""
-    n = int(first[-1])
-    ok = np.zeros(max(0, n - width + 1), bool)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        ok[a:max(a, b - width + 1)] = True
-    return ok
+
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each hash within its family, as indices that need no further copy."""
+    return (hashes >> np.uint64(64 - BITS)).view(np.int64)
+
+
+def _spread_buckets(mixed: np.ndarray) -> np.ndarray:
+    """The same of numbers whose bits are yet to be spread."""
+    out = mixed * _SPREAD
+    out ^= out >> np.uint64(32)
+    out *= _SPREAD
+    out >>= np.uint64(64 - BITS)
+    return out.view(np.int64)
 
 
 class TextBatch:
@@ -44,54 +54,59 @@ class TextBatch:
         self.buf, self.offsets = tx.flat(column)
         self.starts, self.ends, self.first = tx.word_bounds(self.buf, self.offsets, tx.SPACES)
         self.words = tx.run_hashes(self.buf, self.starts, self.ends)
-        whole = (self.buf & 0xC0) != 0x80
-        self.chars_before = np.concatenate([[0], np.cumsum(whole)])
+        inner = np.flatnonzero((self.buf & 0xC0) == 0x80)
+        #: Characters before each row.
+        self.first_char = self.offsets - np.searchsorted(inner, self.offsets)
 
     def features(self):
-        """For each family, the bucket of every occurrence and the first occurrence of each row."""
-        yield _bucket(self.words, 0), self.first
-        yield self._windows(self.words, self.first, 2, 1)
+        """For each family, the bucket of every window, and each row's first window and the end of its last.
+
+        Windows between those of two rows cross their border and belong to neither.
+        """
+        yield _buckets(self.words), *self._rows(self.first, 1)
+        yield _spread_buckets(_joined(self.words, 1)), *self._rows(self.first, 2)
         codes = np.frombuffer(self.buf.tobytes().decode("utf-8").encode("utf-32-le"), "<u4").astype(np.uint64)
-        first = self.chars_before[self.offsets]
-        yield self._windows(codes, first, 2, 2)
-        yield self._windows(codes, first, 4, 3)
+        pairs = _joined(codes, 1)
+        yield _spread_buckets(pairs), *self._rows(self.first_char, 2)
+        yield _spread_buckets(_joined(pairs, 2)), *self._rows(self.first_char, 4)
 
     @staticmethod
-    def _windows(values, first, width, family):
-        n = len(values) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.int32), np.zeros(len(first), np.int64)
-        mixed = values[:n].copy()
-        for k in range(1, width):
-            mixed *= np.uint64(0x9E3779B97F4A7C15)
-            mixed += values[k:k + n]
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        ok = _within(first, width)
-        kept = np.concatenate([[0], np.cumsum(ok)])
-        return _bucket(mixed[ok], family), kept[np.minimum(first, n)]
+    def _rows(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        n = max(0, int(first[-1]) - width + 1)
+        begin = np.minimum(first[:-1], n)
+        return begin, np.maximum(begin, first[1:] - width + 1)
 
     def sparse(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Distinct buckets and values of each row."""
         rows: list[list] = [[] for _ in range(len(self.offsets) - 1)]
-        for buckets, first in self.features():
-            for row in range(len(rows)):
-                part = buckets[first[row]:first[row + 1]]
+        for family, (buckets, begin, end) in enumerate(self.features()):
+            for row, part in enumerate(buckets[a:z] for a, z in zip(begin.tolist(), end.tolist())):
                 if len(part):
-                    at, count = np.unique(part, return_counts=True)
-                    rows[row].append((at, (count * (SCALE / len(part))).astype(np.float32)))
+                    at, count = np.unique(part.astype(np.int32), return_counts=True)
+                    rows[row].append((at + np.int32(family << BITS), (count * (SCALE / len(part))).astype(np.float32)))
         none = (np.zeros(0, np.int32), np.zeros(0, np.float32))
         return [(np.concatenate([a for a, _ in r]), np.concatenate([v for _, v in r])) if r else none
                 for r in rows]
 
-    def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        """The linear score of each row, the same as of its sparse features."""
+    def logits(self, weights: np.ndarray, bias: float, sums: np.ndarray | None = None) -> np.ndarray:
+        """The linear score of each row, the same as of its sparse features.
+
+        ``sums`` are the running sums of the families and go on here: slices that are scored one after another
+        with the same array get the scores of one whole, to the last bit.
+        """
+        sums = np.zeros(FAMILIES) if sums is None else sums
         out = np.full(len(self.offsets) - 1, bias)
-        for buckets, first in self.features():
-            sums = np.concatenate([[0.0], np.cumsum(weights[buckets], dtype=np.float64)])
-            n = np.diff(first)
-            out += (sums[first[1:]] - sums[first[:-1]]) * SCALE / np.maximum(n, 1)
+        for family, (buckets, begin, end) in enumerate(self.features()):
+            run = np.empty(len(buckets) + 1)
+            run[0] = sums[family]
+            run[1:] = weights[family << BITS:(family + 1) << BITS].take(buckets)
+            # Windows that cross a border count nothing.
+            for k in range(int((begin[1:] - end[:-1]).max(initial=0))):
+                at = end[:-1] + k
+                run[1 + at[at < begin[1:]]] = 0.0
+            np.cumsum(run, out=run)
+            sums[family] = run[-1]
+            out += (run[end] - run[begin]) * SCALE / np.maximum(end - begin, 1)
         return out
 
 

@@ -75,7 +75,7 @@ def counts(batch: linear.TextBatch) -> dict[str, np.ndarray]:
     data = buf.tobytes()
     return {
         "n_words": np.diff(batch.first),
-        "word_chars": np.diff(batch.chars_before[offsets]) - per_row(tx.SPACES[buf]),
+        "word_chars": np.diff(batch.first_char) - per_row(tx.SPACES[buf]),
         "n_symbols": per_row(SYMBOLS[buf]),
         "n_dup_lines": np.array([duplicate_lines(data[a:b]) for a, b in zip(
             offsets[:-1].tolist(), offsets[1:].tolist())], np.int64),

@@ -20,11 +20,22 @@ from shelfseek.session import ship_package
 #: Bytes of text handled at once, so that temporary arrays stay small.
 PIECE = 1 << 20
 BATCH_BYTES = 16 << 20
+#: Bytes of words hashed at once, so that what a step computes stays in a core's cache.
+HASHED = 1 << 14
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+_POWERS, _INVERSES = _powers(_MULTIPLIER, HASHED), _powers(_INVERSE, HASHED)
+
+
 def _bytes_in(*ranges: tuple[int, int]) -> np.ndarray:
     table = np.zeros(256, bool)
     for low, high in ranges:
@@ -87,7 +98,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str,
 def word_bounds(buf: np.ndarray, offsets: np.ndarray,
                 gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each row the number of its first word."""
-    inside = ~gaps[buf]
+    inside = ~gaps.take(buf)
     first, last = inside.copy(), inside.copy()
     if len(buf):
         first[1:] &= ~inside[:-1]
@@ -110,18 +121,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte run; runs are in order of their starts and of their ends."""
     out = np.empty(len(starts), np.uint64)
+    block = min(PIECE, HASHED)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
         low, high = starts[i], ends[j - 1]
-        powers = np.full(high - low, _MULTIPLIER, np.uint64)
-        powers[0] = 1
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((buf[low:high].astype(np.uint64) + np.uint64(1)) * np.cumprod(powers), out=sums[1:])
-        powers[1:] = _INVERSE
-        inverse = np.cumprod(powers)
+        n = high - low
+        values = buf[low:high].astype(np.uint64)
+        values += np.uint64(1)
+        # A longer run comes alone.
+        values *= _POWERS[:n] if n <= HASHED else _powers(_MULTIPLIER, n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        out[i:j] = mix((sums[e] - sums[s]) * _INVERSES[s] + (e - s).astype(np.uint64))
         i = j
     return out
 
