@@ -28,6 +28,8 @@ one row per component, whatever repeats. Empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfseek.llm import text as tx
 from shelfseek.llm.components import connected
-from shelfseek.sources.tables import stored
+from shelfseek.operators.joins import salted_join
+from shelfseek.sources.tables import shuffles_dropped, stored, stored_by
 
 SHINGLE = 4
 #: Similarity in percent.
@@ -51,8 +54,10 @@ LEAST_SKETCH = 32
 CROWD_LISTED = 12
 #: Six standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = 0.5
-#: Sets compared with one set in one run; sets in a block of a family.
-RUN, BLOCK = 64, 512
+#: Sets in a block of a group of pairs and of a family, and hashes in all sets of a block.
+RUN, BLOCK, BLOCK_HASHES = 512, 2048, 1 << 20
+#: Bits for each marked key, and bits at most.
+KEY_BITS, MOST_BITS = 16, 1 << 26
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> list[np.ndarray]:
@@ -120,7 +125,7 @@ def crowded(sets: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a``, ``b``, and all (``hub``, ``node``, ``n``) of long lists."""
+    """Pairs ``a``, ``b`` with the larger size ``n``, and all (``hub``, ``node``, ``n``) of long lists."""
     lists = sets.select("node", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     shared = lists.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     long_list = F.col("df") > LONG_LIST
@@ -148,7 +153,7 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(True).alias("hub"))).groupBy("a", "b", "n").agg(
             F.count_if(~F.col("hub")).alias("weight"), F.max("more").alias("more"), F.max("hub").alias("hub"))
     return pairs.filter(F.col("hub") | (F.col("weight") + F.col("more") >= _needed(F.col("n")))).select(
-        "a", "b"), around
+        "a", "b", "n"), around
 
 
 def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,64 +165,115 @@ def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .filter(F.size(both) >= LEAST_ESTIMATE * F.size(union)).select(*pairs.columns))
 
 
+def marks(keys: DataFrame) -> np.ndarray:
+    """A table of bits with two set for each ``key``, as words; its size is bounded however many keys there are."""
+    words = 1 << max(0, (min(keys.count() * KEY_BITS, MOST_BITS) - 1).bit_length() - 6)
+    places = F.array(F.col("key"), F.shiftrightunsigned("key", 32))
+    at = keys.select(F.explode(places).alias("at")).select(F.col("at").bitwiseAND(F.lit(words * 64 - 1)).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(words, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return table.view(np.uint64)
+
+
+def marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether both bits of each key are set: of all keys that ``table`` was made of, and of few others."""
+    keys = keys.view(np.uint64)
+    out = np.ones(len(keys), bool)
+    for at in (keys, keys >> np.uint64(32)):
+        at = at & np.uint64(len(table) * 64 - 1)
+        out &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
 def full_sets(docs: DataFrame, owners: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``node`` and ``hashes`` (the whole set) of the nodes of ``owners`` (``node``, ``doc_id``, ``text_hash``)."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    key = owners.select("doc_id", "text_hash", "node").hint("shuffle_hash")
-    known = keyed.join(key.filter("doc_id is not null"), ["doc_id", "text_hash"])
-    nameless = keyed.filter("doc_id is null").drop("doc_id").join(
-        key.filter("doc_id is null").drop("doc_id"), "text_hash")
-    rows = known.select("node", "text").unionByName(nameless.select("node", "text"))
+    """``node`` and ``hashes`` (the whole set) of the nodes of ``owners`` (``node``, ``doc_id``, ``text_hash``).
+
+    No text moves: tasks leave out rows without the marks of an owner, and the digest of a set tells whose it is.
+    """
+    key = F.xxhash64("doc_id", "text_hash").alias("key")
+    table = docs.sparkSession.sparkContext.broadcast(marks(owners.select(key)))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).select(key, "text")
 
     def make(batches):
-        for batch in tx.pieces(batches, "text"):
+        wanted = (b.filter(pa.array(marked(table.value, b.column(0).to_numpy()), pa.bool_())) for b in batches)
+        for batch in tx.pieces(wanted, "text"):
             sets = shingle_sets(batch, "text", width)
-            same = [_digest(s) == n for s, n in zip(sets, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(same, pa.bool_())),
-                 pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())],
-                names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()),
+                                              pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["node", "hashes"])
+
+    found = tx.mapped(rows, make, "node binary, hashes binary").dropDuplicates(["node"])
+    return found.join(owners.select("node"), "node", "left_semi")
 
-    return tx.mapped(rows, make, "node binary, hashes binary")
+
+def _blocks(most: int, name: str):
+    """Into how many blocks sets go that have ``n`` hashes each."""
+    return F.ceil(F.greatest(F.count("*") / most, F.sum("n") / BLOCK_HASHES)).cast("int").alias(name)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
-    """The pairs ``a``, ``b`` whose whole sets are similar.
+    """The pairs ``a``, ``b`` whose whole sets are similar, in either order; ``n`` is the larger set's size.
 
-    ``a``'s set meets the sets of its partners in runs of about ``RUN``, so that a
-    set with very many partners is compared by many tasks.
+    Pairs with the same least set around them form a group. In it the end with fewer partners meets the other one in
+    a block of both, so that a set travels once per block that it meets and not once per partner.
     """
-    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("_runs"))
-    right = (pairs.join(runs, "a").join(sets.withColumnRenamed("node", "b"), "b")
-             .select("a", F.pmod(F.xxhash64("b"), F.col("_runs")).alias("_run"), "b", "hashes"))
-    left = (runs.join(sets.withColumnRenamed("node", "a"), "a")
-            .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_runs") - 1)).alias("_run"),
-                    F.lit(None).cast("binary").alias("b"), "hashes"))
+    near = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a").groupBy("node").agg(
+        F.min("a").alias("low"), F.count("*").alias("partners"))
+    side = lambda c: near.select(F.col("node").alias(c), F.struct("partners", "node", "low").alias(f"_{c}"))
+    grouped = stored(pairs.join(side("a"), "a").join(side("b"), "b").select(
+        "n", F.least("_a.low", "_b.low").alias("group"), F.least("_a", "_b")["node"].alias("few"),
+        F.greatest("_a", "_b")["node"].alias("many")), "groups")
+    count = lambda c: grouped.groupBy("group", c).agg(F.max("n").alias("n")).groupBy("group").agg(
+        _blocks(RUN, f"all_{c}"))
+    number = lambda c: F.pmod(F.xxhash64(c), F.col(f"all_{c}")).cast("int").alias(f"of_{c}")
+    keys = ["group", "of_few", "of_many"]
+    counts = count("few").join(count("many"), "group")
+    placed = stored(salted_join(grouped, counts, ["group"], "inner", ["few", "many"]).select(
+        "group", number("few"), number("many"), "few", "many"), "runs")
+    none = F.lit(None).cast("binary")
+    held = placed.select(*keys, F.explode(F.array("few", "many")).alias("node")).distinct().join(sets, "node").select(
+        *keys, F.col("node").alias("a"), none.alias("b"), "hashes")
+    asked = placed.select(*keys, F.col("few").alias("a"), F.col("many").alias("b"), none.alias("hashes"))
 
     def compare(batches):
-        key, mine = None, None
+        key, mine = None, {}
         for batch in tx.pieces(batches, "hashes", tx.BATCH_BYTES):
             found: list[tuple[bytes, bytes]] = []
-            for a, run, b, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                values = np.frombuffer(hashes, np.uint64)
+            for *at, a, b, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != key:
+                    key, mine = at, {}
                 if b is None:
-                    key, mine = (a, run), values
+                    mine[a] = np.frombuffer(hashes, np.uint64)
                     continue
-                assert key == (a, run), "a set is missing"
-                at = np.searchsorted(mine, values)
-                at[at == len(mine)] = 0
-                common = int((mine[at] == values).sum())
-                if 100 * common >= percent * (len(mine) + len(values) - common):
+                one, other = mine[a], mine[b]
+                at = np.searchsorted(one, other)
+                at[at == len(one)] = 0
+                common = int((one[at] == other).sum())
+                if 100 * common >= percent * (len(one) + len(other) - common):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()),
                                               pa.array([b for _, b in found], pa.binary())],
                                              names=["a", "b"])
 
-    dealt = left.unionByName(right).repartition("a", "_run").sortWithinPartitions(
-        "a", "_run", F.col("b").asc_nulls_first())
+    dealt = held.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, F.col("b").asc_nulls_first())
     return tx.mapped(dealt, compare, "a binary, b binary")
 
 
+def common_counts(sets: list[np.ndarray], asking: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each asking set the number of hashes that it shares with each of ``sets``."""
+    size = np.array([len(s) for s in sets])
+    joined = np.concatenate(sets)
+    order = np.argsort(joined, kind="stable")
+    joined, owner = joined[order], np.repeat(np.arange(len(sets)), size)[order]
+    for values in asking:
+        low, high = np.searchsorted(joined, values), np.searchsorted(joined, values, "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        yield np.bincount(owner[at], minlength=len(sets))
+
+
 def outside_links(around: DataFrame, parts: DataFrame, whole: DataFrame, percent: int = SIMILAR
                   ) -> DataFrame | None:
     """Links that hubs have missed, or None if there is nothing left to compare.
@@ -237,64 +293,67 @@ def outside_links(around: DataFrame, parts: DataFrame, whole: DataFrame, percent
     families = connected(meeting).select(F.col("node").alias("root"), F.col("root").alias("family"))
     members = placed.select("node", "n", "root").distinct().join(families, "root")
     sizes = members.groupBy("family", "root").agg(F.count("*").alias("_n"))
-    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("_n", "root")).alias("main"),
-                                       F.sum("_n").alias("size"))
+    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("_n", "root")).alias("main"))
     # Sets of similar sizes are in the same class or in neighbouring ones.
     level = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    members = stored(members.join(main, "family").join(whole, "node").select(
-        "family", "node", "root", "hashes", level.alias("level"), (F.col("root") != F.col("main")).alias("outside"),
-        F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "families")
-    number = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    every = lambda top: F.explode(F.sequence(F.lit(0), top))
-    inner = members.withColumn("ours", number).withColumn("theirs", every(F.col("blocks") - 1)).withColumn(
-        "asks", F.lit(False))
-    outer = members.filter("outside").withColumn("theirs", number).withColumn(
-        "ours", every(F.col("blocks") - 1)).withColumn("asks", F.lit(True)).withColumn(
+    members = stored(members.join(main, "family").select(
+        "family", "node", "n", "root", level.alias("level"), (F.col("root") != F.col("main")).alias("outside")), "families")
+    asking = members.filter("outside").withColumn(
         "level", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])))
+    # The sets of a class in as few blocks as a task may hold, so that few copies of them travel.
+    grid = stored(members.groupBy("family", "level").agg(_blocks(BLOCK, "all_ours")).join(
+        asking.groupBy("family", "level").agg(_blocks(BLOCK, "all_theirs")), ["family", "level"]), "blocks")
+    number = lambda top: F.pmod(F.xxhash64("node"), F.col(top)).cast("int")
+    every = lambda top: F.explode(F.sequence(F.lit(0), F.col(top) - 1))
     keys = ["family", "level", "ours", "theirs"]
-    columns = [*keys, "node", "root", "hashes", "asks"]
+    inner = members.join(grid, ["family", "level"]).withColumn("ours", number("all_ours")).select(
+        *keys[:3], every("all_theirs").alias("theirs"), "node", "root", F.lit(False).alias("asks"))
+    outer = asking.join(grid, ["family", "level"]).withColumn("theirs", number("all_theirs")).select(
+        *keys[:2], every("all_ours").alias("ours"), "theirs", "node", "root", F.lit(True).alias("asks"))
 
     def compare(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
         nodes, roots, asks = (table[c].to_pylist() for c in ("node", "root", "asks"))
-        here = [i for i, ask in enumerate(asks) if not ask]
+        here, there = ([i for i, ask in enumerate(asks) if ask == side] for side in (False, True))
         found: dict[tuple, bytes] = {}
-        if here and len(here) < len(sets):
+        if here and there:
             size = np.array([len(sets[i]) for i in here])
-            joined, starts = np.concatenate([sets[i] for i in here]), np.cumsum(size) - size
-            for i in (i for i, ask in enumerate(asks) if ask):
-                at = np.searchsorted(sets[i], joined)
-                at[at == len(sets[i])] = 0
-                common = np.add.reduceat((sets[i][at] == joined).astype(np.int64), starts)
+            for i, common in zip(there, common_counts([sets[i] for i in here], [sets[i] for i in there])):
                 for k in np.flatnonzero(100 * common >= percent * (size + len(sets[i]) - common)):
                     if roots[here[k]] != roots[i]:
                         found.setdefault((nodes[i], roots[here[k]]), nodes[here[k]])
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()),
                          "b": pa.array(list(found.values()), pa.binary())})
 
-    met = inner.select(*columns).unionByName(outer.select(*columns))
+    met = inner.unionByName(outer).join(whole, "node")
     return stored(met.groupBy(*keys).applyInArrow(compare, "a binary, b binary"), "outside-links")
 
 
 def components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Per row ``doc_id``, ``text_hash``, ``n``, ``node``, ``root`` (null without shingles) and ``component_id``."""
-    every = stored(sketches(docs, width), "sketches")
-    # One row of each class: that of its least id, or the first of repeated ones.
-    key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    owners = stored(every.filter("n > 0").groupBy("node", "n").agg(F.min_by(
-        F.struct("doc_id", "text_hash", "sketch"), key).alias("o")).select("node", "n", "o.*"), "classes")
-    pairs, around = candidates(owners)
-    pairs = stored(estimated(pairs, owners), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(
-        around.select("node")).distinct()
-    whole = stored(full_sets(docs, owners.join(ends, "node"), width), "whole-sets")
-    links = stored(confirmed(pairs, whole), "links")
-    parts = stored(connected(links), "parts")
-    missed = outside_links(around, parts, whole)
-    if missed is not None and not missed.isEmpty():
-        # A component is a star already, so its links need not be followed again.
-        stars = parts.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        parts = stored(connected(stars.unionByName(missed)), "parts")
+    """Per row ``doc_id``, ``text_hash``, ``n``, ``node``, ``root`` (null without shingles) and ``component_id``.
+
+    The sketches, and the whole sets that are compared, each move once, to be stored by node; what a step has
+    shuffled besides is gone when its table is written.
+    """
+    with shuffles_dropped(docs.sparkSession):
+        every = stored(sketches(docs, width), "sketches")
+        # One row of each class: that of its least id, or the first of repeated ones.
+        key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+        owners = stored_by(every.filter("n > 0").groupBy("node").agg(F.min_by(
+            F.struct("n", "doc_id", "text_hash", "sketch"), key).alias("o")).select("node", "o.*"), "classes", "node")
+        pairs, around = candidates(owners)
+        pairs = stored(estimated(pairs, owners), "pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(
+            pairs.select(F.col("b").alias("node"))).unionByName(around.select("node")).distinct()
+        wanted = stored(owners.select("node", "doc_id", "text_hash").join(ends, "node"), "wanted")
+        whole = stored_by(full_sets(docs, wanted, width), "whole-sets", "node")
+        links = stored(confirmed(pairs, whole), "links")
+        parts = stored(connected(links), "parts")
+        missed = outside_links(around, parts, whole)
+        if missed is not None and not missed.isEmpty():
+            # A component is a star already, so its links need not be followed again.
+            stars = parts.select(F.col("root").alias("a"), F.col("node").alias("b"))
+            parts = stored(connected(stars.unionByName(missed)), "parts")
     named = owners.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "root").select("node", "root", "component_id")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfseek.llm import (components, cotraining, decontaminate, mixing, near_dedup, pii, quality_rules, secrets,
                            suffix_dedup, url_filter, warc)
+from shelfseek.sources import tables
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -437,6 +439,70 @@ def test_near_duplicates_odd_rows(odd_docs, no_docs):
     assert near_dedup.report(no_docs).count() == 0 and near_dedup.unique_documents(no_docs).count() == 0
 
 
+def shuffled_bytes(spark):
+    """Bytes of shuffled rows that lie on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = [files.apply(i) for i in range(files.size())]
+    return sum(f.length() for f in found if f.getName().startswith("shuffle_"))
+
+
+def test_near_duplicates_leave_no_shuffles(spark, docs_of, texts):
+    before = shuffled_bytes(spark)
+    near_dedup.components(docs_of(texts))
+    for _ in range(50):
+        if shuffled_bytes(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled_bytes(spark) <= before
+
+
+def set_rows(spark, sets):
+    return spark.createDataFrame([(n, s.tobytes()) for n, s in sets.items()], "node binary, hashes binary")
+
+
+def test_families_travel_in_few_copies(spark):
+    import numpy as np
+    rng = random.Random(11)
+    sets = {f"{i:04}".encode(): np.sort(np.array([rng.getrandbits(64) for _ in range(100)], np.uint64))
+            for i in range(2500)}
+    sets[b"like"] = np.sort(np.append(sets[b"0007"][:95], np.uint64(5)))
+    around = spark.createDataFrame([(n, len(s), b"0000", 100) for n, s in sets.items()],
+                                   "node binary, n long, hub binary, hub_n long")
+    whole = tables.stored(set_rows(spark, sets), "sets")
+    before = shuffled_bytes(spark)
+    links = near_dedup.outside_links(around, spark.createDataFrame([], "node binary, root binary"), whole)
+    moved = shuffled_bytes(spark) - before
+    assert {tuple(sorted(map(bytes, r))) for r in links.collect()} == {(b"0007", b"like")}
+    assert moved < 10 * sum(s.nbytes for s in sets.values())
+
+
+def test_pairs_travel_in_few_copies(spark):
+    import numpy as np
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(400)]
+    sets = {f"{i:02}".encode(): np.sort(np.array(base[i:], np.uint64)) for i in range(80)}
+    nodes = sorted(sets)
+    every = [(a, b) for k, a in enumerate(nodes) for b in nodes[k + 1:]]
+    pairs = spark.createDataFrame([(a, b, len(sets[a])) for a, b in every], "a binary, b binary, n long")
+    whole = tables.stored(set_rows(spark, sets), "sets")
+    before = shuffled_bytes(spark)
+    found = tables.stored(near_dedup.confirmed(pairs, whole, 90), "links")
+    moved = shuffled_bytes(spark) - before
+    want = {(a, b) for a, b in every if 10 * len(sets[b]) >= 9 * len(sets[a])}
+    assert {tuple(sorted(map(bytes, r))) for r in found.collect()} == want and 0 < len(want) < len(every)
+    assert moved < 10 * sum(s.nbytes for s in sets.values())
+
+
+def test_marks_of_keys(spark):
+    import numpy as np
+    rng = random.Random(11)
+    keys = np.array([rng.getrandbits(64) for _ in range(5000)], np.uint64).view(np.int64)
+    table = near_dedup.marks(spark.createDataFrame([(int(k),) for k in keys[:1000]], "key long"))
+    hit = near_dedup.marked(table, keys)
+    assert hit[:1000].all() and hit[1000:].mean() < 0.05
+    assert not near_dedup.marked(near_dedup.marks(spark.createDataFrame([], "key long")), keys).any()
+
+
 def test_connected(spark, rng):
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 440)]
     root = {n: n for e in edges for n in e}
